@@ -136,3 +136,24 @@ def fit_smoothing(scored: DataFrame, grid: Sequence[float]) -> DataFrame:
         .join(costs, ["half", "a"])
         .select("half", "a", (F.col("bits") / F.col("sites")).alias("bits"), "sites")
     )
+
+
+def neighbour_predictor(sites: DataFrame, nearest: DataFrame, freq: DataFrame) -> DataFrame:
+    """Shrunk vote of the nearest genomes at the fork: q = (same + freq) / (others + 1).
+
+    ``nearest``: fork, genome, other.
+    """
+    votes = sites.groupBy("fork", F.col("genome").alias("other"), "branch").agg(F.count(F.lit(1)).alias("v"))
+    counted = nearest.join(votes, ["fork", "other"]).groupBy("fork", "genome", "branch").agg(
+        F.sum("v").alias("same")
+    )
+    others = counted.groupBy("fork", "genome").agg(F.sum("same").alias("others"))
+    return (
+        freq.join(others, ["fork", "genome"])
+        .join(counted, ["fork", "genome", "branch"], "left")
+        .withColumn("same", F.coalesce("same", F.lit(0)))
+        .select(
+            "fork", "genome", "branch", "n", "same", "others",
+            ((F.col("same") + F.col("freq")) / (F.col("others") + 1)).alias("q"),
+        )
+    )
