@@ -40,14 +40,16 @@ def strata_margins(presence: DataFrame, min_genomes: int = 2) -> DataFrame:
     return held.join(sizes, "stratum")
 
 
-def cmh_matrix(presence: DataFrame, margins: DataFrame, permuted: DataFrame | None = None) -> DataFrame:
+def cmh_matrix(
+    presence: DataFrame, margins: DataFrame, permuted: DataFrame | None = None, draws: int = 0
+) -> DataFrame:
     """Cochran-Mantel-Haenszel Z of every pair of families over strata: a, b, z, var.
 
     ``presence``: stratum, genome, family, distinct, strata of ``margins`` only.
     Observed, expected and variance are three blocked products: over genomes, and
     over strata with the margins as weights. A pair never seen together in a
     stratum still gets its expected value there. ``permuted`` (with ``draw``)
-    replaces one side: genomes relabelled within strata, one Z per draw.
+    replaces one side: genomes relabelled within strata, one Z per draw 0..draws-1.
     """
     n, held = F.col("n").cast("double"), F.col("held").cast("double")
     weighted = margins.select(
@@ -62,13 +64,12 @@ def cmh_matrix(presence: DataFrame, margins: DataFrame, permuted: DataFrame | No
         keys = ["a", "b"]
         both = margin.join(observed, keys, "left")
     else:
-        draws = permuted.select("draw").distinct()
-        # one row per draw: the number of draws is a parameter
-        left = presence.join(F.broadcast(draws))
+        each = F.explode(F.array(*[F.lit(d) for d in range(draws)]))
+        left = presence.withColumn("draw", each)
         observed = pair_products(left, "family", "genome", by=["draw"], right=permuted)
         margin = pair_products(weighted, "family", "stratum", ["expected", "var"])
         keys = ["draw", "a", "b"]
-        both = margin.join(F.broadcast(draws)).join(observed, keys, "left")
+        both = margin.withColumn("draw", each).join(observed, keys, "left")
     shared = F.coalesce("shared", F.lit(0.0))
     z = (shared - F.col("expected")) / F.sqrt(F.greatest("var", F.lit(1e-9)))
     return both.select(*keys, shared.alias("both"), z.alias("z"), "var")

@@ -12,6 +12,7 @@ from seqweave.operators import predictors as P
 from seqweave.operators import sequence as S
 from seqweave.operators import tiling as T
 from seqweave.plans import corpus as C
+from seqweave.session import cut_lineage
 from seqweave.sources.tables import table, typed
 
 QUERIES = {}
@@ -264,7 +265,7 @@ def _null(held, margins, draws=2):
     permuted = relabel.join(
         held.select("stratum", F.col("genome").alias("other"), "family"), ["stratum", "other"]
     ).select("draw", "stratum", "genome", "family")
-    return A.cmh_matrix(held, margins, permuted)
+    return A.cmh_matrix(held, margins, permuted, draws)
 
 
 @query(f"WITH {CMH}, {PERM} SELECT draw::BIGINT AS draw, a, b, round(z, 6) AS z FROM nz")
@@ -285,7 +286,7 @@ def null_bands(spark, folder):
     """Share of pairs beyond the null's 99th percentile, per band, against the null itself."""
     held = presence(spark, folder)
     margins = A.strata_margins(held)
-    null = _null(held, margins).select(F.abs("z").alias("z"))
+    null = cut_lineage(_null(held, margins).select(F.abs("z").alias("z")))
     bounds = T.value_bounds(null, "z")
     threshold = T.grouped_quantile(null, [], "z", 0.99, "t", bounds)
     t = threshold.scalar()

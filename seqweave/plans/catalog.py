@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seqweave.plans import association_queries, graph_queries, sequence_queries
+from seqweave.plans import association_queries, graph_queries, knockout_queries, sequence_queries
 
-MODULES = (graph_queries, sequence_queries, association_queries)
+MODULES = (graph_queries, sequence_queries, association_queries, knockout_queries)
 
 
 def queries():
