@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqweave.session import cut_lineage
 from seqweave.operators.tiling import running_count_by_value, value_bounds, value_chunk
 
 
@@ -63,6 +64,7 @@ def signed_rank(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     used = rows.where((F.col(value) != 0) & F.col(value).isNotNull() & ~F.isnan(value)).withColumn(
         "_a", F.abs(F.round(value, 12))
     )
+    used = cut_lineage(used)
     ranked = running_count_by_value(used, keys, "_a", value_bounds(used, "_a"))
     positive = used.groupBy(*keys, "_a").agg(F.count_if(F.col(value) > 0).alias("_p"))
     t = F.col("n").cast("double")

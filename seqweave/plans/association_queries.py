@@ -111,10 +111,11 @@ def sites(spark, folder):
         lambda w: {"fork": F.lag("family").over(w), "prev_allele": F.lag("allele").over(w)},
         before=1,
     )
-    return both.where(F.col("pos") > 5).select(
+    found = both.where(F.col("pos") > 5).select(
         "genome", "pos", F.pmod("genome", F.lit(2)).alias("half"), "fork",
         F.col("family").alias("branch"), "prev_allele", "in_rgp", "path_2", "path_3", "path_5",
     )
+    return cut_lineage(found)
 
 
 @query(f"WITH {SITES} SELECT fork, genome, branch, count(*) AS n, round(any_value(freq), 6) AS freq FROM fr GROUP BY 1, 2, 3")
@@ -232,7 +233,7 @@ z AS (SELECT p.a, p.b, sum(coalesce(k, 0))::DOUBLE AS "both",
 def presence(spark, folder):
     rows = C.genes(spark, folder)
     held = rows.select("genome", "family", F.pmod("genome", F.lit(6)).alias("stratum")).distinct()
-    return held.join(A.frequency_band(held).select("family"), "family")
+    return cut_lineage(held.join(A.frequency_band(held).select("family"), "family"))
 
 
 @query(f"WITH {PRES} SELECT family, genomes, round(freq, 6) AS freq FROM band")
@@ -351,7 +352,7 @@ def loci(rows):
     single = rows.groupBy("genome", F.col("family").alias("locus")).agg(
         F.count(F.lit(1)).alias("n"), F.min("allele").alias("allele")
     )
-    return single.where(F.col("n") == 1).drop("n")
+    return cut_lineage(single.where(F.col("n") == 1).drop("n"))
 
 
 @query(f"WITH {C.EV}, {LOCI} SELECT g1, g2, typed, round(d, 6) AS d FROM dist")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqweave.operators.tiling import number_rows, over_tiles
+from seqweave.session import cut_lineage
 from seqweave.sources.tables import table
 
 WINDOW = 20  # columns of the default window
@@ -114,7 +115,8 @@ def count_model(prev_rows: DataFrame) -> DataFrame:
 def calls(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
     """One scored call per gene that has a predecessor.
 
-    genome, pos, family, half, in_rgp, entropy, p_true, rank_true and ``top``,
+    The scored calls are kept as a written table, the form later stages read
+    several times. genome, pos, family, half, in_rgp, entropy, p_true, rank_true and ``top``,
     the best clusters with their probabilities, best first.
     """
     base = with_prev(genes(spark, folder) if rows is None else rows)
@@ -129,7 +131,7 @@ def calls(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> Da
     truth = model.select(
         "prev", "cluster", F.col("p").alias("p_true"), F.col("rank").alias("rank_true")
     )
-    return (
+    scored = (
         base.where(F.col("prev").isNotNull())
         .withColumn("cluster", F.col("allele") % CLUSTERS)
         .join(truth, ["prev", "cluster"])
@@ -139,6 +141,7 @@ def calls(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> Da
             "genome", "pos", "family", "prev", "half", "in_rgp", "name", "entropy", "p_true", "rank_true", "top"
         )
     )
+    return cut_lineage(scored)
 
 
 # --- the same roles for the checking engine -------------------------------------------

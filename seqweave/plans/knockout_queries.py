@@ -12,6 +12,7 @@ from seqweave.operators import matching as M
 from seqweave.operators import stats as X
 from seqweave.operators import tiling as T
 from seqweave.plans import corpus as C
+from seqweave.session import cut_lineage
 from seqweave.sources.tables import typed
 
 QUERIES = {}
@@ -80,7 +81,7 @@ def elements(spark, folder):
 
 
 def _units(spark, folder):
-    found = elements(spark, folder).withColumn("unit", F.col("genome") * 100000 + F.col("start"))
+    found = cut_lineage(elements(spark, folder)).withColumn("unit", F.col("genome") * 100000 + F.col("start"))
     units = found.withColumn("dist", F.lit(10)).withColumn("row", F.col("end") + 10)
     pool = found.select(
         "genome", F.col("unit").alias("control"), F.col("start").alias("c_start"),
@@ -102,7 +103,7 @@ def matched_controls(spark, folder):
 
 def _scored(spark, folder):
     units, pool = _units(spark, folder)
-    controls = M.matched_controls(units, pool, log_factor=4.0)
+    controls = cut_lineage(M.matched_controls(units, pool, log_factor=4.0))
     return units, M.unit_scores(units, controls)
 
 
@@ -134,7 +135,7 @@ FROM ps JOIN sc USING (unit) WHERE sc.z IS NOT NULL GROUP BY 1"""
 def calibrated_units(spark, folder):
     """Share of a unit's stand-ins that score at least as high as it does."""
     units, pool = _units(spark, folder)
-    controls = M.matched_controls(units, pool, log_factor=4.0)
+    controls = cut_lineage(M.matched_controls(units, pool, log_factor=4.0))
     scored = M.unit_scores(units, controls).select("unit", F.col("z").alias("real")).where(F.col("real").isNotNull())
     null = M.stand_in_scores(units, controls, pool)
     high = F.count_if(F.round("z", 9) >= F.round("real", 9))
@@ -156,7 +157,7 @@ zl AS (SELECT link, n, w, ties > 0 AS tied, (w - n * (n + 1) / 4.0::DOUBLE)
 
 def lineage_means(spark, folder):
     units, scores = _scored(spark, folder)
-    return (
+    return cut_lineage(
         scores.where(F.col("z").isNotNull())
         .join(units.select("unit", "link", "genome"), "unit")
         .groupBy("link", F.pmod("genome", F.lit(24)).alias("lineage"))
@@ -201,8 +202,6 @@ s AS (SELECT DISTINCT p, least(min(raw) OVER (ORDER BY p DESC), 1) AS q FROM r)
 SELECT p, round(q, 6) AS q FROM s"""
 )
 def benjamini_hochberg(spark, folder):
-    from seqweave.session import cut_lineage
-
     tests = cut_lineage(calibrated_units(spark, folder).select(F.col("p_cal").alias("p")))
     return _round(X.benjamini_hochberg(tests, "p"), "q")
 
