@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from seqweave.plans import association_queries, graph_queries, knockout_queries, sequence_queries
+from seqweave.plans import (
+    association_queries,
+    graph_queries,
+    knockout_queries,
+    region_queries,
+    sequence_queries,
+    table_queries,
+)
 
-MODULES = (graph_queries, sequence_queries, association_queries, knockout_queries)
+MODULES = (
+    graph_queries,
+    sequence_queries,
+    association_queries,
+    knockout_queries,
+    table_queries,
+    region_queries,
+)
 
 
 def queries():
