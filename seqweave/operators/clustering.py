@@ -6,6 +6,8 @@ written before the next one starts, so a lost executor costs one round at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,17 @@ def average_linkage(distance: DataFrame, leaves: DataFrame, cut: float | None =
     Returns (members, merges): leaf, cluster, place (the leaf's place within its
     cluster when the tree is drawn); and kept, dropped, height, size.
     """
+    one = F.lit(1).cast("bigint")
     pairs = cut_lineage(
         distance.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("d").cast("double").alias("s"),
-            F.lit(1).cast("bigint").alias("n"),
+            one.alias("na"), one.alias("nb"),
         )
     )
-    members = cut_lineage(
-        leaves.select("leaf", F.col("leaf").alias("cluster"), F.lit(0).cast("bigint").alias("place"))
-    )
-    merges = None
+    rounds = []
     while True:
-        mean = F.round(F.col("s") / F.col("n"), 12)
-        near = pairs.select(F.struct(mean.alias("d"), "a", "b").alias("m"))
+        mean = F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)
+        near = pairs.select(F.struct(mean.alias("d"), "a", "b", "na", "nb").alias("m"))
         if cut is not None:
             near = near.where(F.col("m.d") <= cut)
         nearest = (
@@ -43,36 +43,47 @@ def average_linkage(distance: DataFrame, leaves: DataFrame, cut: float | None =
             .groupBy("cluster")
             .agg(F.min("m").alias("m"))
         )
-        mutual = nearest.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == 2).select(
-            F.col("m.a").alias("kept"), F.col("m.b").alias("dropped"), F.col("m.d").alias("height")
+        mutual = cut_lineage(
+            nearest.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == 2).select(
+                F.col("m.a").alias("kept"), F.col("m.b").alias("dropped"), F.col("m.d").alias("height"),
+                F.col("m.na").alias("kept_n"), (F.col("m.na") + F.col("m.nb")).alias("size"),
+            )
         )
-        mutual = cut_lineage(mutual)
         if mutual.isEmpty():
             break
-        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        kept_size = sizes.select(F.col("cluster").alias("kept"), F.col("n").alias("kept_n"))
-        drop_size = sizes.select(F.col("cluster").alias("dropped"), F.col("n").alias("drop_n"))
-        joined = mutual.join(kept_size, "kept").join(drop_size, "dropped")
-        step = joined.select("kept", "dropped", "height", (F.col("kept_n") + F.col("drop_n")).alias("size"))
-        merges = step if merges is None else merges.unionByName(step)
-        merges = cut_lineage(merges)
-        moved = joined.select(F.col("dropped").alias("cluster"), "kept", "kept_n")
-        members = cut_lineage(
-            members.join(moved, "cluster", "left").select(
-                "leaf",
-                F.coalesce("kept", "cluster").alias("cluster"),
-                (F.col("place") + F.coalesce("kept_n", F.lit(0))).alias("place"),
-            )
+        rounds.append(mutual)
+        merged = mutual.select(
+            F.explode(F.array("kept", "dropped")).alias("old"), F.col("kept").alias("new"), "size"
+        )
+        rename = lambda side: merged.select(
+            F.col("old").alias(side), F.col("new").alias(f"_{side}"), F.col("size").alias(f"_n{side}")
         )
-        rename = lambda side: mutual.select(F.col("dropped").alias(side), F.col("kept").alias(f"_{side}"))
         relabelled = pairs.join(rename("a"), "a", "left").join(rename("b"), "b", "left").select(
-            F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "s", "n"
+            F.struct(F.coalesce("_a", "a").alias("c"), F.coalesce("_na", "na").alias("n")).alias("x"),
+            F.struct(F.coalesce("_b", "b").alias("c"), F.coalesce("_nb", "nb").alias("n")).alias("y"),
+            "s",
+        )
+        folded = (
+            relabelled.where(F.col("x.c") != F.col("y.c"))
+            .groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            .agg(F.sum("s").alias("s"))
         )
         pairs = cut_lineage(
-            relabelled.where(F.col("x") != F.col("y"))
-            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            folded.select(
+                F.col("x.c").alias("a"), F.col("y.c").alias("b"), "s", F.col("x.n").alias("na"), F.col("y.n").alias("nb")
+            )
+        )
+    members = leaves.select("leaf", F.col("leaf").alias("cluster"), F.lit(0).cast("bigint").alias("place"))
+    for i, mutual in enumerate(rounds):
+        moved = mutual.select(F.col("dropped").alias("cluster"), "kept", "kept_n")
+        members = members.join(moved, "cluster", "left").select(
+            "leaf",
+            F.coalesce("kept", "cluster").alias("cluster"),
+            (F.col("place") + F.coalesce("kept_n", F.lit(0))).alias("place"),
         )
+        if i % 6 == 5:
+            members = cut_lineage(members)
+    merges = reduce(lambda a, b: a.unionByName(b), rounds).drop("kept_n") if rounds else None
     return members, merges
 
 

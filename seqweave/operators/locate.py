@@ -26,12 +26,12 @@ def next_windows(anchors: DataFrame, step: float) -> DataFrame:
     probes = anchors.select(
         F.col("rank").alias("from"), F.lit(None).cast("bigint").alias("rank"), (F.col("median") + step + 0.25).alias("at")
     )
-    points = anchors.select(
-        F.lit(None).cast("bigint").alias("from"), F.col("rank").cast("bigint").alias("rank"), F.col("median").alias("at")
+    # anchors at one position stand for the last of them
+    points = anchors.groupBy(F.col("median").alias("at")).agg(F.max("rank").cast("bigint").alias("rank")).select(
+        F.lit(None).cast("bigint").alias("from"), "rank", "at"
     )
-    seen = carry_last(points.unionByName(probes), [], F.struct("at", "rank")["rank"], "last", pos="at")
+    seen = carry_last(points.unionByName(probes), [], F.col("rank"), "last", pos="at")
     last = anchors.agg(F.max("rank")).scalar()
-    # anchors at one position: the highest rank among them is the last one
     return (
         seen.where(F.col("from").isNotNull())
         .select(F.col("from").alias("rank"), F.greatest("last", F.col("from") + 1).alias("next"))
@@ -69,8 +69,9 @@ def previous_windows(anchors: DataFrame, following: DataFrame, chain: DataFrame,
     probes = anchors.select(
         F.col("rank").alias("from"), F.lit(None).cast("bigint").alias("rank"), (F.col("median") - step - 0.25).alias("at")
     )
-    points = anchors.select(
-        F.lit(None).cast("bigint").alias("from"), F.col("rank").cast("bigint").alias("rank"), F.col("median").alias("at")
+    # anchors at one position stand for the first of them
+    points = anchors.groupBy(F.col("median").alias("at")).agg(F.min("rank").cast("bigint").alias("rank")).select(
+        F.lit(None).cast("bigint").alias("from"), "rank", "at"
     )
     far = carry_last(points.unionByName(probes), [], F.col("rank"), "far", pos="at", reverse=True)
     far = far.where(F.col("from").isNotNull()).select(F.col("from").alias("rank"), "far")

@@ -124,7 +124,10 @@ def next_window(spark, folder):
     return W.next_windows(_anchors(C.genes(spark, folder)), 1.5)
 
 
-CHAIN = ANCHORS.replace("an AS (", "an AS MATERIALIZED (", 1)
+CHAIN = BB + """,
+an AS MATERIALIZED (SELECT family, median, row_number() OVER (ORDER BY median, family) - 1 AS rank FROM bb),
+nx AS MATERIALIZED (SELECT rank, CASE WHEN rank < max(rank) OVER () THEN greatest(rank + 1, max(rank) OVER (
+  ORDER BY median RANGE BETWEEN CURRENT ROW AND 1.5 FOLLOWING)) END AS next FROM an)"""
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,27 @@ def build_session(app: str = "seqweave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only when none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if "folder" not in _private:
+            _private["folder"] = tempfile.mkdtemp(prefix="seqweave-ckpt-")
+        folder = _private["folder"]
+    return folder
+
+
+_private: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+    """Write ``df`` as a table in the shared checkpoint folder and continue from it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    private one is made only when no folder is set, as in tests.
+    A stage that several later ones read is then computed once, survives lost
+    executors, and comes back with its real size, so joins on it are planned
+    from what it holds. Columns keep their names and types.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seqweave-ckpt-"))
-    return df.checkpoint()
+    path = f"{_shared_folder(spark).rstrip('/')}/seqweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
