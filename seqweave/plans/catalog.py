@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from seqweave.plans import (
     association_queries,
+    facts_queries,
     graph_queries,
     knockout_queries,
     region_queries,
@@ -15,6 +16,7 @@ MODULES = (
     graph_queries,
     sequence_queries,
     association_queries,
+    facts_queries,
     knockout_queries,
     table_queries,
     region_queries,
