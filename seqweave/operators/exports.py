@@ -85,9 +85,11 @@ def uncovered(table: DataFrame, needed: DataFrame, keys: list[str]) -> DataFrame
     return needed.select(*keys).distinct().join(table.select(*keys).distinct(), keys, "left_anti")
 
 
-def counts_with_empty(rows: DataFrame, key: str, size: int, weight: Column | None = None) -> DataFrame:
-    """Count (or weighted sum) per integer key 0..size-1, empty keys as zero."""
+def counts_with_empty(rows: DataFrame, key: str, least: int = 0, weight: Column | None = None) -> DataFrame:
+    """Count (or weighted sum) per integer key from 0 to the largest one (at least
+    ``least`` keys), empty keys as zero."""
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = rows.groupBy(key).agg(amount.alias("n"))
-    full = rows.sparkSession.range(size).withColumnRenamed("id", key)
+    largest = counted.agg(F.max(key)).first()[0]
+    full = rows.sparkSession.range(max(least, (largest or 0) + 1)).withColumnRenamed("id", key)
     return full.join(counted, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))

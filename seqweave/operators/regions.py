@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.operators.tiling import median_position
 from seqweave.session import cut_lineage
 
 
@@ -37,8 +38,7 @@ def link_flags(
         F.count(F.lit(1)).alias("carriers"),
         *[share(F.col("distance") <= t).alias(f"near{t}") for t in near],
         share(F.col("sep") >= sep).alias("sep_share"),
-        F.percentile("distance", F.lit(0.5)).alias("median_distance"),
-    )
+    ).join(median_position(geometry, ["pair"], "distance", "median_distance"), "pair")
     enough = F.col("carriers") >= min_carriers
     return (
         summary.join(carriers_alone(genes, pairs), "pair")
@@ -56,10 +56,8 @@ def family_places(genes: DataFrame, families: DataFrame) -> DataFrame:
     spots = wanted.groupBy("family", "spot").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("n"), F.coalesce("spot", F.lit(-1)).alias("s")))
     major = spots.groupBy("family").agg(F.nullif(best["s"], F.lit(-1)).alias("spot"))
-    place = wanted.groupBy("family").agg(
-        F.percentile("pos", F.lit(0.5)).alias("median"), F.avg(F.col("in_rgp").cast("double")).alias("rgp")
-    )
-    return major.join(place, "family")
+    share = wanted.groupBy("family").agg(F.avg(F.col("in_rgp").cast("double")).alias("rgp"))
+    return major.join(median_position(wanted, ["family"], "pos", "median"), "family").join(share, "family")
 
 
 def assign_regions(places: DataFrame, gap: float = 10) -> DataFrame:

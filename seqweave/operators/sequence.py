@@ -9,11 +9,13 @@ from seqweave.operators.tiling import (
     TILE,
     carry_last,
     islands,
+    median_position,
     number_rows,
     over_tiles,
     running_sum,
     unroll_circular,
 )
+from seqweave.session import cut_lineage
 
 
 def anchor_families(genes: DataFrame, names: list[str]) -> DataFrame:
@@ -148,13 +150,14 @@ def backbone(genes: DataFrame, share: float = 0.95) -> DataFrame:
     copies = genes.groupBy("genome", "family").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")
     )
+    once = copies.where(F.col("n") == 1)
     single = (
-        copies.where(F.col("n") == 1)
-        .groupBy("family")
-        .agg(F.count(F.lit(1)).alias("single"), F.percentile("pos", F.lit(0.5)).alias("median"))
+        once.groupBy("family")
+        .agg(F.count(F.lit(1)).alias("single"))
         .where(F.col("single") >= F.lit(share) * genome_count(genes))
     )
-    return number_rows(single, [], ["median", "family"], F.floor(F.col("median") / 256), "rank")
+    placed = single.join(median_position(once, ["family"], "pos", "median"), "family")
+    return number_rows(cut_lineage(placed), [], ["median", "family"], F.floor(F.col("median") / 256), "rank")
 
 
 def plastic_runs(genes: DataFrame, size: int = TILE) -> DataFrame:
@@ -336,7 +339,7 @@ def pair_geometry(genes: DataFrame, pairs: DataFrame, is_backbone: Column, size:
     counted = running_sum(
         genes.withColumn("_bb", is_backbone.cast("int")), ["genome"], F.col("_bb"), "cum", size=size
     )
-    totals = counted.groupBy("genome").agg(F.max("cum").alias("bb_total"))
+    totals = genes.groupBy("genome").agg(F.sum(is_backbone.cast("int")).alias("bb_total"))
     sides = pairs.select("pair", F.col("a").alias("family"), F.lit("a").alias("side")).unionByName(
         pairs.select("pair", F.col("b").alias("family"), F.lit("b").alias("side"))
     )
@@ -345,6 +348,7 @@ def pair_geometry(genes: DataFrame, pairs: DataFrame, is_backbone: Column, size:
         .join(sides, "family")
         .withColumn("at", F.struct("pos", "cum", "_bb"))
     )
+    copies = cut_lineage(copies)
     key = ["pair", "genome"]
     ends = copies.where(F.col("side") == "b").groupBy(*key).agg(
         F.min("at").alias("b_first"), F.max("at").alias("b_last")

@@ -175,15 +175,19 @@ def value_chunk(value: str, bounds: Sequence[float]) -> Column:
 
 
 def running_count_by_value(
-    df: DataFrame, keys: Sequence[str], value: str, bounds: Sequence[float], weight: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    bounds: Sequence[float] = (),
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Distinct values per key with ``n`` rows each, ``below`` rows under them and ``total``.
 
     Equal values are folded before anything is sorted, so ties cost nothing.
+    ``chunk`` (rising with the value) replaces the pieces given by ``bounds``.
     """
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    folded = df.groupBy(*keys, value).agg(amount.alias("n")).withColumn(
-        "_chunk", value_chunk(value, bounds)
+    folded = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "_chunk", value_chunk(value, bounds) if chunk is None else chunk
     )
     sizes = folded.groupBy(*keys, "_chunk").agg(F.sum("n").alias("_t"))
     per_key = Window.partitionBy(*keys)
@@ -204,10 +208,16 @@ def running_count_by_value(
 
 
 def grouped_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, bounds: Sequence[float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    q: float,
+    out: str,
+    bounds: Sequence[float] = (),
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Exact quantile with linear interpolation, without holding a group in one task."""
-    ranked = running_count_by_value(df, keys, value, bounds)
+    ranked = running_count_by_value(df, keys, value, bounds, chunk)
     at = F.lit(q) * (F.col("total") - 1)
     low, high = F.floor(at), F.ceil(at)
     v = F.col(value).cast("double")
@@ -248,3 +258,8 @@ def carry_last(
         .withColumn(out, F.coalesce("_own", "_handed"))
         .drop("_v", "_tile", "_own", "_handed")
     )
+
+
+def median_position(df: DataFrame, keys: Sequence[str], pos: str, out: str) -> DataFrame:
+    """Exact median of an integer position or distance per key, counted in tiles of the line."""
+    return grouped_quantile(df, keys, pos, 0.5, out, chunk=F.floor(F.col(pos) / 4096))

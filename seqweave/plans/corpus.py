@@ -38,21 +38,21 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def genes(spark: SparkSession, folder: str) -> DataFrame:
-    """genome, pos, length and the gene columns; numbered in day-sized pieces."""
+    """genome, pos, length and the gene columns; numbered in hour-sized pieces."""
     return number_rows(
-        raw_events(spark, folder), ["genome"], ["ts", "event_id"], F.to_date("ts"), "pos", "length"
+        raw_events(spark, folder), ["genome"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "pos", "length"
     ).drop("ts")
 
 
 def contig_genes(spark: SparkSession, folder: str) -> DataFrame:
     """The same genes numbered within contigs (``idx``), with contig length and circularity."""
     return number_rows(
-        raw_events(spark, folder), ["contig"], ["ts", "event_id"], F.to_date("ts"), "idx", "length"
+        raw_events(spark, folder), ["contig"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "idx", "length"
     ).withColumn("circular", F.col("contig") % 3 != 0).drop("ts")
 
 
 def order_genes(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines of a customer in date order; numbered in month-sized pieces."""
+    """Order lines of a customer in date order; numbered in day-sized pieces."""
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
     )
@@ -77,7 +77,7 @@ def order_genes(spark: SparkSession, folder: str) -> DataFrame:
         rows,
         ["genome"],
         ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-        F.trunc("o_orderdate", "month"),
+        F.to_date("o_orderdate"),
         "pos",
         "length",
     ).drop("o_orderdate")

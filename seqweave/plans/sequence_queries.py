@@ -8,6 +8,7 @@ from seqweave.operators import graph as G
 from seqweave.operators import sequence as S
 from seqweave.operators import tiling as T
 from seqweave.plans import corpus as C
+from seqweave.session import cut_lineage
 from seqweave.sources.tables import typed
 
 QUERIES = {}
@@ -160,7 +161,7 @@ def plastic_runs(spark, folder):
     return S.plastic_runs(C.genes(spark, folder))
 
 
-BLOCKS = """m AS (SELECT name, genome, pos, length FROM ev WHERE allele % 4 = 0),
+BLOCKS = """m AS (SELECT name, genome, pos, length FROM ev WHERE in_rgp),
 mm AS (SELECT name, genome, pos, length, row_number() OVER w AS i, count(*) OVER (PARTITION BY name, genome) AS n,
   (((pos - coalesce(lag(pos) OVER w, last_value(pos) OVER (PARTITION BY name, genome ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) % length) + length) % length AS gap
@@ -175,7 +176,7 @@ blocks AS (SELECT name, genome, CASE WHEN rs = 0 THEN cuts ELSE rs END AS block,
 
 
 def _members(spark, folder):
-    rows = C.genes(spark, folder).where(F.col("allele") % 4 == 0)
+    rows = C.genes(spark, folder).where("in_rgp")
     return rows.select("name", "genome", "pos", "length")
 
 
@@ -190,7 +191,7 @@ s AS (SELECT *, CASE WHEN median - lag(median) OVER (ORDER BY median, family) <=
 SELECT family, median, sum(st) OVER (ORDER BY median, family)::BIGINT AS "group" FROM s"""
 )
 def position_groups(spark, folder):
-    medians = C.genes(spark, folder).groupBy("family").agg(F.percentile("pos", F.lit(0.5)).alias("median"))
+    medians = T.median_position(C.genes(spark, folder), ["family"], "pos", "median")
     return S.single_linkage(medians, "median", "family", 0.5)
 
 
@@ -252,7 +253,7 @@ def _pairs(spark):
 
 def _geometry(spark, folder):
     rows = _backbone_flag(C.genes(spark, folder), BB_SHARE)
-    return S.pair_geometry(rows, _pairs(spark), F.col("bb"))
+    return cut_lineage(S.pair_geometry(rows, _pairs(spark), F.col("bb")))
 
 
 @query(f"WITH {C.EV}, {BB}, {GEOM} SELECT pair::BIGINT AS pair, genome, distance, sep::BIGINT AS sep FROM geom")

@@ -222,9 +222,9 @@ def nucleus_size(spark, folder):
     return cum.groupBy("prev").agg((F.count_if(F.round("cum", 9) < 0.9) + 1).alias("nucleus"))
 
 
-VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS m FROM embeddings),
 x AS (SELECT q.vec_id AS id, b.vec_id AS exemplar, q.label, b.label AS cluster, round(list_cosine_similarity(q.e, b.e), 12) AS cosine
-  FROM v q, v b WHERE b.vec_id % 10 = 0),
+  FROM v q, v b WHERE b.m <= 6),
 nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, exemplar) AS place FROM x)"""
 
 
@@ -235,7 +235,10 @@ def vectors(spark, folder):
 
 
 def _bank(rows):
-    return rows.where(F.col("id") % 10 == 0).select(F.col("id").alias("exemplar"), "v", F.col("label").alias("cluster"))
+    """The exemplar bank: the first six members of every label."""
+    return G.top_k(rows, ["label"], [F.col("id")], 6).select(
+        F.col("id").alias("exemplar"), "v", F.col("label").alias("cluster")
+    )
 
 
 @query(f"WITH {VEC} SELECT id, exemplar, round(cosine, 6) AS cosine, place FROM nn WHERE place <= 15")
@@ -351,12 +354,12 @@ def uncovered_reads(spark, folder):
 
 
 @query(
-    """SELECT b AS k, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 60)) AS b) LEFT JOIN
+    """SELECT b AS k, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, (SELECT floor(max(value) / 10)::BIGINT + 1 FROM events))) AS b) LEFT JOIN
   (SELECT floor(value / 10)::BIGINT AS k, count(*) AS n FROM events GROUP BY 1) ON k = b"""
 )
 def value_histogram(spark, folder):
     rows = table(spark, folder, "events").select(F.floor(F.col("value") / 10).alias("k"))
-    return E.counts_with_empty(rows, "k", 60)
+    return E.counts_with_empty(rows, "k")
 
 
 @query(
