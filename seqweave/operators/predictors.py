@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.operators.decoder import call_rows
+from seqweave.operators.graph import top_k
 
 
 def branch_probabilities(
@@ -157,3 +158,51 @@ def neighbour_predictor(sites: DataFrame, nearest: DataFrame, freq: DataFrame) -
             ((F.col("same") + F.col("freq")) / (F.col("others") + 1)).alias("q"),
         )
     )
+
+
+def similar_allele_predictor(sites: DataFrame, near: DataFrame, freq: DataFrame) -> DataFrame:
+    """Vote of the sites whose allele is most similar, other genomes only.
+
+    ``sites``: fork, genome, allele, branch; ``near``: fork, allele, other. One row
+    per (fork, genome, allele, branch): n, same, others, q.
+    """
+    own = sites.groupBy("fork", "genome", "allele", "branch").agg(F.count(F.lit(1)).alias("n"))
+    votes = own.select("fork", F.col("allele").alias("other"), "genome", "branch", F.col("n").alias("v"))
+    heard = (
+        near.join(votes, ["fork", "other"])
+        .groupBy("fork", "allele", "genome", "branch")
+        .agg(F.sum("v").alias("v"))
+    )
+    total = heard.groupBy("fork", "allele", "branch").agg(F.sum("v").alias("branch_v"))
+    every = total.groupBy("fork", "allele").agg(F.sum("branch_v").alias("all_v"))
+    mine = heard.groupBy("fork", "allele", "genome").agg(F.sum("v").alias("mine_v"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return (
+        own.join(total, ["fork", "allele", "branch"], "left")
+        .join(every, ["fork", "allele"], "left")
+        .join(heard.withColumnRenamed("v", "own_v"), ["fork", "allele", "genome", "branch"], "left")
+        .join(mine, ["fork", "allele", "genome"], "left")
+        .join(freq.select("fork", "genome", "branch", "freq"), ["fork", "genome", "branch"])
+        .withColumn("same", zero("branch_v") - zero("own_v"))
+        .withColumn("others", zero("all_v") - zero("mine_v"))
+        .select(
+            "fork", "genome", "allele", "branch", "n", "same", "others",
+            ((F.col("same") + F.col("freq")) / (F.col("others") + 1)).alias("q"),
+        )
+    )
+
+
+def ablation_effects(variants: DataFrame, least: int = 10, k: int = 6) -> DataFrame:
+    """What removing a family upstream costs the true branch: fork, family, n, mean drop in
+    bits, share of sites whose best branch changes; the ``k`` largest drops per fork among
+    families removed at ``least`` sites. ``variants``: fork, family, q0, q1, flipped."""
+    effects = (
+        variants.groupBy("fork", "family")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg(F.log2("q0") - F.log2("q1")).alias("drop"),
+            F.avg(F.col("flipped").cast("double")).alias("flip_rate"),
+        )
+        .where(F.col("n") >= least)
+    )
+    return top_k(effects, ["fork"], [F.desc(F.round("drop", 9)), F.col("family")], k)

@@ -465,3 +465,141 @@ def nearest_genomes_predictor(spark, folder):
     distance = A.allele_distance(loci(rows))
     nearest = nearest_in_group(at.select("fork", "genome").distinct(), "fork", distance, 15)
     return _round(P.neighbour_predictor(at, nearest, P.leave_one_out_frequency(at)), "q")
+
+
+@query(
+    f"""WITH {SITES},
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+fa AS (SELECT DISTINCT fork, prev_allele AS allele FROM sites),
+nn AS (SELECT a.fork, a.allele, b.allele AS other FROM fa a JOIN fa b ON b.fork = a.fork AND b.allele <> a.allele
+  JOIN v x ON x.vec_id = a.allele JOIN v y ON y.vec_id = b.allele
+  QUALIFY row_number() OVER (PARTITION BY a.fork, a.allele ORDER BY 1 - round(list_cosine_similarity(x.e, y.e), 12), b.allele) <= 5),
+o AS (SELECT nn.fork, nn.allele, s.genome, s.branch, count(*) AS v FROM nn JOIN sites s ON s.fork = nn.fork AND s.prev_allele = nn.other GROUP BY 1, 2, 3, 4),
+r AS (SELECT f.fork, f.genome, f.prev_allele AS allele, f.branch, count(*) AS n, any_value(freq) AS freq FROM fr f GROUP BY 1, 2, 3, 4)
+SELECT r.fork, r.genome, r.allele, r.branch, n,
+  coalesce((SELECT sum(v) FROM o WHERE o.fork = r.fork AND o.allele = r.allele AND o.branch = r.branch AND o.genome <> r.genome), 0)::BIGINT AS same,
+  coalesce((SELECT sum(v) FROM o WHERE o.fork = r.fork AND o.allele = r.allele AND o.genome <> r.genome), 0)::BIGINT AS others,
+  round((coalesce((SELECT sum(v) FROM o WHERE o.fork = r.fork AND o.allele = r.allele AND o.branch = r.branch AND o.genome <> r.genome), 0) + freq)
+    / (coalesce((SELECT sum(v) FROM o WHERE o.fork = r.fork AND o.allele = r.allele AND o.genome <> r.genome), 0) + 1), 6) AS q FROM r"""
+)
+def similar_allele_predictor(spark, folder):
+    """Branches of the sites whose upstream allele has the most similar vector."""
+    from seqweave.operators.neighbours import nearest_in_group
+    from seqweave.plans.table_queries import vectors
+
+    at = sites(spark, folder).withColumnRenamed("prev_allele", "allele")
+    alleles = at.select("fork", "allele").distinct()
+    known = vectors(spark, folder).join(
+        alleles.select(F.col("allele").alias("id")).distinct(), "id", "left_semi"
+    )
+    near = nearest_in_group(
+        alleles.withColumnRenamed("allele", "genome"), "fork", vector_distance(known), 5
+    ).withColumnRenamed("genome", "allele")
+    return _round(P.similar_allele_predictor(at, near, P.leave_one_out_frequency(at)), "q")
+
+
+def vector_distance(vectors):
+    """1 - cosine of every pair of vectors: g1, g2, d, as a blocked product over dimensions."""
+    from seqweave.operators.pairs import pair_products
+
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    long = vectors.withColumn("_n", norm).select("id", F.posexplode("v").alias("dim", "x"), "_n").select(
+        "id", "dim", (F.col("x") / F.col("_n")).alias("x")
+    )
+    dots = pair_products(cut_lineage(long), "id", "dim", ["x"])
+    return dots.select(F.col("a").alias("g1"), F.col("b").alias("g2"), (1 - F.round("x", 12)).alias("d"))
+
+
+@query(
+    f"""WITH {SITES},
+m3 AS (SELECT fork, path_3, branch AS best0 FROM sites GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY fork, path_3 ORDER BY count(*) DESC, branch) = 1),
+m2 AS (SELECT fork, path_2, branch AS best1 FROM sites GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY fork, path_2 ORDER BY count(*) DESC, branch) = 1),
+q AS (SELECT fr.*, ({_lo('path_3')[0]} + freq) / ({_lo('path_3')[1]} + 1) AS q0, ({_lo('path_2')[0]} + freq) / ({_lo('path_2')[1]} + 1) AS q1 FROM fr),
+v AS (SELECT fork, split_part(path_3, '>', 1) AS family, q0, q1, best0 <> best1 AS flipped FROM q JOIN m3 USING (fork, path_3) JOIN m2 USING (fork, path_2)),
+e AS (SELECT fork, family, count(*) AS n, avg(log2(q0) - log2(q1)) AS "drop", avg(flipped::INT) AS flip_rate FROM v GROUP BY 1, 2 HAVING count(*) >= 10)
+SELECT fork, family, n, round("drop", 6) AS "drop", round(flip_rate, 6) AS flip_rate, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY fork ORDER BY round("drop", 9) DESC, family) AS place FROM e) WHERE place <= 6"""
+)
+def ablation_effects(spark, folder):
+    """The farthest gene of the path removed: what the true branch loses."""
+    rows = sites(spark, folder)
+    freq = P.leave_one_out_frequency(rows)
+    q3 = P.path_predictor(rows, "path_3", freq).select("fork", "path_3", "genome", "branch", F.col("q").alias("q0"))
+    q2 = P.path_predictor(rows, "path_2", freq).select("fork", "path_2", "genome", "branch", F.col("q").alias("q1"))
+
+    def best(path, name):
+        counts = rows.groupBy("fork", path, "branch").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("fork", path).agg(
+            F.min(F.struct((-F.col("n")).alias("n"), F.col("branch").alias("b")))["b"].alias(name)
+        )
+
+    variants = (
+        rows.join(q3, ["fork", "path_3", "genome", "branch"])
+        .join(q2, ["fork", "path_2", "genome", "branch"])
+        .join(best("path_3", "best0"), ["fork", "path_3"])
+        .join(best("path_2", "best1"), ["fork", "path_2"])
+        .select("fork", F.substring_index("path_3", ">", 1).alias("family"), "q0", "q1", (F.col("best0") != F.col("best1")).alias("flipped"))
+    )
+    return _round(P.ablation_effects(variants), "drop", "flip_rate")
+
+
+RELATED = f"""{C.EV}, {LOCI},
+tr AS (SELECT genome, locus AS trait, allele % 24 // 8 AS v FROM lc),
+nx AS (SELECT genome, pos, name, lead(name) OVER (PARTITION BY genome ORDER BY pos) AS nxt FROM ev),
+oc AS (SELECT genome, name AS outcome, arg_min(nxt, pos) AS b FROM nx WHERE nxt IS NOT NULL GROUP BY 1, 2),
+bn AS (SELECT g1, g2, CASE WHEN d < 0.9 THEN 0 WHEN d < 0.95 THEN 1 ELSE 2 END AS bin FROM dist),
+pq AS (SELECT bin, g1, g2, x.outcome, (x.b = y.b)::INT AS sb FROM bn JOIN oc x ON x.genome = g1 JOIN oc y ON y.genome = g2 AND y.outcome = x.outcome),
+ps AS (SELECT g1, g2, x.trait FROM bn JOIN tr x ON x.genome = g1 JOIN tr y ON y.genome = g2 AND y.trait = x.trait AND y.v = x.v)"""
+
+RELATED_Z = """mg{i} AS (SELECT bin, outcome, count(*)::DOUBLE AS n, sum(sb)::DOUBLE AS c FROM pq WHERE {w} GROUP BY 1, 2),
+cr{i} AS (SELECT bin, trait, outcome, count(*)::DOUBLE AS r, sum(sb)::DOUBLE AS a FROM pq JOIN ps USING (g1, g2) WHERE {w} GROUP BY 1, 2, 3),
+zz{i} AS (SELECT t.trait, m.outcome, sum(coalesce(a, 0) - coalesce(r, 0) * c / n) /
+  sqrt(greatest(sum(coalesce(r, 0) * (n - coalesce(r, 0)) * c * (n - c) / (n * n * (n - 1))), 1e-9)) AS z
+  FROM mg{i} m CROSS JOIN (SELECT DISTINCT trait FROM tr) t LEFT JOIN cr{i} x ON x.bin = m.bin AND x.trait = t.trait AND x.outcome = m.outcome
+  WHERE n > 1 GROUP BY 1, 2)"""
+
+
+def _related(spark, folder):
+    from seqweave.operators.graph import adjacencies
+
+    rows = C.genes(spark, folder)
+    single = loci(rows)
+    traits = single.select("genome", F.col("locus").alias("name"), F.floor(F.col("allele") % 24 / 8).alias("value"))
+    named = rows.drop("family").withColumnRenamed("name", "family")
+    ahead = adjacencies(named).where(F.col("next").isNotNull())
+    outcomes = ahead.groupBy("genome", F.col("family").alias("name")).agg(
+        F.min(F.struct("pos", "next"))["next"].alias("value")
+    )
+    d = F.col("d")
+    bin_ = F.when(d < 0.9, 0).when(d < 0.95, 1).otherwise(2)
+    binned = A.allele_distance(single).select("g1", "g2", bin_.alias("bin"))
+    return cut_lineage(traits), cut_lineage(outcomes), cut_lineage(binned)
+
+
+@query(f"WITH {RELATED}, {RELATED_Z.format(i='', w='true')} SELECT trait, outcome, round(z, 6) AS z FROM zz")
+def relatedness_cmh(spark, folder):
+    """Same allele against same branch over all pairs of genomes, by relatedness."""
+    from seqweave.operators.relatedness import agreement_cmh
+
+    return _round(agreement_cmh(*_related(spark, folder)), "z")
+
+
+@query(
+    f"""WITH {RELATED}, {RELATED_Z.format(i='', w='true')}, {RELATED_Z.format(i='a', w='g1 % 2 = 0 AND g2 % 2 = 0')},
+{RELATED_Z.format(i='b', w='g1 % 2 = 1 AND g2 % 2 = 1')},
+j AS (SELECT z.z, a.z AS za, b.z AS zb, CASE WHEN split_part(z.trait, '#', 1) = z.outcome THEN 'same class' ELSE 'other class' END AS band
+  FROM zz z JOIN zza a USING (trait, outcome) JOIN zzb b USING (trait, outcome))
+SELECT band, count(*) AS tests, round(avg((z > 1)::INT), 6) AS beyond, round(avg((za > 1)::INT), 6) AS in_a, round(avg((zb > 1)::INT), 6) AS in_b,
+  round(avg((za > 1 AND zb > 1)::INT), 6) AS in_both, round(avg((za > 1)::INT) * avg((zb > 1)::INT), 6) AS expected FROM j GROUP BY 1"""
+)
+def decay_table(spark, folder):
+    """Share of strong associations per class, in all genomes and replicated in two halves."""
+    from seqweave.operators.relatedness import agreement_cmh, decay_table as run
+
+    traits, outcomes, binned = _related(spark, folder)
+    tests = agreement_cmh(traits, outcomes, binned)
+    for half, name in ((0, "z_a"), (1, "z_b")):
+        part = binned.where((F.pmod("g1", F.lit(2)) == half) & (F.pmod("g2", F.lit(2)) == half))
+        tests = tests.join(agreement_cmh(traits, outcomes, part).withColumnRenamed("z", name), ["trait", "outcome"])
+    band = F.when(F.substring_index("trait", "#", 1) == F.col("outcome"), "same class").otherwise("other class")
+    return _round(run(tests, band, 1.0), "beyond", "in_a", "in_b", "in_both", "expected")

@@ -234,3 +234,110 @@ def partitions(spark, folder):
     freq = A.frequency_band(rows, 0.0, 1.0)
     part = F.when(F.col("freq") >= 0.9, "core").when(F.col("freq") >= 0.8, "shell").otherwise("cloud")
     return freq.select("family", F.round("freq", 6).alias("share"), part.alias("part"))
+
+
+def _blocks_sql(src, name, gap):
+    """Circular blocks of the positions in ``src`` (region, genome, pos, length)."""
+    return f"""{name}_m AS (SELECT region, genome, pos, length, (((pos - coalesce(lag(pos) OVER w, last_value(pos) OVER (PARTITION BY region, genome
+    ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) % length) + length) % length AS gap
+  FROM {src} WINDOW w AS (PARTITION BY region, genome ORDER BY pos)),
+{name}_s AS (SELECT *, CASE WHEN gap > {gap} OR gap = 0 THEN 1 ELSE 0 END AS st FROM {name}_m),
+{name}_r AS (SELECT *, sum(st) OVER (PARTITION BY region, genome ORDER BY pos) AS rs, sum(st) OVER (PARTITION BY region, genome) AS cuts FROM {name}_s),
+{name} AS (SELECT region, genome, min(CASE WHEN cuts = 0 OR st = 1 THEN pos END) AS start,
+  coalesce(max(CASE WHEN rs = 0 THEN pos END), max(pos)) AS "end", count(*) AS genes FROM {name}_r
+  GROUP BY region, genome, CASE WHEN rs = 0 THEN cuts ELSE rs END)"""
+
+
+ELEMENTS = f"""{C.EV}, {BB},
+own AS (SELECT name || '/' || (allele % 8 // 4) AS region, genome, pos, length, family FROM ev),
+regs AS (SELECT DISTINCT region, CASE WHEN region LIKE '%/0' AND region NOT LIKE 'view%' THEN CASE WHEN region < 'f' THEN 0 ELSE 1 END END AS spot FROM own),
+prs AS (SELECT region, genome, count(DISTINCT family) / 4.0::DOUBLE AS share, count(DISTINCT family) >= 2 AS present FROM own GROUP BY 1, 2),
+ats AS (SELECT region, genome, min(pos) AS lo, max(pos) AS hi FROM regs JOIN ev ON ev.spot = regs.spot GROUP BY 1, 2),
+ins AS (SELECT own.* FROM own JOIN ats USING (region, genome) WHERE pos BETWEEN lo - 5 AND hi + 5),
+{_blocks_sql('ins', 'sb', 3)},
+sbest AS (SELECT region, genome, start, "end", genes FROM sb JOIN ats USING (region, genome)
+  QUALIFY row_number() OVER (PARTITION BY region, genome ORDER BY genes DESC, abs(start - lo), start) = 1),
+{_blocks_sql('own', 'ab', 3)},
+cen AS (SELECT region, quantile_cont(pos, 0.5)::DOUBLE AS center FROM own GROUP BY 1),
+cb AS (SELECT ab.region, ab.genome, start, "end", genes FROM ab JOIN prs USING (region, genome) LEFT JOIN ats USING (region, genome) JOIN cen USING (region)
+  WHERE present QUALIFY row_number() OVER (PARTITION BY ab.region, ab.genome ORDER BY abs((start + "end") / 2.0::DOUBLE - coalesce(lo, center)), genes DESC, start) = 1),
+one AS (SELECT genome, family, min(pos) AS pos, any_value(length) AS length FROM ev GROUP BY 1, 2 HAVING count(*) = 1),
+ub AS (SELECT genome, family, pos + t * length AS pos FROM one, (VALUES (-1), (0), (1)) AS v(t) WHERE family IN (SELECT family FROM bb)),
+lf AS (SELECT region, genome, (SELECT arg_max(u.family, u.pos) FROM ub u WHERE u.genome = cb.genome AND u.pos BETWEEN start - 10 AND start - 1) AS f FROM cb),
+rf AS (SELECT region, genome, (SELECT arg_min(u.family, u.pos) FROM ub u WHERE u.genome = cb.genome AND u.pos BETWEEN "end" + 1 AND "end" + 10) AS f FROM cb),
+lm AS (SELECT region, f FROM lf WHERE f IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, f) = 1),
+rm AS (SELECT region, f FROM rf WHERE f IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, f) = 1),
+pts AS (SELECT r.region, g.genome, coalesce(l.pos + 1, rr.pos) AS pt FROM regs r CROSS JOIN (SELECT DISTINCT genome FROM ev) g
+  LEFT JOIN lm ON lm.region = r.region LEFT JOIN one l ON l.genome = g.genome AND l.family = lm.f
+  LEFT JOIN rm ON rm.region = r.region LEFT JOIN one rr ON rr.genome = g.genome AND rr.family = rm.f
+  WHERE coalesce(l.pos + 1, rr.pos) IS NOT NULL AND (r.region, g.genome) NOT IN (SELECT (region, genome) FROM ats)),
+fb AS (SELECT p.region, p.genome, pt, start, "end", genes FROM pts p LEFT JOIN ab USING (region, genome)
+  QUALIFY row_number() OVER (PARTITION BY p.region, p.genome ORDER BY abs((start + "end") / 2.0::DOUBLE - pt), genes DESC, start) = 1),
+elem AS (SELECT a.region, a.genome, lo AS ins, 'spot' AS how, start, "end", genes FROM ats a LEFT JOIN sbest USING (region, genome)
+  UNION ALL SELECT region, genome, pt, 'flanks', CASE WHEN abs(start - pt) <= 10 THEN start END, CASE WHEN abs(start - pt) <= 10 THEN "end" END,
+  CASE WHEN abs(start - pt) <= 10 THEN genes END FROM fb)"""
+
+
+def _elements(spark, folder):
+    from seqweave.operators import elements as E
+
+    rows = C.genes(spark, folder)
+    flags = S.backbone(rows, 0.3).select("family", F.lit(True).alias("bb"))
+    rows = cut_lineage(
+        rows.join(flags, "family", "left").select(
+            "genome", "pos", "length", "family", "name", "allele", "spot", F.coalesce("bb", F.lit(False)).alias("bb")
+        )
+    )
+    region = F.concat_ws("/", "name", F.floor(F.col("allele") % 8 / 4).cast("string"))
+    members = cut_lineage(rows.select(region.alias("region"), "family").distinct())
+    spot = F.when(
+        F.col("region").endswith("/0") & ~F.col("region").startswith("view"), F.when(F.col("region") < "f", 0).otherwise(1)
+    )
+    regions = members.select("region").distinct().withColumn("spot", spot.cast("bigint"))
+    presence = cut_lineage(E.region_presence(rows, members))
+    found = cut_lineage(E.locate_elements(rows, members, regions, gap=3, near=10, reach=10))
+    return rows, found, presence
+
+
+@query(f'WITH {ELEMENTS} SELECT region, genome, ins, how, start, "end", genes FROM elem')
+def element_places(spark, folder):
+    return _elements(spark, folder)[1]
+
+
+RULES = ELEMENTS + """,
+ec AS (SELECT e.*, length FROM elem e JOIN prs USING (region, genome) JOIN (SELECT DISTINCT genome, length FROM ev) USING (genome)
+  WHERE present AND start IS NOT NULL),
+be AS (SELECT ec.region, ec.genome, side, v.family FROM ec CROSS JOIN (VALUES ('pred'), ('succ')) AS s(side)
+  JOIN ev v ON v.genome = ec.genome AND v.pos = CASE side WHEN 'pred' THEN (start - 1 + ec.length) % ec.length ELSE ("end" + 1) % ec.length END),
+bm AS (SELECT region, side, family, n / sum(n) OVER (PARTITION BY region, side) AS share FROM (SELECT region, side, family, count(*) AS n FROM be GROUP BY 1, 2, 3)
+  QUALIFY row_number() OVER (PARTITION BY region, side ORDER BY n DESC, family) = 1),
+nc AS (SELECT ec.region, ec.genome, side, CASE side WHEN 'pred' THEN start ELSE ("end" + 1) % ec.length END AS want, v.pos + CASE side WHEN 'pred' THEN 1 ELSE 0 END AS row
+  FROM ec JOIN bm USING (region) JOIN ev v ON v.genome = ec.genome AND v.family = bm.family AND abs(v.pos - ins) <= 40
+  QUALIFY row_number() OVER (PARTITION BY ec.region, ec.genome, side ORDER BY abs(v.pos - ins), v.pos) = 1),
+rules AS (SELECT bm.region, bm.side, bm.family, share, coalesce(h, 0) / k AS valid FROM bm
+  JOIN (SELECT region, count(*)::DOUBLE AS k FROM ec GROUP BY 1) USING (region)
+  LEFT JOIN (SELECT region, side, count(*) FILTER (WHERE row = want) AS h FROM nc GROUP BY 1, 2) USING (region, side))"""
+
+
+@query(
+    f"""WITH {RULES} SELECT region, side, family, round(share, 6) AS share, round(valid, 6) AS valid, share >= 0.05 AND valid >= 0.05 AS usable FROM rules"""
+)
+def insertion_rules(spark, folder):
+    from seqweave.operators import elements as E
+
+    return _round(E.insertion_rules(*_elements(spark, folder), share=0.05, valid=0.05), "share", "valid")
+
+
+@query(
+    f"""WITH {RULES} SELECT region, genome, row, side FROM (SELECT e.region, e.genome, side, v.pos + CASE side WHEN 'pred' THEN 1 ELSE 0 END AS row, length, v.pos, ins
+  FROM elem e JOIN rules r USING (region) JOIN ev v ON v.genome = e.genome AND v.family = r.family AND abs(v.pos - ins) <= 40
+  WHERE share >= 0.05 AND valid >= 0.05 AND (e.region, e.genome) NOT IN (SELECT (region, genome) FROM prs WHERE present)
+  QUALIFY row_number() OVER (PARTITION BY e.region, e.genome, side ORDER BY abs(v.pos - ins), v.pos) = 1)
+WHERE row < length QUALIFY row_number() OVER (PARTITION BY region, genome ORDER BY side) = 1"""
+)
+def absent_places(spark, folder):
+    from seqweave.operators import elements as E
+
+    rows, found, presence = _elements(spark, folder)
+    rules = cut_lineage(E.insertion_rules(rows, found, presence, share=0.05, valid=0.05))
+    return E.absent_places(rows, found, rules, presence)

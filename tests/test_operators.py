@@ -264,3 +264,28 @@ def test_detectable_shift_and_sign_test(spark):
     p = [r[0] for r in df.select(X.sign_test_p("k", "n")).collect()]
     assert p[0] == pytest.approx(sum(math.comb(9, i) for i in (7, 8, 9)) / 512)
     assert p[1] is None or math.isnan(p[1])
+
+
+def test_agreement_over_blocks_of_genomes(spark, monkeypatch):
+    from seqweave.operators import relatedness as R
+
+    rnd = random.Random(11)
+    traits = {(g, t): rnd.randrange(2) for g in range(24) for t in "pqr" if rnd.random() < 0.6 and not (t == "r" and g > 4)}
+    outcomes = {(g, o): rnd.choice("xy") for g in range(24) for o in "mn" if rnd.random() < 0.8}
+    bins = {(a, b): rnd.randrange(2) for a, b in itertools.combinations(range(24), 2)}
+    long = lambda d: spark.createDataFrame([(g, n, str(v)) for (g, n), v in d.items()], "genome bigint, name string, value string")
+    binned = spark.createDataFrame([(a, b, v) for (a, b), v in bins.items()], "g1 bigint, g2 bigint, bin int")
+    monkeypatch.setattr(R, "GENOMES_PER_BLOCK", 5)
+    got = {(r.trait, r.outcome): r.z for r in R.agreement_cmh(long(traits), long(outcomes), binned).collect()}
+    for t, o in itertools.product("pqr", "mn"):
+        num = var = 0.0
+        for b in (0, 1):
+            ok = [(x, y) for (x, y), v in bins.items() if v == b and (x, o) in outcomes and (y, o) in outcomes]
+            same = lambda d, k, x, y: (x, k) in d and (y, k) in d and d[(x, k)] == d[(y, k)]
+            n, c = len(ok), sum(same(outcomes, o, x, y) for x, y in ok)
+            r = sum(same(traits, t, x, y) for x, y in ok)
+            a = sum(same(traits, t, x, y) and same(outcomes, o, x, y) for x, y in ok)
+            if n > 1:
+                num += a - r * c / n
+                var += r * (n - r) * c * (n - c) / (n * n * (n - 1))
+        assert got[(t, o)] == pytest.approx(num / max(var, 1e-9) ** 0.5)
