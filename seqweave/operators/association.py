@@ -89,7 +89,7 @@ def permute_within(
         "_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col(unit).cast("string")))
     )
     group = ["draw", *keys]
-    by_hash = number_rows(hashed, group, ["_h", unit], F.substring("_h", 1, 2), "_r")
+    by_hash = number_rows(hashed, group, ["_h", unit], F.substring("_h", 1, 3), "_r")
     by_unit = number_rows(hashed, group, [unit], F.floor(F.col(unit) / 4096), "_r")
     left = by_unit.select(*group, "_r", unit)
     right = by_hash.select(*group, "_r", F.col(unit).alias("other"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.operators.sequence import containing_interval
-from seqweave.operators.stats import median_and_mad, robust_z
+from seqweave.session import cut_lineage
+from seqweave.operators.stats import array_median, median_and_mad, robust_z
 
 # (least and greatest size relative to the unit, tolerance of the distance)
 NARROW = (0.5, 2.0, 0.35)
@@ -74,23 +75,19 @@ def matched_controls(
 
 def unit_scores(units: DataFrame, controls: DataFrame, enough: int = 3) -> DataFrame:
     """Robust z of each unit among its controls and its rank percentile (ties half):
-    unit, n_ctrl, z (null below ``enough`` controls), rank_pct."""
-    spread = median_and_mad(controls, ["unit"], "c_delta")
-    ranks = (
-        controls.join(units.select("unit", "delta"), "unit")
-        .groupBy("unit")
-        .agg(
-            F.avg(
-                F.when(F.col("c_delta") < F.col("delta"), 1.0).when(F.col("c_delta") == F.col("delta"), 0.5).otherwise(0.0)
-            ).alias("rank_pct")
-        )
-    )
-    z = robust_z(F.col("delta"), F.col("median"), F.col("mad"))
-    return (
-        units.join(spread, "unit")
-        .join(ranks, "unit")
-        .select("unit", F.col("n").alias("n_ctrl"), F.when(F.col("n") >= enough, z).alias("z"), "rank_pct")
-    )
+    unit, n_ctrl, z (null below ``enough`` controls), rank_pct.
+
+    A unit's controls end at different genes within its distance window, so their
+    number is bounded by that window and they are gathered as one array.
+    """
+    gathered = controls.groupBy("unit").agg(F.collect_list("c_delta").alias("c"))
+    scored = units.select("unit", "delta").join(gathered, "unit").withColumn("median", array_median(F.col("c")))
+    mad = array_median(F.transform("c", lambda x: F.abs(x - F.col("median"))))
+    place = lambda x: F.when(x < F.col("delta"), 1.0).when(x == F.col("delta"), 0.5).otherwise(0.0)
+    n = F.size("c").cast("bigint")
+    z = robust_z(F.col("delta"), F.col("median"), mad)
+    rank = F.aggregate(F.transform("c", place), F.lit(0.0), lambda s, x: s + x) / n
+    return scored.select("unit", n.alias("n_ctrl"), F.when(n >= enough, z).alias("z"), rank.alias("rank_pct"))
 
 
 def stand_in_scores(units: DataFrame, controls: DataFrame, pool: DataFrame, enough: int = 3) -> DataFrame:
@@ -111,6 +108,7 @@ def stand_in_scores(units: DataFrame, controls: DataFrame, pool: DataFrame, enou
             F.col("c_delta").alias("delta"),
         )
     )
+    stand = cut_lineage(stand)
     own = matched_controls(stand, pool, enough)
     scores = unit_scores(stand, own, enough).where(F.col("z").isNotNull())
     return scores.select("unit.unit", "unit.control", "z")
@@ -139,6 +137,7 @@ def downstream_profile(
 def influence_radius(profile: DataFrame, bins: int, level: float = 2.0) -> DataFrame:
     """How far each deletion is felt, its bins judged against the same bin of all others:
     pass, radius (last bin beyond ``level``), contiguous (leading bins beyond it), broad (share of bins)."""
+    profile = cut_lineage(profile)
     spread = median_and_mad(profile, ["bin"], "mean").drop("n")
     z = robust_z(F.col("mean"), F.col("median"), F.col("mad"))
     judged = profile.join(spread, "bin").withColumn("beyond", F.abs(z) > level)

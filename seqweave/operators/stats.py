@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqweave.session import cut_lineage
-from seqweave.operators.tiling import running_count_by_value, value_bounds, value_chunk
+from seqweave.operators.tiling import grouped_quantile, running_count_by_value, value_bounds, value_chunk
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -49,13 +49,24 @@ def robust_z(value: Column, median: Column, mad: Column, floor: float = 1e-6) ->
 
 
 def median_and_mad(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, n, median and median absolute deviation of ``value``."""
-    half = F.lit(0.5)
-    medians = rows.groupBy(*keys).agg(F.percentile(value, half).alias("median"), F.count(value).alias("n"))
-    gaps = rows.join(medians.select(*keys, "median"), list(keys)).groupBy(*keys).agg(
-        F.percentile(F.abs(F.col(value) - F.col("median")), half).alias("mad")
+    """keys, n, median and median absolute deviation of ``value``, for groups of any size."""
+    keys = list(keys)
+    known = cut_lineage(rows.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()))
+    medians = grouped_quantile(known, keys, value, 0.5, "median", value_bounds(known, value))
+    gaps = cut_lineage(
+        known.join(medians, keys).select(*keys, "median", F.abs(F.col(value) - F.col("median")).alias("_gap"))
     )
-    return medians.join(gaps, list(keys))
+    mads = grouped_quantile(gaps, keys, "_gap", 0.5, "mad", value_bounds(gaps, "_gap"))
+    counts = gaps.groupBy(*keys).agg(F.max("median").alias("median"), F.count(F.lit(1)).alias("n"))
+    return counts.join(mads, keys)
+
+
+def array_median(values: Column) -> Column:
+    """Median of an array."""
+    n = F.size(values)
+    ordered = F.array_sort(values)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.ceil((n - 1) / 2).cast("int")
+    return (F.get(ordered, low) + F.get(ordered, high)) / 2
 
 
 def signed_rank(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -119,7 +119,7 @@ def calls(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> Da
     several times. genome, pos, family, half, in_rgp, entropy, p_true, rank_true and ``top``,
     the best clusters with their probabilities, best first.
     """
-    base = with_prev(genes(spark, folder) if rows is None else rows)
+    base = cut_lineage(with_prev(genes(spark, folder) if rows is None else rows))
     model = count_model(base)
     top = model.where(F.col("place") <= TOP).groupBy("prev").agg(
         F.transform(

@@ -28,7 +28,7 @@ def build_session(app: str = "seqweave", master: str | None = None, **conf: str)
 
 def _shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a private one only when none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if "folder" not in _private:
             _private["folder"] = tempfile.mkdtemp(prefix="seqweave-ckpt-")
