@@ -70,13 +70,15 @@ def decode(calls: DataFrame, half_decoder: DataFrame) -> DataFrame:
         .groupBy("half", "top", "read")
         .agg(F.sum(F.col("p") * F.col("weight")).alias("score"))
     )
+    # a list reads as at most the families of its few clusters, so they fit one row
     read = scores.groupBy("half", "top").agg(
-        F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("read").alias("f")))["f"].alias("best")
+        F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("read").alias("f")))["f"].alias("best"),
+        F.map_from_entries(F.collect_list(F.struct("read", "score"))).alias("_reads"),
     )
-    true = scores.select("half", "top", F.col("read").alias("family"), F.col("score").alias("p_read"))
     return (
         calls.join(read, ["half", "top"], "left")
-        .join(true, ["half", "top", "family"], "left")
+        .withColumn("p_read", F.element_at("_reads", F.col("family")))
+        .drop("_reads")
         .withColumn("hit", F.coalesce(F.col("best") == F.col("family"), F.lit(False)))
         .withColumn("p_read", F.coalesce("p_read", F.lit(0.0)))
     )
