@@ -45,13 +45,18 @@ def cmh_matrix(
 ) -> DataFrame:
     """Cochran-Mantel-Haenszel Z of every pair of families over strata: a, b, z, var.
 
-    ``presence``: stratum, genome, family, distinct, strata of ``margins`` only.
+    ``presence``: stratum, genome, family, distinct.
     Observed, expected and variance are three blocked products: over genomes, and
     over strata with the margins as weights. A pair never seen together in a
     stratum still gets its expected value there. ``permuted`` (with ``draw``)
     replaces one side: genomes relabelled within strata, one Z per draw 0..draws-1.
     """
     n, held = F.col("n").cast("double"), F.col("held").cast("double")
+    # strata too small to have margins carry no information
+    kept = margins.select("stratum").distinct()
+    presence = presence.join(kept, "stratum", "left_semi")
+    if permuted is not None:
+        permuted = permuted.join(kept, "stratum", "left_semi")
     weighted = margins.select(
         "stratum",
         "family",
@@ -71,7 +76,8 @@ def cmh_matrix(
         keys = ["draw", "a", "b"]
         both = margin.withColumn("draw", each).join(observed, keys, "left")
     shared = F.coalesce("shared", F.lit(0.0))
-    z = (shared - F.col("expected")) / F.sqrt(F.greatest("var", F.lit(1e-9)))
+    # nine digits, so that equal tables give equal statistics whatever the order of their sums
+    z = F.round((shared - F.col("expected")) / F.sqrt(F.greatest("var", F.lit(1e-9))), 9)
     return both.select(*keys, shared.alias("both"), z.alias("z"), "var")
 
 

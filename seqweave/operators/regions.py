@@ -134,8 +134,8 @@ def edge_support(predicted: DataFrame, reached: DataFrame) -> DataFrame:
     rows = (
         pairs.join(hit.withColumn("hit", F.lit(1)), ["a", "b"], "left")
         .join(into, "b", "left").join(out, "a", "left").fillna(0, ["hit", "into", "out"])
-        .withColumn("t", (F.col("into") - F.col("hit")) / (n_a - 1))
-        .withColumn("s", (F.col("out") - F.col("hit")) / (n_b - 1))
+        .withColumn("t", F.try_divide(F.col("into") - F.col("hit"), n_a - 1))
+        .withColumn("s", F.try_divide(F.col("out") - F.col("hit"), n_b - 1))
     )
     return rows.agg(
         F.count(F.lit(1)).alias("n"),

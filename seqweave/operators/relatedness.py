@@ -100,7 +100,7 @@ def agreement_cmh(traits: DataFrame, outcomes: DataFrame, binned: DataFrame) ->
     return (
         cells.join(margins, ["bin", "outcome"])
         .groupBy("trait", "outcome")
-        .agg((F.sum(over) / F.sqrt(F.greatest(F.sum(var), F.lit(1e-9)))).alias("z"))
+        .agg(F.round(F.sum(over) / F.sqrt(F.greatest(F.sum(var), F.lit(1e-9))), 9).alias("z"))
     )
 
 

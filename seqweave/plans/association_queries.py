@@ -216,7 +216,7 @@ held AS (SELECT DISTINCT genome, family, genome % 6 AS stratum FROM ev),
 fq AS (SELECT family, count(*) AS genomes, count(*) / (SELECT count(DISTINCT genome) FROM ev)::DOUBLE AS freq FROM held GROUP BY 1),
 band AS (SELECT * FROM fq WHERE freq BETWEEN 0.1 AND 0.9),
 pr AS (SELECT held.* FROM held JOIN band USING (family)),
-sz AS (SELECT stratum, count(DISTINCT genome) AS n FROM pr GROUP BY 1),
+sz AS (SELECT stratum, count(DISTINCT genome) AS n FROM pr GROUP BY 1 HAVING count(DISTINCT genome) >= 2),
 mg AS (SELECT stratum, family, count(*) AS held, any_value(n) AS n FROM pr JOIN sz USING (stratum) GROUP BY 1, 2)"""
 
 CMH = PRES + """,
@@ -225,7 +225,7 @@ pairs AS (SELECT x.family AS a, y.family AS b, x.stratum, x.held AS ra, y.held A
 ob AS (SELECT x.stratum, x.family AS a, y.family AS b, count(*) AS k FROM pr x JOIN pr y
   ON y.genome = x.genome AND x.family < y.family GROUP BY 1, 2, 3),
 z AS (SELECT p.a, p.b, sum(coalesce(k, 0))::DOUBLE AS "both",
-  (sum(coalesce(k, 0)) - sum(ra * rb / n)) / sqrt(greatest(sum(ra * (n - ra) * rb * (n - rb) / (n * n * (n - 1))), 1e-9)) AS z,
+  round((sum(coalesce(k, 0)) - sum(ra * rb / n)) / sqrt(greatest(sum(ra * (n - ra) * rb * (n - rb) / (n * n * (n - 1))), 1e-9)), 9) AS z,
   sum(ra * (n - ra) * rb * (n - rb) / (n * n * (n - 1))) AS var
   FROM pairs p LEFT JOIN ob USING (a, b, stratum) GROUP BY 1, 2)"""
 
@@ -255,8 +255,8 @@ pm AS (SELECT x.draw, x.stratum, x.genome, y.genome AS other FROM pm1 x JOIN pm1
   ON y.draw = x.draw AND y.stratum = x.stratum AND y.rh = x.ru),
 nob AS (SELECT pm.draw, x.stratum, x.family AS a, y.family AS b, count(*) AS k FROM pm JOIN pr x ON x.genome = pm.genome
   JOIN pr y ON y.genome = pm.other WHERE x.family < y.family GROUP BY 1, 2, 3, 4),
-nz AS (SELECT d.draw, p.a, p.b, (sum(coalesce(k, 0)) - sum(ra * rb / n))
-  / sqrt(greatest(sum(ra * (n - ra) * rb * (n - rb) / (n * n * (n - 1))), 1e-9)) AS z
+nz AS (SELECT d.draw, p.a, p.b, round((sum(coalesce(k, 0)) - sum(ra * rb / n))
+  / sqrt(greatest(sum(ra * (n - ra) * rb * (n - rb) / (n * n * (n - 1))), 1e-9)), 9) AS z
   FROM pairs p CROSS JOIN (SELECT unnest(range(0, 2)) AS draw) d
   LEFT JOIN nob o ON o.draw = d.draw AND o.a = p.a AND o.b = p.b AND o.stratum = p.stratum GROUP BY 1, 2, 3)"""
 
@@ -299,8 +299,8 @@ def null_bands(spark, folder):
 
 @query(
     f"""WITH {CMH.replace("FROM mg x JOIN mg y ON", "FROM mg x JOIN mg y ON")},
-za AS (SELECT p.a, p.b, stratum % 2 AS half, (sum(coalesce(k, 0)) - sum(ra * rb / n))
-  / sqrt(greatest(sum(ra * (n - ra) * rb * (n - rb) / (n * n * (n - 1))), 1e-9)) AS z
+za AS (SELECT p.a, p.b, stratum % 2 AS half, round((sum(coalesce(k, 0)) - sum(ra * rb / n))
+  / sqrt(greatest(sum(ra * (n - ra) * rb * (n - rb) / (n * n * (n - 1))), 1e-9)), 9) AS z
   FROM pairs p LEFT JOIN ob USING (a, b, stratum) GROUP BY 1, 2, 3)
 SELECT x.a, x.b, round(x.z, 6) AS z_a, round(y.z, 6) AS z_b, sign(x.z) = sign(y.z) AND abs(x.z) > 1 AND abs(y.z) > 1 AS replicated
 FROM za x JOIN za y ON y.a = x.a AND y.b = x.b WHERE x.half = 0 AND y.half = 1"""
@@ -553,8 +553,8 @@ ps AS (SELECT g1, g2, x.trait FROM bn JOIN tr x ON x.genome = g1 JOIN tr y ON y.
 
 RELATED_Z = """mg{i} AS (SELECT bin, outcome, count(*)::DOUBLE AS n, sum(sb)::DOUBLE AS c FROM pq WHERE {w} GROUP BY 1, 2),
 cr{i} AS (SELECT bin, trait, outcome, count(*)::DOUBLE AS r, sum(sb)::DOUBLE AS a FROM pq JOIN ps USING (g1, g2) WHERE {w} GROUP BY 1, 2, 3),
-zz{i} AS (SELECT t.trait, m.outcome, sum(coalesce(a, 0) - coalesce(r, 0) * c / n) /
-  sqrt(greatest(sum(coalesce(r, 0) * (n - coalesce(r, 0)) * c * (n - c) / (n * n * (n - 1))), 1e-9)) AS z
+zz{i} AS (SELECT t.trait, m.outcome, round(sum(coalesce(a, 0) - coalesce(r, 0) * c / n) /
+  sqrt(greatest(sum(coalesce(r, 0) * (n - coalesce(r, 0)) * c * (n - c) / (n * n * (n - 1))), 1e-9)), 9) AS z
   FROM mg{i} m CROSS JOIN (SELECT DISTINCT trait FROM tr) t LEFT JOIN cr{i} x ON x.bin = m.bin AND x.trait = t.trait AND x.outcome = m.outcome
   WHERE n > 1 GROUP BY 1, 2)"""
 

@@ -66,7 +66,7 @@ hi AS (SELECT a, b, z FROM z WHERE abs(z) > 1),
 lk AS (SELECT least(x.region, y.region) AS a, greatest(x.region, y.region) AS b, z
   FROM hi JOIN rg x ON x.family = hi.a JOIN rg y ON y.family = hi.b WHERE x.region <> y.region),
 li AS (SELECT a, b, count(*) AS pairs, count(*) FILTER (WHERE z > 0) AS pos, count(*) FILTER (WHERE z <= 0) AS neg,
-  arg_max(z, round(abs(z), 9)) AS z, CASE WHEN count(*) FILTER (WHERE z > 0) * 2 >= count(*) THEN 1 ELSE -1 END AS sign FROM lk GROUP BY 1, 2)"""
+  first(z ORDER BY round(abs(z), 9) DESC, z) AS z, CASE WHEN count(*) FILTER (WHERE z > 0) * 2 >= count(*) THEN 1 ELSE -1 END AS sign FROM lk GROUP BY 1, 2)"""
 
 
 def _links(spark, folder):
@@ -206,8 +206,8 @@ na AS (SELECT count(DISTINCT a) AS k FROM p), nb AS (SELECT count(DISTINCT b) AS
 i AS (SELECT * FROM h WHERE a IN (SELECT a FROM p) AND b IN (SELECT b FROM p)),
 r AS (SELECT p.a, p.b, (h.a IS NOT NULL)::INT AS hit, coalesce(ib.n, 0) AS inn, coalesce(ia.n, 0) AS outn FROM p LEFT JOIN h ON h.a = p.a AND h.b = p.b
   LEFT JOIN (SELECT b, count(*) AS n FROM i GROUP BY 1) ib ON ib.b = p.b LEFT JOIN (SELECT a, count(*) AS n FROM i GROUP BY 1) ia ON ia.a = p.a)
-SELECT count(*) AS n, round(avg(hit), 6) AS supported, round(avg((inn - hit) / (na.k - 1)), 6) AS target_null,
-  round(avg((outn - hit) / (nb.k - 1)), 6) AS source_null, round(avg(hit) / avg((inn - hit) / (na.k - 1)), 6) AS enrichment FROM r, na, nb"""
+SELECT count(*) AS n, round(avg(hit), 6) AS supported, round(avg((inn - hit) / nullif(na.k - 1, 0)), 6) AS target_null,
+  round(avg((outn - hit) / nullif(nb.k - 1, 0)), 6) AS source_null, round(avg(hit) / greatest(avg((inn - hit) / nullif(na.k - 1, 0)), 1e-9), 6) AS enrichment FROM r, na, nb"""
 )
 def edge_support(spark, folder):
     """Edges seen in one half of the genomes, looked up in the other half."""
