@@ -37,7 +37,7 @@ class Pangenome:
 
     def resolve(self, q: str) -> str:
         """The family a query names: a family, or the most frequent family of a gene name."""
-        if self.genes.where(F.col("family") == q).limit(1).count():
+        if not self.genes.where(F.col("family") == q).isEmpty():
             return q
         row = S.anchor_families(self.genes, [q]).first()
         if row is None:
