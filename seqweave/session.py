@@ -26,17 +26,27 @@ def build_session(app: str = "seqweave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a private one only when none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if "folder" not in _private:
-            _private["folder"] = tempfile.mkdtemp(prefix="seqweave-ckpt-")
-        folder = _private["folder"]
-    return folder
+_run: dict[str, str] = {}
 
 
-_private: dict[str, str] = {}
+def shared_folder(spark: SparkSession) -> str:
+    """This run's subfolder of the folder named by ``spark.checkpoint.dir``.
+
+    Without that setting only a local master, whose tasks share the driver's
+    disk, gets a folder of its own; a cluster must name one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _run.setdefault("private", "file://" + tempfile.mkdtemp(prefix="seqweave-"))
+    return f"{root.rstrip('/')}/seqweave-{_run.setdefault('id', uuid.uuid4().hex)}"
+
+
+def close(spark: SparkSession) -> None:
+    """Drop all tables that ``cut_lineage`` wrote in this run; frames built on them can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -47,6 +57,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     from what it holds. Columns keep their names and types.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/seqweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
