@@ -2,17 +2,85 @@
 
 from __future__ import annotations
 
-from seqweave.llm import ngram_jaccard
+from seqweave.llm import (
+    embedding_join,
+    language,
+    mixing,
+    ngram_jaccard,
+    packing,
+    perplexity,
+    quality_rules,
+    sharding,
+    url_filter,
+    warc,
+)
 from seqweave.llm.common import table
 
 
+def op1_url_filter(spark, folder):
+    """Rules, and trust and distrust along links, for all pages."""
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+def op2_language_id(spark, folder):
+    """Language of every document, learned from those that are not held out."""
+    return language.identify(table(spark, folder, "documents"))
+
+
+def op3_sharding(spark, folder):
+    """Extendible-hashing shards of all documents."""
+    return sharding.shards_of(table(spark, folder, "documents"))
+
+
+def op4_source_mixing(spark, folder):
+    """Balanced mix of all documents to the sources' targets."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op5_quality_rules(spark, folder):
+    """Measures of every document and the verdict of its weighed votes."""
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
+def op6_quality_classifier(spark, folder):
+    """Perplexity of every document under the trusted documents' model."""
+    return perplexity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_packing(spark, folder):
+    """All documents packed into windows of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op8_warc_revisits(spark, folder):
+    """All pages written as archives without repeated payloads, and read back."""
+    return warc.round_trip(table(spark, folder, "pages")).drop("target_uri")
+
+
+def op9_embedding_join(spark, folder):
+    """Links and components of all vectors at cosine 0.9."""
+    return embedding_join.link_vectors(table(spark, folder, "embeddings"), cosine=0.9)
+
+
 def op10_ngram_jaccard_join(spark, folder):
     """Components of all documents linked at Jaccard 0.8 on five-word shingles."""
     return ngram_jaccard.link_documents(table(spark, folder, "documents"), width=5, percent=80)
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_language_id": op2_language_id,
+    "op3_sharding": op3_sharding,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_packing": op7_packing,
+    "op8_warc_revisits": op8_warc_revisits,
+    "op9_embedding_join": op9_embedding_join,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.judge_sql(),
+    "op3_sharding": sharding.shards_sql(),
+}
