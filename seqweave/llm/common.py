@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,22 +25,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for the words last met; emptied when ``limit`` words are held."""
-
-    def __init__(self, limit: int = 1 << 19):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -48,17 +32,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles_of(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles; fewer words make one shingle, no word none."""
-    words = words_of(text.lower()) if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        out = mixed(out * np.uint64(0x100000001B3) + h[j : j + len(out)])
-    return np.unique(out)
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+_SPACES = np.zeros(256, bool)
+_SPACES[list(b" \t\n\r\x0b\x0c")] = True
+_BYTES[_SPACES] = 0
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, in order, and the number of words of each text.
+
+    A word's hash is a polynomial of its bytes, so all words are hashed at once, wherever they stand.
+    """
+    data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+    space = _SPACES[data]
+    starts = ~space
+    starts[1:] &= space[:-1]
+    begin = np.flatnonzero(starts)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(begin, ends), prepend=0)
+    if not len(begin):
+        return np.zeros(0, np.uint64), counts
+    place = np.arange(len(data)) - begin[np.maximum(np.cumsum(starts) - 1, 0)]
+    place[space] = 0
+    powers = np.full(int(place.max()) + 1, _BASE, np.uint64)
+    powers[0] = 1
+    return mixed(np.add.reduceat(_BYTES[data] * np.multiply.accumulate(powers)[place], begin)), counts
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the ``width``-word shingles of each A-Z lower-cased text, and how many each has.
+
+    The hashes of a text lie together in rising order. A text of fewer words is one shingle, one without words none.
+    """
+    hashes, words = word_hashes([t.lower() if t else b"" for t in texts])
+    windows = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
+    owner = np.repeat(np.arange(len(texts)), windows)
+    ends = np.cumsum(windows)
+    at = (np.cumsum(words) - words - ends + windows)[owner] + np.arange(len(owner))
+    length = np.minimum(words, width)[owner]
+    out = length.astype(np.uint64)
+    held = np.concatenate([hashes, np.zeros(width, np.uint64)])
+    for j in range(width):
+        out = out * np.uint64(0x100000001B3) + np.where(j < length, held[at + j], np.uint64(0))
+    out = mixed(out)
+    for first, last in zip((ends - windows).tolist(), ends.tolist(), strict=True):
+        out[first:last].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[fresh], np.bincount(owner[fresh], minlength=len(texts))
+
+
+def by_text(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -72,8 +98,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` (binary) holds about ``most_bytes`` in each, one row at least."""
     for batch in batches:
-        values = batch.column(column)
-        lengths = np.array([0 if v is None else v for v in _lengths(values)], np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(lengths)
         start = 0
         while start < batch.num_rows:
@@ -83,12 +108,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             start = stop
 
 
-def _lengths(values: pa.Array) -> list[int | None]:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(values).to_pylist()
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: node, component (the smallest node id of it), for nodes with an edge.
 

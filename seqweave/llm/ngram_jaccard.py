@@ -12,10 +12,11 @@ How the work is dealt:
   a table of ``BUCKETS`` counters, the estimated frequency of every shingle;
   it is the global order and the cost estimate, of fixed size at any scale;
 * pass 2 emits each node's prefix; postings meet by shingle, hot shingles
-  salted. Within a shingle's sorted run each node is paired with the first and
-  with the node before it, never with all. The most frequent such pair of each
-  node is verified first; in a family of near copies that links nearly all;
-* what those links leave apart is settled exactly: only pairs of nodes in
+  salted. In each of a few rounds a shingle's run is sorted anew and each node
+  paired with the first of the run and with the one before it, never with all.
+  The partner that a node meets most often is verified and merged, which joins
+  families of near copies from both ends;
+* what those rounds leave apart is settled exactly: only pairs of nodes in
   different components that share as many prefix shingles as both prefixes
   promise are candidates, and each is verified.
 
@@ -30,54 +31,53 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import WordHashes, arrow_rows, components, mixed, shingles_of, signed, slices
+from seqweave.llm.common import arrow_rows, by_text, components, mixed, shingle_sets, signed, slices
 from seqweave.session import cut_lineage
 
 #: Counters of the frequency table (4 bytes each) and pieces it travels in.
 BUCKETS, PIECES = 1 << 20, 64
 #: Longest extra prefix, and the price of verifying a pair in matched postings.
 LONGEST, VERIFY_PRICE = 8, 20.0
-#: Postings of a shingle that one salted run holds, about.
-RUN = 20_000
+#: Estimated partners of a shingle that no counter shows to be frequent.
+RARE = 0.05
+#: Postings of a shingle that one salted run holds, about; rounds of linear pairing before the exact one.
+RUN, PAIRINGS = 20_000, 4
 
 NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int32()),
                    ("piece", pa.int32()), ("counts", pa.binary())])
-POSTINGS = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()),
+POSTINGS = pa.schema([("token", pa.int64()), ("ways", pa.int32()), ("node", pa.int64()), ("n", pa.int32()),
                       ("need", pa.int32())])
-RUNS = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("need", pa.int32()),
-                  ("first", pa.int64()), ("before", pa.int64())])
 TEXTS = pa.schema([("node", pa.int64()), ("text", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def node_of(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit digests of a shingle set: the node id and a check."""
-    m = mixed(shingles)
-    size = np.uint64(len(shingles))
-    a = mixed(np.array([m.sum() + size], np.uint64))
-    b = mixed(np.array([mixed(m ^ np.uint64(0x5851F42D4C957F2D)).sum() ^ size], np.uint64))
-    return int(signed(a)[0]), int(signed(b)[0])
+def nodes_of(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each shingle set: the node id and a check."""
+    full = np.flatnonzero(sizes)
+    begin = (np.cumsum(sizes) - sizes)[full]
+    out = []
+    for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        sums = np.zeros(len(sizes), np.uint64)
+        if len(full):
+            sums[full] = np.add.reduceat(mixed(values ^ np.uint64(seed)), begin)
+        out.append(signed(mixed(sums + sizes.astype(np.uint64))))
+    return out[0], out[1]
 
 
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """doc_id, node, check, n of every row, and the frequency table (each node once per task)."""
 
     def work(batches):
-        hashes, table, seen = WordHashes(), np.zeros(BUCKETS, np.int64), set()
+        table, seen = np.zeros(BUCKETS, np.int64), set()
         for batch in slices(batches, "text"):
-            nodes, checks, sizes, fresh = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles_of(text, hashes, width)
-                node, check = node_of(s)
-                nodes.append(node), checks.append(check), sizes.append(len(s))
-                if node not in seen:
-                    seen.add(node)
-                    fresh.append(s >> np.uint64(44))
-            if fresh:
-                table += np.bincount(np.concatenate(fresh).astype(np.int64), minlength=BUCKETS)
+            values, sizes = shingle_sets(batch.column("text").to_pylist(), width)
+            nodes, checks = nodes_of(values, sizes)
+            fresh = np.array([n not in seen and not seen.add(n) for n in nodes.tolist()], bool)
+            told = values[np.repeat(fresh, sizes)]
+            table += np.bincount((told >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
             none = [None] * len(nodes)
-            yield arrow_rows(NODES, doc_id=batch.column("doc_id"), node=nodes, check=checks, n=sizes, piece=none,
-                             counts=none)
+            yield arrow_rows(NODES, doc_id=batch.column("doc_id"), node=nodes, check=checks, n=sizes.astype(np.int32),
+                             piece=none, counts=none)
         if table.any():
             parts = np.split(np.minimum(table, 2**31 - 1).astype(np.int32), PIECES)
             none = [None] * PIECES
@@ -112,7 +112,7 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def prefix_of(shingles: np.ndarray, counts: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+def prefix_of(shingles: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The document's prefix in global order, its estimated frequencies, and how many of it a partner must share.
 
     The cost of l is the estimated number of postings met by the first
@@ -122,7 +122,7 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, mean: float, percent: in
     n = len(shingles)
     overlap = least_overlap(n, percent)
     order = np.lexsort((shingles, counts))
-    excess = np.maximum(counts[order] - mean, 0.0) + 1.0
+    excess = np.maximum(counts[order] - usual, 0.0) + RARE
     longest = max(1, min(LONGEST, overlap))
     need = np.arange(1, longest + 1)
     met = np.cumsum(excess)[n - overlap + need - 1]
@@ -132,98 +132,142 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, mean: float, percent: in
 
 
 def postings(docs: DataFrame, frequency: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, salt, node, n, need: the prefix of every node, each node once per task."""
+    """token, ways, node, n, need: the prefix of every node, each node once per task; ways: salts of the token."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
-    mean = float(frequency.mean())
+    middle = float(np.median(frequency))
+    usual = middle + 3 * middle**0.5  # what a counter holds without any frequent shingle
 
     def work(batches):
-        hashes, seen, counts = WordHashes(), set(), shared.value
+        seen, counts = set(), shared.value
         for batch in slices(batches, "text"):
-            tokens, salts, nodes, sizes, needs = [], [], [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles_of(text, hashes, width)
-                node = node_of(s)[0]
+            values, sizes = shingle_sets(batch.column(0).to_pylist(), width)
+            nodes = nodes_of(values, sizes)[0].tolist()
+            tokens, ways, needs, owners, lengths, totals = [], [], [], [], [], []
+            for node, s in zip(nodes, by_text(values, sizes), strict=True):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                kept, excess, need = prefix_of(s, counts[(s >> np.uint64(44)).astype(np.int64)], mean, percent)
-                ways = 1 + (excess // RUN).astype(np.int64)
-                tokens.append(signed(kept))
-                salts.append(np.where(ways > 1, 1 + (node & 0x7FFFFFFF) % ways, 0).astype(np.int32))
-                nodes.append(np.full(len(kept), node, np.int64))
-                sizes.append(np.full(len(kept), len(s), np.int32))
-                needs.append(np.full(len(kept), need, np.int32))
+                kept, excess, need = prefix_of(s, counts[(s >> np.uint64(44)).astype(np.int64)], usual, percent)
+                tokens.append(kept)
+                ways.append(excess)
+                needs.append(need), owners.append(node), lengths.append(len(kept)), totals.append(len(s))
             if tokens:
-                yield arrow_rows(POSTINGS, token=np.concatenate(tokens), salt=np.concatenate(salts),
-                                 node=np.concatenate(nodes), n=np.concatenate(sizes), need=np.concatenate(needs))
+                many = (np.concatenate(ways) // RUN + 1).astype(np.int32)
+                owner, total, need = (np.repeat(np.array(x, np.int64), lengths) for x in (owners, totals, needs))
+                yield arrow_rows(POSTINGS, token=signed(np.concatenate(tokens)), ways=many, node=owner,
+                                 n=total.astype(np.int32), need=need.astype(np.int32))
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
-        work, "token bigint, salt int, node bigint, n int, need int"
+        work, "token bigint, ways int, node bigint, n int, need int"
     )
 
 
-def runs(posted: DataFrame) -> DataFrame:
-    """Postings whose shingle has more than one node, with the first node of the sorted run and the one before."""
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """Postings of shingles that more than one node has, each node once; salted shingles are all kept."""
 
     def work(batches):
-        last = None  # token, salt, node of the row before
-        head = None  # the run's first row, and whether it was given out
+        last = held = None  # token, salt and node of the row before; its row, as long as it stands alone
         for batch in batches:
-            t, s, node, n, need = (batch.column(i).to_numpy() for i in range(5))
-            if not len(t):
+            columns = [batch.column(i).to_numpy() for i in range(6)]
+            if not len(columns[0]):
                 continue
-            same = np.zeros(len(t), bool)
-            same[1:] = (t[1:] == t[:-1]) & (s[1:] == s[:-1])
-            before = np.roll(node, 1)
-            if last is not None and last[0] == t[0] and last[1] == s[0]:
-                same[0], before[0] = True, last[2]
-            fresh = ~(same & (before == node))  # the same node again, from another task
-            begins = np.where(same, -1, np.arange(len(t)))
-            begin = np.maximum.accumulate(begins)
-            first = np.where(begin >= 0, node[begin], head[1] if head else 0)
-            later = same & fresh & (first != node)
-            second = np.zeros(len(t), bool)  # where a run's second node stands: its first is due
-            where = np.flatnonzero(later)
-            ids = begin[where]
-            lead = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else ids
-            due = where[lead]
-            if len(due) and begin[due[0]] < 0 and head[4]:
-                due = due[1:]
-            second[due] = True
-            out = [(t[later], node[later], n[later], need[later], first[later], before[later])]
-            inside = due[begin[due] >= 0]
-            at = begin[inside]
-            out.append((t[at], node[at], n[at], need[at], node[at], node[at]))
-            if len(due) > len(inside):
-                out.append(tuple(np.array([x]) for x in (t[0], head[1], head[2], head[3], head[1], head[1])))
-            alone = ~same & (s > 0)  # of a salted shingle, which has other runs
-            alone[at] = False
-            out.append((t[alone], node[alone], n[alone], need[alone], node[alone], node[alone]))
-            b = begin[-1]
-            if b >= 0:
-                head = (t[b], node[b], n[b], need[b], bool(alone[b] or np.isin(b, at)))
-            elif len(due) > len(inside):
-                head = (*head[:4], True)
-            last = (t[-1], s[-1], node[-1])
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield arrow_rows(RUNS, token=columns[0], node=columns[1], n=columns[2].astype(np.int32),
-                             need=columns[3].astype(np.int32), first=columns[4], before=columns[5])
-
-    ordered = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-    return ordered.mapInArrow(work, "token bigint, node bigint, n int, need int, first bigint, before bigint")
+            if held is not None:
+                columns = [np.concatenate([[h], c]) for h, c in zip(held, columns, strict=True)]
+            token, salt, node, ways = (columns[i] for i in (0, 1, 2, 3))
+            same = np.zeros(len(token), bool)
+            same[1:] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            again = np.zeros(len(token), bool)  # the same node, from another task
+            again[1:] = same[1:] & (node[1:] == node[:-1])
+            if held is None and last is not None:
+                same[0] = last[:2] == (token[0], salt[0])
+                again[0] = same[0] and last[2] == node[0]
+            follows = same & ~again
+            run = np.cumsum(~same)
+            joined = np.zeros(run[-1] + 1, bool)
+            joined[run[follows]] = True
+            keep = ~again & (joined[run] | (ways > 1))
+            open_ = not keep[-1] and not again[-1]
+            if again[-1] and not joined[run[-1]] and ways[-1] == 1 and run[-1] > 0:  # repeated, but still a single node
+                begin = int(np.flatnonzero(~same)[-1])
+                held = [c[begin] for c in columns]
+            else:
+                held = [c[-1] for c in columns] if open_ else None
+            last = (token[-1], salt[-1], node[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[i][keep], f.type) for i, f in zip((0, 3, 2, 4, 5), POSTINGS, strict=True)], schema=POSTINGS
+            )
+
+    salted = posted.withColumn("salt", F.pmod(F.xxhash64("node"), "ways").cast("int"))
+    ordered = salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    return ordered.select("token", "salt", "node", "ways", "n", "need").mapInArrow(
+        work, "token bigint, ways int, node bigint, n int, need int"
+    )
+
+
+def pairings(met: DataFrame, turn: int) -> DataFrame:
+    """a, b: the partner that each node meets most often as the first of a shingle's run, and as the one before it.
+
+    ``met``: token, ways, node, n, need, component. Runs are sorted by size in turn 0 and by a hash of the node and
+    the turn afterwards. Only partners of other components that it meets ``need`` times count.
+    """
+    kind = "node bigint, component bigint, need int, first bigint, first_c bigint, before bigint, before_c bigint"
+    schema = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64()) for c in kind.split(", ")])
+
+    def work(batches):
+        last = None  # token, salt, node, component of the row before; then the first row's node and component
+        for batch in batches:
+            token, salt, node, component, need = (batch.column(i).to_numpy() for i in range(5))
+            if not len(token):
+                continue
+            same = np.zeros(len(token), bool)
+            same[1:] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            before, before_c = np.roll(node, 1), np.roll(component, 1)
+            if last is not None and last[:2] == (token[0], salt[0]):
+                same[0], before[0], before_c[0] = True, last[2], last[3]
+            begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(token))))
+            carried = last[4:] if last is not None else (0, 0)
+            first = np.where(begin >= 0, node[begin], carried[0])
+            first_c = np.where(begin >= 0, component[begin], carried[1])
+            last = (token[-1], salt[-1], node[-1], component[-1], first[-1], first_c[-1])
+            keep = same & ((first_c != component) | (before_c != component))
+            yield arrow_rows(schema, **{n: c[keep] for n, c in zip(
+                schema.names, (node, component, need, first, first_c, before, before_c), strict=True)})
+
+    salt = F.pmod(F.xxhash64("node", F.lit(turn)), "ways").cast("int")
+    order = F.col("n").cast("bigint") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+    rows = met.select("token", salt.alias("salt"), "node", "component", "need", order.alias("place"))
+    rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "place", "node").drop("place")
+    rows = cut_lineage(rows.mapInArrow(work, kind))
+
+    def favourite(other):
+        seen = rows.where(F.col(f"{other}_c") != F.col("component")).groupBy("node", F.col(other).alias("other"))
+        seen = seen.agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
+        best = seen.groupBy("node").agg(F.max(F.struct("c", "other")).alias("m"))
+        return best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b"))
+
+    return favourite("first").unionByName(favourite("before")).distinct()
+
+
+def possible(met: DataFrame) -> DataFrame:
+    """Nodes that can link at all: a link shares the smaller of both needs in prefix shingles."""
+    least = met.groupBy("token").agg(F.min("need").alias("other"))
+    bound = met.join(least, "token").groupBy("node").agg(
+        F.count("*").alias("c"), F.min(F.least("need", "other")).alias("bound")
+    )
+    return bound.where("c >= bound").select("node")
 
 
 def texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node, text (compressed) of the wanted nodes, one text each."""
 
     def work(batches):
-        hashes, seen, press = WordHashes(), set(), zstandard.ZstdCompressor(level=1)
+        seen, press = set(), zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "text"):
+            given = batch.column(0).to_pylist()
+            values, sizes = shingle_sets(given, width)
             nodes, out = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles_of(text, hashes, width)
-                node = node_of(s)[0]
-                if len(s) and node not in seen:
+            for node, n, text in zip(nodes_of(values, sizes)[0].tolist(), sizes.tolist(), given, strict=True):
+                if n and node not in seen:
                     seen.add(node)
                     nodes.append(node), out.append(press.compress(text.lower()))
             yield arrow_rows(TEXTS, node=nodes, text=out)
@@ -236,20 +280,15 @@ def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Dat
     """The pairs (a, b) whose similarity reaches the percentage, checked on their whole texts."""
 
     def work(batches):
-        hashes, open_, sets = WordHashes(), zstandard.ZstdDecompressor(), {}
-
-        def of(node, text):
-            if node not in sets:
-                if len(sets) > 64:
-                    sets.clear()
-                sets[node] = shingles_of(open_.decompress(text), hashes, width)
-            return sets[node]
-
-        for batch in batches:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "ta", 1 << 20):
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+            given = dict(zip(a, ta, strict=True)) | dict(zip(b, tb, strict=True))
+            values, sizes = shingle_sets([open_.decompress(t) for t in given.values()], width)
+            sets = dict(zip(given, by_text(values, sizes), strict=True))
             out = []
-            for x, y, tx, ty in zip(a, b, ta, tb, strict=True):
-                u, v = of(x, tx), of(y, ty)
+            for x, y in zip(a, b, strict=True):
+                u, v = sets[x], sets[y]
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 if 100 * both >= percent * (len(u) + len(v) - both):
                     out.append((x, y))
@@ -263,6 +302,30 @@ def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Dat
     return met.mapInArrow(work, "a bigint, b bigint")
 
 
+def merged(group: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component after more links: the components themselves are linked, then named anew."""
+    if group is None:
+        return cut_lineage(components(links))
+    ends = links
+    for end in ("a", "b"):
+        named = group.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = ends.join(named, end, "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    more = components(ends).withColumnRenamed("component", "new")
+    moved = group.join(more.withColumnRenamed("node", "component"), "component", "left")
+    moved = moved.select("node", F.coalesce("new", "component").alias("component"))
+    fresh = more.select("node", F.col("new").alias("component")).join(group, "node", "left_anti")
+    return cut_lineage(moved.unionByName(fresh))
+
+
+def apart(met: DataFrame, group: DataFrame) -> DataFrame:
+    """Postings with their components, of the shingles that stand in more than one of them."""
+    named = met.drop("component").join(group, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return cut_lineage(named.join(split.select("token"), "token", "left_semi"))
+
+
 def linked_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` by component: doc_id, node, check, n, component.
 
@@ -270,45 +333,25 @@ def linked_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     word) have a null one, for they link with nothing. One row per input row.
     """
     rows, frequency = classes(docs, width)
-    met = cut_lineage(runs(postings(docs, frequency, width, percent)))
-
-    def favourite(other):
-        """Of each node the partner it meets most often in this place."""
-        seen = met.where(F.col(other) != F.col("node")).groupBy("node", other)
-        seen = seen.agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need")
-        best = seen.groupBy("node").agg(F.max(F.struct("c", other)).alias("m"))
-        return best.select(F.col(f"m.{other}").alias("a"), F.col("node").alias("b"))
-
-    def in_order(pairs):
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    near = cut_lineage(in_order(favourite("first").unionByName(favourite("before"))))
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    held = texts(docs, wanted, width)
-    links = cut_lineage(verified(near, held, width, percent))
-    group = components(links)
-
-    apart = met.select("token", "node", "n", "need").join(group, "node", "left")
-    apart = apart.withColumn("component", F.coalesce("component", "node"))
-    split = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    apart = cut_lineage(apart.join(split.select("token"), "token", "left_semi"))
-    right = apart.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "need", "component")))
-    shared = (
-        apart.join(right, "token")
+    met = cut_lineage(shared_postings(postings(docs, frequency, width, percent)))
+    held = texts(docs, possible(met), width)
+    met, group = met.withColumn("component", F.col("node")), None
+    for turn in range(PAIRINGS):
+        links = cut_lineage(verified(cut_lineage(pairings(met, turn)), held, width, percent))
+        group = merged(group, links)
+        met = apart(met, group)
+        if met.isEmpty():
+            break
+    right = met.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "need", "component")))
+    rest = (
+        met.join(right, "token")
         .where("component < component_ and 100 * least(n, n_) >= %d * greatest(n, n_)" % percent)
         .groupBy(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
         .agg(F.count("*").alias("c"), F.min(F.least("need", "need_")).alias("need"))
         .where("c >= need")
         .select("a", "b")
     )
-    rest = cut_lineage(shared.join(near, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        wanted = rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct()
-        missing = wanted.join(held, "node", "left_anti")
-        held = held.unionByName(texts(docs, missing, width))
-        more = cut_lineage(verified(rest, held, width, percent))
-        if not more.isEmpty():
-            group = components(links.unionByName(more))
+    group = merged(group, cut_lineage(verified(cut_lineage(rest), held, width, percent)))
     named = rows.join(group, "node", "left")
     return named.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
 
@@ -346,14 +389,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     schema = docs.schema
 
     def work(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            nodes = []
-            for text in batch.column("_bytes").to_pylist():
-                s = shingles_of(text, hashes, width)
-                nodes.append(node_of(s)[0] if len(s) else None)
+        for batch in slices(batches, "_bytes"):
+            values, sizes = shingle_sets(batch.column("_bytes").to_pylist(), width)
+            nodes = pa.array(nodes_of(values, sizes)[0], mask=sizes == 0)
             columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64())], names=[*names, "_node"])
+            yield pa.RecordBatch.from_arrays([*columns, nodes], names=[*names, "_node"])
 
     noded = docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(work, f"{kinds}, _node bigint")
     held = noded.where("_node is not null").alias("d").join(
