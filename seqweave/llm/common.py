@@ -20,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def whole_row(df: DataFrame):
+    """All columns of ``df`` as one struct named ``row``, so that no column an operator adds can clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words of UTF-8 text; ``bytes.split`` separates at exactly the six ASCII white-space characters."""
     return text.split()

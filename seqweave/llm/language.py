@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import slices, words_of
+from seqweave.llm.common import slices, whole_row, words_of
 from seqweave.session import cut_lineage
 
 #: Hashed trigrams of a language, in pieces; most languages that a model may have.
@@ -285,9 +285,8 @@ def identify(docs: DataFrame, spans: bool = False, penalty: float = PENALTY) ->
 
 def kept_rows(docs: DataFrame, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
     """Rows of ``docs`` with a language that holds at least ``least`` of the letters, columns as they are."""
-    names = docs.columns
     text = F.col("text").cast("binary")
     model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(text.alias("text"), "lang"))
-    kept = docs.select(F.struct(*names).alias("row"), text.alias("text"))
+    kept = docs.select(whole_row(docs), text.alias("text"))
     told = predict(kept, model, penalty=penalty)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*").to(docs.schema)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

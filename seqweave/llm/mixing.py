@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import SPACE
+from seqweave.llm.common import SPACE, whole_row
 from seqweave.session import cut_lineage
 
 #: Weights of the sources in turn; most words that a mix takes of a source, in its sizes.
@@ -155,16 +155,16 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = S
     names = ["source", "doc_id", "text_hash"]
     taken = shares(docs, weights, most, seed).groupBy(*names).agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
     taken = cut_lineage(taken.where("c > 0").select(*(F.col(x).alias(f"_{x}") for x in names), "c", "n"))
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    same = reduce(lambda a, b: a & b, [keyed[x].eqNullSafe(F.col(f"_{x}")) for x in names])
+    keyed = docs.select(whole_row(docs), "source", "doc_id", F.xxhash64("text").alias("text_hash"))
+    same = reduce(lambda a, b: a & b, [keyed[x].eqNullSafe(taken[f"_{x}"]) for x in names])
 
     def repeated(rows, times):
-        return rows.where(times > 0).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+        return rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select("row.*")
 
-    met = keyed.join(taken, same)
-    out = repeated(met, F.expr("c div n")).select(*docs.columns)
+    out = repeated(keyed.join(taken, same), F.expr("c div n"))
     over = taken.where("c % n > 0")  # only of repeated rows
     if not over.isEmpty():
+        same = reduce(lambda a, b: a & b, [keyed[x].eqNullSafe(over[f"_{x}"]) for x in names])
         rest = keyed.join(over, same).dropDuplicates([f"_{x}" for x in names])
-        out = out.unionByName(repeated(rest, F.expr("c % n")).select(*docs.columns))
+        out = out.unionByName(repeated(rest, F.expr("c % n")))
     return out

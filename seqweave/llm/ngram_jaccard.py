@@ -30,8 +30,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqweave.llm.common import arrow_rows, by_text, components, mixed, shingle_sets, signed, slices
+from seqweave.llm.common import arrow_rows, by_text, components, mixed, shingle_sets, signed, slices, whole_row
 from seqweave.session import cut_lineage
 
 #: Counters of the frequency table (4 bytes each) and pieces it travels in.
@@ -85,7 +86,7 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                              counts=[p.tobytes() for p in parts])
 
     rows = cut_lineage(
-        docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(
             work, "doc_id bigint, node bigint, check bigint, n int, piece int, counts binary"
         )
     )
@@ -384,20 +385,17 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     kept = rows.where("component is not null").groupBy("component").agg(F.min(place).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node"))
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema = docs.schema
+    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("bigint").alias("id"),
+                        F.col("text").cast("binary").alias("text"))
+    form = T.StructType([keyed.schema["row"], keyed.schema["id"], T.StructField("node", T.LongType())])
 
     def work(batches):
-        for batch in slices(batches, "_bytes"):
-            values, sizes = shingle_sets(batch.column("_bytes").to_pylist(), width)
+        for batch in slices(batches, "text"):
+            values, sizes = shingle_sets(batch.column("text").to_pylist(), width)
             nodes = pa.array(nodes_of(values, sizes)[0], mask=sizes == 0)
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, nodes], names=[*names, "_node"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), nodes], names=["row", "id", "node"])
 
-    noded = docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(work, f"{kinds}, _node bigint")
-    held = noded.where("_node is not null").alias("d").join(
-        kept.alias("k"), F.expr("d._node = k._node and d.doc_id <=> k._id"), "left_semi"
-    )
-    single = held.dropDuplicates(["doc_id", "_node"])
-    return single.unionByName(noded.where("_node is null")).select(*names).to(schema)
+    noded = keyed.mapInArrow(work, form)
+    same = (noded["node"] == kept["_node"]) & noded["id"].eqNullSafe(kept["_id"])
+    single = noded.join(kept, same, "left_semi").dropDuplicates(["id", "node"])
+    return single.unionByName(noded.where("node is null")).select("row.*")

@@ -290,5 +290,5 @@ def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that ``judge`` keeps, with their columns."""
     kept = judge(docs, labels, **options).where("kept").select("doc_id", "text_hash").distinct()
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")),
-                     "left_semi")
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
+    return docs.join(kept, same, "left_semi")
