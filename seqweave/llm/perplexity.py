@@ -265,7 +265,8 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     binary = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    model = train(binary.join(good, "doc_id", "left_semi").select("text"), order)
+    # labels grow with the documents, so both sides are shuffled at every size
+    model = train(binary.join(good.hint("merge"), "doc_id", "left_semi").select("text"), order)
     own = docs.select("doc_id", F.col("lang").alias("language"), F.xxhash64("text").alias("text_hash"),
                       F.col("text").cast("binary").alias("text"))
     scored = surprise(own, model, most).join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
