@@ -95,7 +95,7 @@ def permute_within(
         "_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col(unit).cast("string")))
     )
     group = ["draw", *keys]
-    by_hash = number_rows(hashed, group, ["_h", unit], F.substring("_h", 1, 3), "_r")
+    by_hash = number_rows(hashed, group, ["_h", unit], F.substring("_h", 1, 4), "_r")
     by_unit = number_rows(hashed, group, [unit], F.floor(F.col(unit) / 4096), "_r")
     left = by_unit.select(*group, "_r", unit)
     right = by_hash.select(*group, "_r", F.col(unit).alias("other"))
@@ -206,10 +206,13 @@ def presence_similarity(presence: DataFrame) -> DataFrame:
 def allele_distance(loci: DataFrame) -> DataFrame:
     """Share of loci with different alleles among those typed in both genomes: g1, g2, typed, d.
 
-    ``loci``: genome, locus, allele; one allele per genome and locus.
+    ``loci``: genome, locus, allele; one allele per genome and locus. A locus
+    without an allele is not typed.
     """
+    loci = loci.where(F.col("locus").isNotNull() & F.col("allele").isNotNull())
     typed = pair_products(loci, "genome", "locus").withColumnRenamed("shared", "typed")
-    exact = loci.withColumn("_la", F.concat_ws("|", F.col("locus").cast("string"), F.col("allele").cast("string")))
+    name, allele = F.col("locus").cast("string"), F.col("allele").cast("string")
+    exact = loci.withColumn("_la", F.concat(F.length(name).cast("string"), F.lit(":"), name, allele))
     same = pair_products(exact, "genome", "_la").withColumnRenamed("shared", "same")
     return typed.join(same, ["a", "b"], "left").select(
         F.col("a").alias("g1"),

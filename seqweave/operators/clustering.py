@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from seqweave.session import cut_lineage
 
 
-def average_linkage(distance: DataFrame, leaves: DataFrame, cut: float | None = None):
-    """Average-linkage clusters of ``leaves`` (column leaf) from all their distances (a, b, d).
+def average_linkage(distance: DataFrame, leaves: DataFrame, cut: float | None = None, absent: float = 1.0):
+    """Average-linkage clusters of ``leaves`` (column leaf) from their distances (a, b, d).
+
+    Pairs without a row are ``absent`` apart: clusters carry how many of their
+    pairs have one. Clusters without any never merge, so ``cut`` must lie below
+    ``absent`` unless all pairs are given.
 
     In every round all pairs of clusters that are each other's nearest merge at
     once; average linkage never brings a third cluster closer by a merge, so
@@ -29,12 +33,13 @@ def average_linkage(distance: DataFrame, leaves: DataFrame, cut: float | None =
     pairs = cut_lineage(
         distance.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("d").cast("double").alias("s"),
-            one.alias("na"), one.alias("nb"),
+            one.alias("na"), one.alias("nb"), one.alias("p"),
         )
     )
     rounds = []
     while True:
-        mean = F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)
+        both = F.col("na") * F.col("nb")
+        mean = F.round((F.col("s") + absent * (both - F.col("p"))) / both, 12)
         near = pairs.select(F.struct(mean.alias("d"), "a", "b", "na", "nb").alias("m"))
         if cut is not None:
             near = near.where(F.col("m.d") <= cut)
@@ -61,16 +66,16 @@ def average_linkage(distance: DataFrame, leaves: DataFrame, cut: float | None =
         relabelled = pairs.join(rename("a"), "a", "left").join(rename("b"), "b", "left").select(
             F.struct(F.coalesce("_a", "a").alias("c"), F.coalesce("_na", "na").alias("n")).alias("x"),
             F.struct(F.coalesce("_b", "b").alias("c"), F.coalesce("_nb", "nb").alias("n")).alias("y"),
-            "s",
+            "s", "p",
         )
         folded = (
             relabelled.where(F.col("x.c") != F.col("y.c"))
             .groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-            .agg(F.sum("s").alias("s"))
+            .agg(F.sum("s").alias("s"), F.sum("p").alias("p"))
         )
         pairs = cut_lineage(
             folded.select(
-                F.col("x.c").alias("a"), F.col("y.c").alias("b"), "s", F.col("x.n").alias("na"), F.col("y.n").alias("nb")
+                F.col("x.c").alias("a"), F.col("y.c").alias("b"), "s", "p", F.col("x.n").alias("na"), F.col("y.n").alias("nb")
             )
         )
     members = leaves.select("leaf", F.col("leaf").alias("cluster"), F.lit(0).cast("bigint").alias("place"))
@@ -92,11 +97,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "w").unionByName(back)
 
 
-def _local_moves(edges: DataFrame, max_rounds: int) -> DataFrame:
+def _local_moves(edges: DataFrame) -> DataFrame:
     """Move nodes between communities while modularity rises: node, community.
 
-    Half of the nodes, by a hash that changes every round, may move at a time, so
-    two neighbours rarely swap; it stops after two rounds without a move.
+    A share of the nodes, by a hash that changes every round, may move at a time.
+    Moves made at once can lower modularity together; such a round is undone and
+    the share halved, down to single nodes, whose wished moves always raise it.
+    So every round taken raises it, and it ends when no node wishes to move.
     """
     both = cut_lineage(_both_ways(edges))
     degree = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(
@@ -104,8 +111,9 @@ def _local_moves(edges: DataFrame, max_rounds: int) -> DataFrame:
     ))
     total = degree.agg(F.sum("k")).first()[0]
     state = cut_lineage(degree.select("node", F.col("node").alias("community"), "k"))
-    quiet = 0
-    for turn in range(max_rounds):
+    reached, share, turn = modularity(edges, state), 2, 0
+    while True:
+        turn += 1
         weight = state.groupBy("community").agg(F.sum("k").alias("tot"))
         home = state.select(F.col("node").alias("b"), F.col("community"))
         links = (
@@ -124,25 +132,31 @@ def _local_moves(edges: DataFrame, max_rounds: int) -> DataFrame:
             F.min(F.struct((-gain).alias("g"), F.col("community").alias("c"))).alias("best"),
             F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stay"),
         )
-        may = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-        moves = may & (-F.col("best.g") > F.col("stay") + 1e-9)
+        wishes = -F.col("best.g") > F.col("stay") + F.lit(1e-9 * total)
+        moves = wishes & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(share)) == 0)
         nxt = cut_lineage(
             state.join(best, "node").select(
                 "node",
                 F.when(moves, F.col("best.c")).otherwise(F.col("community")).alias("community"),
                 "k",
+                wishes.alias("wished"),
                 moves.alias("moved"),
             )
         )
-        any_moved = not nxt.where("moved").isEmpty()
-        state = nxt.drop("moved")
-        quiet = 0 if any_moved else quiet + 1
-        if quiet == 2:
-            break
-    return state.select("node", "community")
-
-
-def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+        told = nxt.agg(F.max("wished"), F.max("moved")).first()
+        if not told[0]:
+            return state.select("node", "community")
+        if not told[1]:
+            share = max(2, share // 2)
+            continue
+        risen = modularity(edges, nxt)
+        if risen > reached:
+            state, reached, share = nxt.drop("wished", "moved"), risen, 2
+        else:
+            share *= 2
+
+
+def communities(edges: DataFrame) -> DataFrame:
     """Communities of a weighted undirected graph by repeated local moves and folding.
 
     ``edges``: a, b, w, each pair once. Returns node, community (named by one of
@@ -152,7 +166,7 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     member = cut_lineage(nodes.select("node", F.col("node").alias("community")))
     level = cut_lineage(edges.select("a", "b", F.col("w").cast("double").alias("w")))
     while True:
-        found = cut_lineage(_local_moves(level, max_rounds))
+        found = cut_lineage(_local_moves(level))
         before = found.count()
         after = found.select("community").distinct().count()
         member = cut_lineage(

@@ -38,9 +38,9 @@ def extract(text: Column, pattern: str, group: int = 1, prefix: str = "") -> Col
 
 
 def serotype(organism: Column, *columns: Column) -> Column:
-    """O and H antigens from the serotype columns, else the O antigen of the organism name."""
-    either = [F.coalesce(F.nullif(extract(c, vocab.SEROTYPE), F.lit("")), F.nullif(extract(c, vocab.FLAGELLAR), F.lit("")))
-              for c in columns]
+    """The leftmost O or H antigen of the first serotype column with one, else the O antigen of the organism name."""
+    leftmost = f"(?:{vocab.SEROTYPE})|(?:{vocab.FLAGELLAR})"
+    either = [F.nullif(extract(c, leftmost, group), F.lit("")) for c in columns for group in (1, 2)]
     return F.coalesce(*either, extract(organism, vocab.SEROTYPE))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from seqweave.operators.graph import top_k
 
-BANK_BYTES = 64 * 1024 * 1024
+#: Queries whose similarities to a block of the bank are held at once.
+SLICE = 512
 
 
 def nearest_in_group(members: DataFrame, group: str, distance: DataFrame, k: int, reach: int = 4) -> DataFrame:
@@ -39,59 +40,42 @@ def nearest_in_group(members: DataFrame, group: str, distance: DataFrame, k: int
 
 
 def _best(query_ids, query, bank_ids, bank, k):
-    """The k most similar bank rows of each query, ties to the smaller id."""
-    q = query / np.linalg.norm(query, axis=1, keepdims=True)
-    b = bank / np.linalg.norm(bank, axis=1, keepdims=True)
-    sims = np.round(q @ b.T, 12)
-    order = np.lexsort((np.broadcast_to(bank_ids, sims.shape), -sims), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(query_ids)), order.shape[1])
-    cols = order.ravel()
-    return pd.DataFrame(
-        {"id": np.asarray(query_ids)[rows], "exemplar": np.asarray(bank_ids)[cols], "cosine": sims[rows, cols]}
-    )
+    """The k most similar bank rows of each query, ties to the smaller id, a slice of queries at a time."""
+    bank = bank / np.linalg.norm(bank, axis=1, keepdims=True)
+    found = []
+    for at in range(0, len(query_ids), SLICE):
+        part = query[at : at + SLICE]
+        sims = np.round(part / np.linalg.norm(part, axis=1, keepdims=True) @ bank.T, 12)
+        last = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k] if k < sims.shape[1] else sims.min(1)
+        row, col = np.nonzero(sims >= last[:, None])  # the k best and what ties with the last of them
+        order = np.lexsort((bank_ids[col], -sims[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        found.append(pd.DataFrame({"id": query_ids[at + row], "exemplar": bank_ids[col], "cosine": sims[row, col]}))
+    return pd.concat(found)
 
 
 def nearest_exemplars(queries: DataFrame, bank: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
     """The ``k`` bank vectors with the highest cosine to each query: id, exemplar, cosine, place.
 
-    ``queries``: id, v; ``bank``: exemplar, v. A bank below ``BANK_BYTES`` is
-    shipped to every task and queries never move. A larger one is cut into
-    blocks: each query block meets each bank block in one task, which returns
-    its ``k`` best, and those are merged. Both ways are exact.
+    ``queries``: id, v; ``bank``: exemplar, v. Both are cut into blocks; each
+    query block meets each bank block in one task, which returns its ``k`` best,
+    and those are merged.
     """
-    size = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n, dim = int(size["n"]), int(size["dim"] or 0)
-    if n * dim * 8 <= BANK_BYTES:
-        rows = bank.orderBy("exemplar").collect()
-        ids = np.array([r["exemplar"] for r in rows])
-        vectors = np.array([r["v"] for r in rows], dtype=float)
-        shipped = queries.sparkSession.sparkContext.broadcast((ids, vectors))
-
-        def near(batches):
-            bank_ids, bank_vectors = shipped.value
-            for batch in batches:
-                if len(batch):
-                    yield _best(batch["id"], np.stack(batch["v"]).astype(float), bank_ids, bank_vectors, k)
-
-        found = queries.select("id", "v").mapInPandas(near, "id bigint, exemplar bigint, cosine double")
-    else:
-        total = queries.agg(F.count(F.lit(1))).first()[0]
-        qb, bb = -(-int(total) // block_rows), -(-n // block_rows)
-        left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb")).withColumn(
-            "bb", F.explode(F.sequence(F.lit(0), F.lit(bb - 1)).cast("array<bigint>"))
-        )
-        right = bank.select("exemplar", "v", F.pmod(F.xxhash64("exemplar"), F.lit(bb)).alias("bb")).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<bigint>"))
-        )
-
-        def meet(q, b):
-            if not len(q) or not len(b):
-                return pd.DataFrame({"id": [], "exemplar": [], "cosine": []})
-            return _best(
-                q["id"], np.stack(q["v"]).astype(float), b["exemplar"].to_numpy(), np.stack(b["v"]).astype(float), k
-            )
-
-        found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(
-            meet, "id bigint, exemplar bigint, cosine double"
-        )
+    count = F.count(F.lit(1))
+    qb, bb = (-(-max(1, df.agg(count).first()[0]) // block_rows) for df in (queries, bank))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb")).withColumn("bb", every(bb))
+    right = bank.select("exemplar", "v", F.pmod(F.xxhash64("exemplar"), F.lit(bb)).alias("bb")).withColumn("qb", every(qb))
+
+    def meet(q, b):
+        if not len(q) or not len(b):
+            return pd.DataFrame({"id": [], "exemplar": [], "cosine": []})
+        stacked = lambda v: np.stack(v).astype(float)
+        return _best(q["id"].to_numpy(), stacked(q["v"]), b["exemplar"].to_numpy(), stacked(b["v"]), k)
+
+    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(
+        meet, "id bigint, exemplar bigint, cosine double"
+    )
     return top_k(found, ["id"], [F.desc("cosine"), F.col("exemplar")], k)

@@ -39,8 +39,8 @@ def _product(values: Sequence[str], by: Sequence[str], symmetric: bool, slice_wi
             for s, value in zip(sums, values):
                 x = np.zeros((len(items_a), min(stop, len(shared)) - start))
                 y = np.zeros((len(items_b), min(stop, len(shared)) - start))
-                x[code_a[ma], fa[ma] - start] = left[value].to_numpy()[ma]
-                y[code_b[mb], fb[mb] - start] = right[value].to_numpy()[mb]
+                np.add.at(x, (code_a[ma], fa[ma] - start), left[value].to_numpy()[ma])
+                np.add.at(y, (code_b[mb], fb[mb] - start), right[value].to_numpy()[mb])
                 s += x @ y.T
         keep = np.zeros((len(items_a), len(items_b)), bool)
         for s in sums:

@@ -127,15 +127,16 @@ def signed_rank_p(n: pd.Series, w: pd.Series, tied: pd.Series, z: pd.Series) ->
 
 @F.pandas_udf(T.DoubleType())
 def sign_test_p(positive: pd.Series, n: pd.Series) -> pd.Series:
-    """P(at least ``positive`` of ``n`` fair signs are positive)."""
-
-    def one(k, m):
-        if not m:
-            return math.nan
-        logs = [math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) for i in range(int(k), int(m) + 1)]
-        return min(1.0, math.fsum(math.exp(x - m * math.log(2)) for x in logs))
-
-    return pd.Series([one(int(k), int(m)) for k, m in zip(positive, n)], dtype=float)
+    """P(at least ``positive`` of ``n`` fair signs are positive); one table of tails for each distinct n."""
+    out = np.full(len(n), math.nan)
+    total, hits = n.to_numpy(), positive.to_numpy()
+    for m in np.unique(total[total > 0]).astype(int):
+        i = np.arange(1, m + 1)
+        logs = np.concatenate([[0.0], np.cumsum(np.log((m - i + 1) / i))]) - m * math.log(2)
+        tails = np.append(np.minimum(1.0, np.exp(logs)[::-1].cumsum()[::-1]), 0.0)
+        at = total == m
+        out[at] = tails[np.clip(hits[at].astype(int), 0, m + 1)]
+    return pd.Series(out)
 
 
 def detectable_shift(mad: Column, n: Column, tests: int = 1, alpha: float = 0.05, power: float = 0.8) -> Column:

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 65536
-ONE_TASK_ROWS = 2_000_000
 
 
 def number_rows(
@@ -33,20 +32,10 @@ def number_rows(
 ) -> DataFrame:
     """0-based row number per key; ``length`` also adds the number of rows of the key.
 
-    Keys are numbered in one window while the largest holds at most
-    ``ONE_TASK_ROWS`` rows, which one count over the keys tells. Beyond that,
-    rows are numbered inside pieces and the rows before each piece are added:
-    ``chunk`` must rise with ``order`` (for example the hour of a timestamp, or
-    the leading characters of a hash). Both ways give the same numbers.
+    Rows are numbered inside pieces and the rows before each piece are added:
+    ``chunk`` must rise with ``order`` and bound a piece (for example the minute
+    of a timestamp, or the leading characters of a hash).
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= ONE_TASK_ROWS:
-        whole = Window.partitionBy(*keys)
-        new = {pos: (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint")}
-        if length:
-            new[length] = F.count(F.lit(1)).over(whole)
-        return df.withColumns(new)
     tagged = df.withColumn("_chunk", chunk)
     sizes = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     per_key = Window.partitionBy(*keys)

@@ -90,7 +90,7 @@ pt AS (SELECT genome, pos, name, allele, length, in_rgp,
   list(name) OVER (PARTITION BY genome ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS u5
   FROM ev WINDOW w AS (PARTITION BY genome ORDER BY pos)),
 sites AS (SELECT genome, pos, genome % 2 AS half, fork, name AS branch, prev_allele, in_rgp, array_to_string(u2, '>') AS path_2,
-  array_to_string(u3, '>') AS path_3, array_to_string(u5, '>') AS path_5 FROM pt WHERE pos > 5),
+  array_to_string(u3, '>') AS path_3, array_to_string(u5, '>') AS path_5 FROM pt WHERE pos >= 5),
 fr AS (SELECT *, (count(*) OVER (PARTITION BY fork, branch) - count(*) OVER (PARTITION BY fork, genome, branch) + 0.5::DOUBLE)
   / (count(*) OVER (PARTITION BY fork) - count(*) OVER (PARTITION BY fork, genome) + 0.5 * 5) AS freq FROM sites)"""
 
@@ -111,7 +111,7 @@ def sites(spark, folder):
         lambda w: {"fork": F.lag("family").over(w), "prev_allele": F.lag("allele").over(w)},
         before=1,
     )
-    found = both.where(F.col("pos") > 5).select(
+    found = both.where(F.col("pos") >= 5).select(
         "genome", "pos", F.pmod("genome", F.lit(2)).alias("half"), "fork",
         F.col("family").alias("branch"), "prev_allele", "in_rgp", "path_2", "path_3", "path_5",
     )

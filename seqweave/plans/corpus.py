@@ -40,14 +40,14 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
 def genes(spark: SparkSession, folder: str) -> DataFrame:
     """genome, pos, length and the gene columns; numbered in hour-sized pieces."""
     return number_rows(
-        raw_events(spark, folder), ["genome"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "pos", "length"
+        raw_events(spark, folder), ["genome"], ["ts", "event_id"], F.date_trunc("minute", "ts"), "pos", "length"
     ).drop("ts")
 
 
 def contig_genes(spark: SparkSession, folder: str) -> DataFrame:
     """The same genes numbered within contigs (``idx``), with contig length and circularity."""
     return number_rows(
-        raw_events(spark, folder), ["contig"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "idx", "length"
+        raw_events(spark, folder), ["contig"], ["ts", "event_id"], F.date_trunc("minute", "ts"), "idx", "length"
     ).withColumn("circular", F.col("contig") % 3 != 0).drop("ts")
 
 

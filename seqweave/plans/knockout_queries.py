@@ -15,6 +15,9 @@ from seqweave.plans import corpus as C
 from seqweave.session import cut_lineage
 from seqweave.sources.tables import typed
 
+#: More than the positions of any genome, so that genome and start make one number.
+POSITIONS = 2**32
+
 QUERIES = {}
 ORACLES = {}
 
@@ -40,8 +43,8 @@ fl AS (SELECT *, CASE WHEN in_rgp AND coalesce(lag(in_rgp) OVER (PARTITION BY ge
 rn AS (SELECT *, sum(st) OVER (PARTITION BY genome ORDER BY pos) AS run FROM fl),
 el AS (SELECT genome, min(pos) AS start, max(pos) AS "end", count(*) AS size, round(avg(value), 6) AS delta,
   arg_min(name, pos) AS link FROM rn WHERE in_rgp GROUP BY genome, run),
-un AS (SELECT *, genome * 100000 + start AS unit, 10 AS dist, "end" + 10 AS "row" FROM el),
-pool AS (SELECT genome, genome * 100000 + start AS control, start AS c_start, "end" AS c_end, size AS c_size, delta AS c_delta FROM el)"""
+un AS (SELECT *, genome * 4294967296 + start AS unit, 10 AS dist, "end" + 10 AS "row" FROM el),
+pool AS (SELECT genome, genome * 4294967296 + start AS control, start AS c_start, "end" AS c_end, size AS c_size, delta AS c_delta FROM el)"""
 
 MATCH = RUNS + """,
 met AS (SELECT unit, control, c_delta, u.delta,
@@ -81,7 +84,7 @@ def elements(spark, folder):
 
 
 def _units(spark, folder):
-    found = cut_lineage(elements(spark, folder)).withColumn("unit", F.col("genome") * 100000 + F.col("start"))
+    found = cut_lineage(elements(spark, folder)).withColumn("unit", F.col("genome") * POSITIONS + F.col("start"))
     units = found.withColumn("dist", F.lit(10)).withColumn("row", F.col("end") + 10)
     pool = found.select(
         "genome", F.col("unit").alias("control"), F.col("start").alias("c_start"),

@@ -97,7 +97,7 @@ def element_clusters(spark, folder):
     rows = C.genes(spark, folder).select("family", "genome").distinct()
     similar = cut_lineage(A.presence_similarity(rows)).select("a", "b", F.col("jaccard").alias("d"))
     leaves = rows.select(F.col("family").alias("leaf")).distinct()
-    members, _ = L.average_linkage(similar, leaves, cut=0.36)
+    members, _ = L.average_linkage(similar, leaves, cut=0.5)
     return members
 
 

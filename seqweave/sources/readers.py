@@ -47,8 +47,11 @@ def read_map_features(spark: SparkSession, path: str) -> DataFrame:
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text with their number from 0: id, line.
 
-    The text source gives no line number; the number of lines before each split
-    is counted first, then added inside the splits.
+    Lines are numbered inside the splits of the files, and the lines of the
+    splits before are added; files follow one another by name.
     """
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(lines, "id bigint, line string")
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_k"),
+    )
+    return number_rows(lines, [], ["_file", "_at", "_k"], F.struct("_file", "_at"), "id").select("id", "line")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +21,12 @@ def graph_documents(nodes: DataFrame, edges: DataFrame, key: str = "window") ->
 
 
 def missing_shards(df: DataFrame, path: str, shard: str) -> DataFrame:
-    """Rows of the shards the table at ``path`` does not hold yet."""
-    try:
-        done = df.sparkSession.read.parquet(path).select(F.col(shard).cast(df.schema[shard].dataType)).distinct()
-    except AnalysisException:
+    """Rows of the shards the table at ``path`` does not hold yet; all of them when there is no such path."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return df
+    done = spark.read.parquet(path).select(F.col(shard).cast(df.schema[shard].dataType)).distinct()
     return df.join(done, shard, "left_anti")
 
 

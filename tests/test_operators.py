@@ -223,14 +223,14 @@ def test_metadata(spark):
     assert [r[0] for r in dna.select(MD.translate(F.col("d"))).collect()] == ["MK", "MXF", "", ""]
 
 
-def test_exemplars_both_ways(spark, monkeypatch):
+def test_exemplars_in_blocks_and_slices(spark, monkeypatch):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 5))
     rows = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "id bigint, v array<double>")
     bank = rows.where("id < 25").withColumnRenamed("id", "exemplar")
     take = lambda df: {(r.id, r.place): r.exemplar for r in df.collect()}
     small = take(N.nearest_exemplars(rows, bank, 4))
-    monkeypatch.setattr(N, "BANK_BYTES", 0)
+    monkeypatch.setattr(N, "SLICE", 2)
     assert take(N.nearest_exemplars(rows, bank, 4, block_rows=9)) == small
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert all(small[(i, 1)] == int(np.argmax(unit[i] @ unit[:25].T)) for i in range(60))
@@ -289,3 +289,36 @@ def test_agreement_over_blocks_of_genomes(spark, monkeypatch):
                 num += a - r * c / n
                 var += r * (n - r) * c * (n - c) / (n * n * (n - 1))
         assert got[(t, o)] == pytest.approx(num / max(var, 1e-9) ** 0.5)
+
+
+def test_linkage_counts_pairs_without_a_distance_as_one(spark):
+    from seqweave.operators import clustering as L
+
+    leaves = spark.createDataFrame([("x",), ("y",), ("z",)], "leaf string")
+    near = spark.createDataFrame([("x", "y", 0.2), ("x", "z", 0.82)], "a string, b string, d double")
+    members, _ = L.average_linkage(near, leaves, cut=0.95)
+    assert len({r.cluster for r in members.collect()}) == 1
+    members, _ = L.average_linkage(near, leaves, cut=0.9)
+    groups = {r.leaf: r.cluster for r in members.collect()}
+    assert groups["x"] == groups["y"] != groups["z"]
+
+
+def test_units_of_long_genomes_stay_apart(spark):
+    from seqweave.operators import matching as M
+    from seqweave.plans.knockout_queries import POSITIONS
+
+    key = lambda genome, start: genome * POSITIONS + start
+    spots = [(1, 100_010 + 40 * i) for i in range(6)] + [(2, 10 + 40 * i) for i in range(6)]
+    units = spark.createDataFrame(
+        [(g, key(g, s), s, s + 3, 4, 10, s + 13) for g, s in spots],
+        "genome bigint, unit bigint, start bigint, end bigint, size bigint, dist bigint, row bigint")
+    pool = spark.createDataFrame([(g, key(g, s), s, s + 3, 4, 1.0) for g, s in spots],
+                                 "genome bigint, control bigint, c_start bigint, c_end bigint, c_size bigint, c_delta double")
+    found = M.matched_controls(units, pool, log_factor=10.0).collect()
+    assert found and all(r.unit // POSITIONS == r.control // POSITIONS for r in found)
+
+
+def test_serotype_takes_the_leftmost_antigen(spark):
+    df = spark.createDataFrame([("Escherichia coli O26", "H11 then O157", ""), ("E. coli O26:H11", "", "none")], "o string, a string, b string")
+    got = [r[0] for r in df.select(MD.serotype(F.col("o"), F.col("a"), F.col("b"))).collect()]
+    assert got == ["H11", "O26:H11"]
