@@ -128,26 +128,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        pairs = cut_lineage(
-            small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        state = tuple(
-            pairs.agg(F.count("u"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        )
-        if state == before or (state[0] == state[1] and _flat(pairs)):
+        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        pairs = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        pairs = cut_lineage(pairs)
+        state = tuple(pairs.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
             break
         before = state
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-def _flat(pairs: DataFrame) -> bool:
-    """Whether no parent has a parent itself, so each pair points at its component."""
-    return pairs.join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()

@@ -25,6 +25,8 @@ Skipping a pair inside one component loses nothing: only components are asked fo
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -41,8 +43,10 @@ BUCKETS, PIECES = 1 << 20, 64
 LONGEST, VERIFY_PRICE = 8, 20.0
 #: Estimated partners of a shingle that no counter shows to be frequent.
 RARE = 0.05
-#: Postings of a shingle that one salted run holds, about; rounds of linear pairing before the exact one.
-RUN, PAIRINGS = 20_000, 4
+#: Postings of a shingle that one salted run holds, about.
+RUN = 20_000
+#: Rounds of linear pairing before the exact one, and orders of the runs in each.
+PAIRINGS, ORDERS = 2, 2
 
 NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int32()),
                    ("piece", pa.int32()), ("counts", pa.binary())])
@@ -246,7 +250,7 @@ def pairings(met: DataFrame, turn: int) -> DataFrame:
         best = seen.groupBy("node").agg(F.max(F.struct("c", "other")).alias("m"))
         return best.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b"))
 
-    return favourite("first").unionByName(favourite("before")).distinct()
+    return favourite("first").unionByName(favourite("before"))
 
 
 def possible(met: DataFrame) -> DataFrame:
@@ -338,7 +342,9 @@ def linked_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     held = texts(docs, possible(met), width)
     met, group = met.withColumn("component", F.col("node")), None
     for turn in range(PAIRINGS):
-        links = cut_lineage(verified(cut_lineage(pairings(met, turn)), held, width, percent))
+        pairs = [pairings(met, turn * ORDERS + k) for k in range(ORDERS)]
+        pairs = cut_lineage(reduce(DataFrame.unionByName, pairs).distinct())
+        links = cut_lineage(verified(pairs, held, width, percent))
         group = merged(group, links)
         met = apart(met, group)
         if met.isEmpty():

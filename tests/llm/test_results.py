@@ -339,7 +339,7 @@ def test_jaccard_components(spark, docs):
     assert got == sorted(brute.jaccard([(r.doc_id, r.text) for r in docs.collect()]))
 
 
-@pytest.mark.parametrize("run_rows, pairings", [(20_000, 4), (3, 1), (3, 0)])
+@pytest.mark.parametrize("run_rows, pairings", [(20_000, 2), (3, 1), (3, 0)])
 def test_jaccard_families(spark, monkeypatch, run_rows, pairings):
     """Chains of edited copies, whose ends don't link, and a passage that many texts share."""
     monkeypatch.setattr(ngram_jaccard, "RUN", run_rows)
