@@ -16,9 +16,11 @@ How the work is dealt:
   paired with the first of the run and with the one before it, never with all.
   The partner that a node meets most often is verified and merged, which joins
   families of near copies from both ends;
-* what those rounds leave apart is settled exactly: only pairs of nodes in
-  different components that share as many prefix shingles as both prefixes
-  promise are candidates, and each is verified.
+* what those rounds leave apart is settled exactly: nodes of different
+  components that share a prefix shingle meet in tiles of bounded size, at the
+  first shingle they share. Inside a tile, pairs that share as many prefix
+  shingles as both prefixes promise are candidates, and each is verified. Pairs
+  are never written: a tile gives one edge for each node that it links.
 
 Skipping a pair inside one component loses nothing: only components are asked for.
 """
@@ -30,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +49,13 @@ RARE = 0.05
 RUN = 20_000
 #: Rounds of linear pairing before the exact one, and orders of the runs in each.
 PAIRINGS, ORDERS = 2, 2
+#: Nodes and shingles that a side of a tile holds, about; shingles of a slice of its product.
+SIDE, WEIGHT, SLICE = 512, 400_000, 2048
 
 NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int32()),
                    ("piece", pa.int32()), ("counts", pa.binary())])
 POSTINGS = pa.schema([("token", pa.int64()), ("ways", pa.int32()), ("node", pa.int64()), ("n", pa.int32()),
-                      ("need", pa.int32())])
+                      ("need", pa.int32()), ("pos", pa.int32())])
 TEXTS = pa.schema([("node", pa.int64()), ("text", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -113,6 +117,12 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     return rows.where("piece is null").drop("piece", "counts"), table.ravel()
 
 
+def usually(frequency: np.ndarray) -> float:
+    """What a counter holds at most without any frequent shingle."""
+    middle = float(np.median(frequency))
+    return middle + 3 * middle**0.5
+
+
 def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
@@ -137,10 +147,9 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, usual: float, percent: i
 
 
 def postings(docs: DataFrame, frequency: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, ways, node, n, need: the prefix of every node, each node once per task; ways: salts of the token."""
+    """token, ways, node, n, need, pos: the prefix of every node, each node once per task; ways: salts of the token."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
-    middle = float(np.median(frequency))
-    usual = middle + 3 * middle**0.5  # what a counter holds without any frequent shingle
+    usual = usually(frequency)
 
     def work(batches):
         seen, counts = set(), shared.value
@@ -160,10 +169,11 @@ def postings(docs: DataFrame, frequency: np.ndarray, width: int, percent: int) -
                 many = (np.concatenate(ways) // RUN + 1).astype(np.int32)
                 owner, total, need = (np.repeat(np.array(x, np.int64), lengths) for x in (owners, totals, needs))
                 yield arrow_rows(POSTINGS, token=signed(np.concatenate(tokens)), ways=many, node=owner,
-                                 n=total.astype(np.int32), need=need.astype(np.int32))
+                                 n=total.astype(np.int32), need=need.astype(np.int32),
+                                 pos=np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
-        work, "token bigint, ways int, node bigint, n int, need int"
+        work, "token bigint, ways int, node bigint, n int, need int, pos int"
     )
 
 
@@ -173,7 +183,7 @@ def shared_postings(posted: DataFrame) -> DataFrame:
     def work(batches):
         last = held = None  # token, salt and node of the row before; its row, as long as it stands alone
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(6)]
+            columns = [batch.column(i).to_numpy() for i in range(7)]
             if not len(columns[0]):
                 continue
             if held is not None:
@@ -199,13 +209,13 @@ def shared_postings(posted: DataFrame) -> DataFrame:
                 held = [c[-1] for c in columns] if open_ else None
             last = (token[-1], salt[-1], node[-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[i][keep], f.type) for i, f in zip((0, 3, 2, 4, 5), POSTINGS, strict=True)], schema=POSTINGS
+                [pa.array(columns[i][keep], f.type) for i, f in zip((0, 3, 2, 4, 5, 6), POSTINGS, strict=True)], schema=POSTINGS
             )
 
     salted = posted.withColumn("salt", F.pmod(F.xxhash64("node"), "ways").cast("int"))
     ordered = salted.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    return ordered.select("token", "salt", "node", "ways", "n", "need").mapInArrow(
-        work, "token bigint, ways int, node bigint, n int, need int"
+    return ordered.select("token", "salt", "node", "ways", "n", "need", "pos").mapInArrow(
+        work, "token bigint, ways int, node bigint, n int, need int, pos int"
     )
 
 
@@ -307,6 +317,132 @@ def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Dat
     return met.mapInArrow(work, "a bigint, b bigint")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shared values of each set on the left with each on the right, as sums of products of 0 and 1."""
+    va, vb = np.concatenate(left), np.concatenate(right)
+    ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    shared = np.intersect1d(va, vb)
+    total = np.zeros((len(left), len(right)), np.float32)
+    if not len(shared):
+        return total
+    sides = []
+    for v, r in ((va, ra), (vb, rb)):
+        at = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+        hit = shared[at] == v
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], r[hit][order]))
+    for start in range(0, len(shared), SLICE):
+        parts = []
+        for (at, r), n in zip(sides, (len(left), len(right)), strict=True):
+            a, b = np.searchsorted(at, (start, start + SLICE))
+            x = np.zeros((n, min(SLICE, len(shared) - start)), np.float32)
+            x[r[a:b], at[a:b] - start] = 1
+            parts.append(x)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def tiled(met: DataFrame, percent: int) -> DataFrame:
+    """Rows dealt into tiles: token, kind, i, j, side, node, component; what shares a first token meets in one tile.
+
+    Of a pair of sizes a <= b the smaller shares a shingle among its first a - 2p/(100+p) a + 1. A shingle needs such
+    a row, and two components. Nodes that have the same shingle just before this one met there already, and nodes of
+    one component need not meet: the largest such group of each shingle meets only the rest.
+    """
+    p = percent
+    reach = F.expr(f"n - (({p} * n + 99) div 100) + 1")
+    small = F.expr(f"pos < n - ((2 * {p} * n + {99 + p}) div {100 + p}) + 1")
+    near = met.where(F.col("pos") < reach)
+    open_ = near.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(small).alias("s"))
+    near = near.join(open_.where("s and lo < hi").select("token"), "token", "left_semi")
+    own = Window.partitionBy("node").orderBy("pos")
+    near = cut_lineage(near.select("token", "node", "n", "component", F.lag("token").over(own).alias("past")))
+    names = []
+    for k, c in enumerate(("past", "component")):
+        most = near.where(F.col(c).isNotNull()).groupBy("token", c).agg(F.count("*").alias("k"))
+        names.append(most.groupBy("token").agg(F.max(F.struct("k", F.lit(k).alias("by"), F.col(c).alias("name"))).alias("m")))
+    large = names[0].unionByName(names[1]).groupBy("token").agg(F.max("m").alias("m"))
+    near = near.join(large, "token")
+    large = F.coalesce(F.when(F.col("m.by") == 0, F.col("past")).otherwise(F.col("component")) == F.col("m.name"), F.lit(False))
+    near = near.withColumn("large", large).drop("m", "past")
+    held = lambda which: F.ceil(F.greatest(
+        F.count(F.when(F.col("large") == which, 1)) / SIDE, F.sum(F.when(F.col("large") == which, F.col("n"))) / WEIGHT
+    ))
+    chunks = near.groupBy("token").agg(F.coalesce(held(False), F.lit(0)).alias("few"), F.coalesce(held(True), F.lit(0)).alias("many"))
+    near = near.join(chunks.where("few > 0"), "token")
+    near = near.withColumn("c", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("many")).otherwise(F.col("few"))))
+    tile = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    count = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    c, few, many = F.col("c"), F.col("few").cast("bigint"), F.col("many").cast("bigint")
+    rest = F.concat(
+        F.transform(count(few), lambda j: tile(0, F.least(c, j), F.greatest(c, j), (c > j).cast("int"))),
+        F.transform(count(many), lambda j: tile(1, c, j, F.lit(0))),
+    )
+    large = F.transform(count(few), lambda i: tile(1, i, c, F.lit(1)))
+    return near.select("token", F.explode(F.when(F.col("large"), large).otherwise(rest)).alias("t"), "node", "component").select(
+        "token", "t.*", "node", "component"
+    )
+
+
+def tile_links(met: DataFrame, held: DataFrame, frequency: np.ndarray, width: int, percent: int) -> DataFrame:
+    """a, b: one link of each node that has links to other components in a tile, so that all these hang together."""
+    shared = held.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
+    usual = usually(frequency)
+
+    def work(batches):
+        open_, counts = zstandard.ZstdDecompressor(), shared.value
+        known: dict[int, tuple] = {}
+
+        def sets(nodes, texts):
+            fresh = {k: t for k, t in zip(nodes, texts, strict=True) if k not in known}
+            if len(known) + len(fresh) > 4 * SIDE:
+                known.clear()
+                fresh = dict(zip(nodes, texts, strict=True))
+            values, sizes = shingle_sets([open_.decompress(t) for t in fresh.values()], width)
+            for k, s in zip(fresh, by_text(values, sizes), strict=True):
+                kept, _, need = prefix_of(s, counts[(s >> np.uint64(44)).astype(np.int64)], usual, percent)
+                known[k] = s, kept, need
+            return [known[k] for k in nodes]
+
+        def links(tile, rows):
+            a = [r[1:] for r in rows if r[0] == 0]
+            alone = tile is not None and tile[1] == 0 and tile[2] == tile[3]  # one chunk with itself
+            b = a if alone else [r[1:] for r in rows if r[0] == 1]
+            if not a or not b or len(rows) < 2:
+                return []
+            u, v = (sets([r[0] for r in x], [r[2] for r in x]) for x in (a, b))
+            ca, cb = (np.array([r[1] for r in x]) for x in (a, b))
+            na, nb = (np.array([len(s[0]) for s in x]) for x in (u, v))
+            la, lb = (np.array([s[2] for s in x]) for x in (u, v))
+            possible = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+            possible &= overlaps([s[1] for s in u], [s[1] for s in v]) >= np.minimum(la[:, None], lb)
+            i, j = np.flatnonzero(possible.any(1)), np.flatnonzero(possible.any(0))
+            if not len(i):
+                return []
+            both = overlaps([u[k][0] for k in i], [v[k][0] for k in j])
+            linked = possible[np.ix_(i, j)] & (100 * both >= percent * (na[i][:, None] + nb[j] - both))
+            first, last = linked.argmax(1), linked.argmax(0)  # the first link of each row, and of each column
+            out = {(a[i[x]][0], b[j[first[x]]][0]) for x in np.flatnonzero(linked.any(1))}
+            return [*(out | {(a[i[last[y]]][0], b[j[y]][0]) for y in np.flatnonzero(linked.any(0))})]
+
+        def told(found):
+            return arrow_rows(LINKS, a=[x for x, _ in found], b=[y for _, y in found])
+
+        rows, tile = [], None
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            for key, *row in zip(keys, *(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
+                if key != tile:
+                    yield told(links(tile, rows))
+                    rows, tile = [], key
+                rows.append(row)
+        yield told(links(tile, rows))
+
+    tile = ["token", "kind", "i", "j"]
+    dealt = tiled(met, percent).join(held, "node").select(*tile, "side", "node", "component", "text")
+    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(work, "a bigint, b bigint").distinct()
+
+
 def merged(group: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, component after more links: the components themselves are linked, then named anew."""
     if group is None:
@@ -349,16 +485,7 @@ def linked_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         met = apart(met, group)
         if met.isEmpty():
             break
-    right = met.select("token", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "need", "component")))
-    rest = (
-        met.join(right, "token")
-        .where("component < component_ and 100 * least(n, n_) >= %d * greatest(n, n_)" % percent)
-        .groupBy(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
-        .agg(F.count("*").alias("c"), F.min(F.least("need", "need_")).alias("need"))
-        .where("c >= need")
-        .select("a", "b")
-    )
-    group = merged(group, cut_lineage(verified(cut_lineage(rest), held, width, percent)))
+    group = merged(group, cut_lineage(tile_links(met, held, frequency, width, percent)))
     named = rows.join(group, "node", "left")
     return named.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
 

@@ -344,6 +344,7 @@ def test_jaccard_families(spark, monkeypatch, run_rows, pairings):
     """Chains of edited copies, whose ends don't link, and a passage that many texts share."""
     monkeypatch.setattr(ngram_jaccard, "RUN", run_rows)
     monkeypatch.setattr(ngram_jaccard, "PAIRINGS", pairings)
+    monkeypatch.setattr(ngram_jaccard, "SIDE", 512 if pairings == 2 else 5)
     rng = np.random.default_rng(6)
     vocabulary = [f"w{i}" for i in range(4000)]
     passage, rows = list(rng.choice(vocabulary, 60)), []
