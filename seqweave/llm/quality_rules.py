@@ -128,5 +128,53 @@ def judge(docs: DataFrame, rules=RULES, rounds: int = ROUNDS, least: float = 0.5
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return rows.join(F.broadcast(table), "pattern").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("quality") >= least)).alias("kept"), "quality",
+        (~failed & (F.col("quality") >= least)).alias("kept"), F.round("quality", 6).alias("quality"),
     )
+
+
+def judge_sql(rules=RULES, rounds: int = ROUNDS, least: float = 0.5) -> str:
+    """The same as one DuckDB statement over ``documents``, its rounds written out."""
+    word, space = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
+
+    def count(characters):
+        return f"length(text) - length(regexp_replace(text, '{characters}', '', 'g'))"
+
+    parts = [
+        "t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents)",
+        f"""w AS MATERIALIZED (SELECT rid, unnest(l) AS w, generate_subscripts(l, 1) AS i
+            FROM (SELECT rid, regexp_extract_all(text, '{word}') AS l FROM t))""",
+        """g AS (SELECT rid, i, w, lead(w, 1) OVER o AS x, lead(w, 2) OVER o AS y FROM w WINDOW o AS (PARTITION BY rid ORDER BY i))""",
+        """h AS (SELECT rid, i, w, y IS NOT NULL AND count(*) OVER (PARTITION BY rid, w, x, y) > 1 AS again FROM g)""",
+        """k AS (SELECT rid, w, again OR coalesce(lag(again, 1) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS inside
+            FROM h WINDOW o AS (PARTITION BY rid ORDER BY i))""",
+        """a AS MATERIALIZED (SELECT rid, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars,
+            count(*) FILTER (inside) AS n_repeat_words FROM k GROUP BY rid)""",
+        f"""l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t)""",
+        f"""b AS MATERIALIZED (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) AS n_lines,
+            count(*) FILTER (regexp_matches(line, '[.!?"]{space}*$')) AS n_closed_lines
+            FROM l WHERE regexp_matches(line, '{word}') GROUP BY rid)""",
+        f"""m AS MATERIALIZED (SELECT rid, doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+            {count('[#*$%&|<>]')} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+            coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+            coalesce(n_closed_lines, 0) AS n_closed_lines, {count('[A-Z]')} AS n_upper, {count('[a-z]')} AS n_lower,
+            {count('[0-9]')} AS n_digits, {count('!')} AS n_shouts FROM t LEFT JOIN a USING (rid) LEFT JOIN b USING (rid))""",
+        f"v AS MATERIALIZED (SELECT *, {pattern_sql(rules)} AS pattern FROM m)",
+        "c AS MATERIALIZED (SELECT pattern, count(*)::DOUBLE AS c, sum(count(*)) OVER ()::DOUBLE AS total FROM v GROUP BY pattern)",
+        f"""d AS MATERIALIZED (SELECT pattern, r, pattern // (3 ** r)::BIGINT % 3 AS vote FROM c, range(0, {len(rules)}) x(r))""",
+        """p0 AS MATERIALIZED (SELECT pattern, 1 / (1 + exp(-sum(CASE vote WHEN 2 THEN 1 WHEN 1 THEN -1 ELSE 0 END)::DOUBLE)) AS good
+            FROM d GROUP BY pattern)""",
+    ]
+    prior = f"CASE vote WHEN 0 THEN 1 WHEN %d THEN {RIGHT} ELSE {WRONG} END"
+    whole = 1 + RIGHT + WRONG
+    for k in range(1, rounds + 1):
+        parts.append(f"""s{k} AS MATERIALIZED (SELECT r, vote, ln((sum(c * good) + {prior % 2}) / (any_value(wg) + {whole})) AS lg,
+            ln((sum(c * (1 - good)) + {prior % 1}) / (any_value(wb) + {whole})) AS lb,
+            ln((any_value(wg) + 1) / (any_value(total) + 2)) AS tg, ln((any_value(wb) + 1) / (any_value(total) + 2)) AS tb
+            FROM d JOIN c USING (pattern) JOIN p{k - 1} USING (pattern),
+            (SELECT sum(c * good) AS wg, sum(c * (1 - good)) AS wb FROM c JOIN p{k - 1} USING (pattern)) GROUP BY r, vote)""")
+        parts.append(f"""p{k} AS MATERIALIZED (SELECT pattern, 1 / (1 + exp(least(greatest(
+            any_value(tb) + sum(lb) - any_value(tg) - sum(lg), -700), 700))) AS good FROM d JOIN s{k} USING (r, vote) GROUP BY pattern)""")
+    failed = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
+    return f"""WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        {failed} AS base_failed, NOT {failed} AND good >= {least} AS kept, round(good, 6) AS quality
+        FROM v JOIN p{rounds} USING (pattern)"""

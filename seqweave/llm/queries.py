@@ -7,6 +7,7 @@ from seqweave.llm import (
     language,
     mixing,
     ngram_jaccard,
+    oracles,
     packing,
     perplexity,
     quality_rules,
@@ -83,4 +84,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.judge_sql(),
     "op3_sharding": sharding.shards_sql(),
+    "op5_quality_rules": quality_rules.judge_sql(),
+    "op8_warc_revisits": oracles.revisits_sql(),
+    "op9_embedding_join": oracles.vectors_sql(),
+    "op10_ngram_jaccard_join": oracles.jaccard_sql(),
 }
