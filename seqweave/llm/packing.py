@@ -16,10 +16,14 @@ tokenised again, for the checksums of their two parts.
 from __future__ import annotations
 
 import itertools
+import json
+import os
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +35,10 @@ from seqweave.session import cut_lineage
 WINDOW, GRAIN, END = 2048, 8, 1
 
 
+#: What the tokenizer takes as pieces of a word (its fixed pattern).
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 def tokenizer_file(path: str | None = None) -> str:
     """Content of a tokenizer's file, read on the driver and sent along (a fixed few MB)."""
     if path is None:
@@ -44,34 +52,65 @@ def tokenizer_file(path: str | None = None) -> str:
 class WordTokens:
     """Ids of the words last met. The tokenizer drops white space, so a text's ids are those of its words in turn."""
 
-    def __init__(self, content: str, limit: int = 400_000):
+    def __init__(self, content: str, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(content).encode_batch
+        coder = Tokenizer.from_str(content)
+        self.encode = coder.encode_batch_fast
+        suffix = json.loads(content)["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(coder.get_vocab_size(), bool)
+        self.ends[[k for w, k in coder.get_vocab().items() if w.endswith(suffix)]] = True
         self.limit = limit
-        self.clear()
-
-    def clear(self):
-        self.known: dict[bytes, int] = {b"": 0}  # the end mark: no word is empty
+        self.words = [b""]  # the end mark: no word is empty
+        self.known: dict[bytes, int] = {b"": 0}
         self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.ids = np.array([END], np.uint32)
+        self.last = np.zeros(1, np.int64)
+
+    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has.
+
+        Words are sent joined by spaces, which is much cheaper than one by one. Each piece of a word ends in one id
+        with the suffix, so the pieces of each word tell where its ids end; if the counts don't add up, or a word
+        may hold a special token, they are sent one by one.
+        """
+        pieces = np.array([1 if w.isalpha() else len(PIECE.findall(unicodedata.normalize("NFC", w).lower())) for w in words])
+        if not any("<|" in w for w in words):
+            ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == pieces.sum() and (pieces > 0).all():
+                return ids, np.diff(last[np.cumsum(pieces) - 1] + 1, prepend=0)
+        each = [e.ids for e in self.encode(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(each), np.uint32), np.array([len(c) for c in each], np.int64)
+
+    def shrink(self):
+        """Forget all but the words of the last texts."""
+        kept = np.union1d([0], self.last)
+        self.words = [self.words[k] for k in kept]
+        self.known = dict(zip(self.words, range(len(kept)), strict=True))
+        begin, self.size = self.begin[kept], self.size[kept]
+        self.begin = np.cumsum(self.size) - self.size
+        self.ids = self.ids[np.repeat(begin - self.begin, self.size) + np.arange(int(self.size.sum()))]
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end mark, in one array, and each text's number of ids."""
         if len(self.known) > self.limit:
-            self.clear()
+            self.shrink()
         words = [[*words_of(t), b""] if t else [b""] for t in texts]
         fresh = list({w for ws in words for w in ws if w not in self.known})
         if fresh:
-            coded = [e.ids for e in self.encode([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
-            sizes = np.array([len(c) for c in coded], np.int64)
+            text = [w.decode("utf-8", "replace") for w in fresh]
+            parts = [self.coded(text[k : k + 1000]) for k in range(0, len(text), 1000)]
+            sizes = np.concatenate([s for _, s in parts])
             begin = len(self.ids) + np.cumsum(sizes) - sizes
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            self.words += fresh
             self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
-            flat = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(sizes.sum()))
-            self.ids = np.concatenate([self.ids, flat])
+            self.ids = np.concatenate([self.ids, *(i for i, _ in parts)])
         counts = np.array([len(w) for w in words], np.int64)
         at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
+        self.last = np.unique(at)
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         where = np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
