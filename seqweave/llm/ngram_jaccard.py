@@ -384,63 +384,101 @@ def tiled(met: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def tile_links(met: DataFrame, held: DataFrame, frequency: np.ndarray, width: int, percent: int) -> DataFrame:
+TILE_ROWS = "token bigint, kind int, i bigint, j bigint, side int, node bigint, component bigint"
+
+
+def each_tile(batches, work):
+    """Call ``work`` with the rows on either side of each tile; rows of a tile follow one another."""
+    rows, tile = [], None
+
+    def told():
+        left = [r for r in rows if r[4] == 0]
+        alone = bool(rows) and tile[1] == 0 and tile[2] == tile[3]  # one chunk with itself
+        right = left if alone else [r for r in rows if r[4] == 1]
+        return work(left, right) if left and right and len(rows) > 1 else []
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:4] != tile:
+                yield told()
+                rows, tile = [], row[:4]
+            rows.append(row)
+    yield told()
+
+
+def apart_enough(left, right, sizes, percent: int) -> np.ndarray:
+    """Which pairs of a tile have different components and sizes near enough."""
+    ca, cb = (np.array([r[6] for r in x]) for x in (left, right))
+    na, nb = (np.array(n) for n in sizes)
+    near = 100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)
+    return near & (ca[:, None] != cb)
+
+
+def candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Tile rows of the nodes that share as many prefix shingles with another component's node as both promise.
+
+    ``met`` holds all prefix shingles that stand in several components, so it tells all that such a pair shares. A pair
+    counts in the tile of the first shingle that it shares, and in no other.
+    """
+    schema = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64()) for c in TILE_ROWS.split(", ")])
+
+    def work(left, right):
+        possible = apart_enough(left, right, ([r[7] for r in left], [r[7] for r in right]), percent)
+        need = np.minimum(np.array([r[8] for r in left])[:, None], np.array([r[8] for r in right]))
+        if possible.any():
+            lists = [[np.array(r[9], np.int64) for r in x] for x in (left, right)]
+            earlier = [[t[: r[9].index(r[0])] for r, t in zip(x, y, strict=True)] for x, y in zip((left, right), lists, strict=True)]
+            possible &= (overlaps(*lists) >= need) & (overlaps(*earlier) == 0)
+        found = {left[k][:7] for k in np.flatnonzero(possible.any(1))}
+        return [*(found | {right[k][:7] for k in np.flatnonzero(possible.any(0))})]
+
+    def told(batches):
+        for rows in each_tile(batches, work):
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
+                                                 schema=schema)
+
+    tile = ["token", "kind", "i", "j"]
+    lists = met.groupBy("node").agg(F.first("n").alias("n"), F.first("need").alias("need"),
+                                       F.array_sort(F.collect_list(F.struct("pos", "token")))["token"].alias("tokens"))
+    dealt = tiled(met, percent).join(lists, "node").select(*tile, "side", "node", "component", "n", "need", "tokens")
+    return cut_lineage(dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(told, TILE_ROWS))
+
+
+def tile_links(met: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: one link of each node that has links to other components in a tile, so that all these hang together."""
-    shared = held.sparkSession.sparkContext.broadcast(np.minimum(frequency, 2**31 - 1).astype(np.int32))
-    usual = usually(frequency)
 
-    def work(batches):
-        open_, counts = zstandard.ZstdDecompressor(), shared.value
-        known: dict[int, tuple] = {}
+    def told(batches):
+        open_, known = zstandard.ZstdDecompressor(), {}
 
-        def sets(nodes, texts):
-            fresh = {k: t for k, t in zip(nodes, texts, strict=True) if k not in known}
+        def sets(rows):
+            fresh = {r[5]: r[7] for r in rows if r[5] not in known}
             if len(known) + len(fresh) > 4 * SIDE:
                 known.clear()
-                fresh = dict(zip(nodes, texts, strict=True))
+                fresh = {r[5]: r[7] for r in rows}
             values, sizes = shingle_sets([open_.decompress(t) for t in fresh.values()], width)
-            for k, s in zip(fresh, by_text(values, sizes), strict=True):
-                kept, _, need = prefix_of(s, counts[(s >> np.uint64(44)).astype(np.int64)], usual, percent)
-                known[k] = s, kept, need
-            return [known[k] for k in nodes]
-
-        def links(tile, rows):
-            a = [r[1:] for r in rows if r[0] == 0]
-            alone = tile is not None and tile[1] == 0 and tile[2] == tile[3]  # one chunk with itself
-            b = a if alone else [r[1:] for r in rows if r[0] == 1]
-            if not a or not b or len(rows) < 2:
-                return []
-            u, v = (sets([r[0] for r in x], [r[2] for r in x]) for x in (a, b))
-            ca, cb = (np.array([r[1] for r in x]) for x in (a, b))
-            na, nb = (np.array([len(s[0]) for s in x]) for x in (u, v))
-            la, lb = (np.array([s[2] for s in x]) for x in (u, v))
-            possible = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
-            possible &= overlaps([s[1] for s in u], [s[1] for s in v]) >= np.minimum(la[:, None], lb)
-            i, j = np.flatnonzero(possible.any(1)), np.flatnonzero(possible.any(0))
-            if not len(i):
+            known.update(zip(fresh, by_text(values, sizes), strict=True))
+            return [known[r[5]] for r in rows]
+
+        def work(left, right):
+            u, v = sets(left), sets(right)
+            na, nb = [len(x) for x in u], [len(x) for x in v]
+            possible = apart_enough(left, right, (na, nb), percent)
+            if not possible.any():
                 return []
-            both = overlaps([u[k][0] for k in i], [v[k][0] for k in j])
-            linked = possible[np.ix_(i, j)] & (100 * both >= percent * (na[i][:, None] + nb[j] - both))
+            both = overlaps(u, v)
+            linked = possible & (100 * both >= percent * (np.array(na)[:, None] + np.array(nb) - both))
             first, last = linked.argmax(1), linked.argmax(0)  # the first link of each row, and of each column
-            out = {(a[i[x]][0], b[j[first[x]]][0]) for x in np.flatnonzero(linked.any(1))}
-            return [*(out | {(a[i[last[y]]][0], b[j[y]][0]) for y in np.flatnonzero(linked.any(0))})]
+            out = {(left[k][5], right[first[k]][5]) for k in np.flatnonzero(linked.any(1))}
+            return [*(out | {(left[last[k]][5], right[k][5]) for k in np.flatnonzero(linked.any(0))})]
 
-        def told(found):
-            return arrow_rows(LINKS, a=[x for x, _ in found], b=[y for _, y in found])
-
-        rows, tile = [], None
-        for batch in batches:
-            keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            for key, *row in zip(keys, *(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
-                if key != tile:
-                    yield told(links(tile, rows))
-                    rows, tile = [], key
-                rows.append(row)
-        yield told(links(tile, rows))
+        for found in each_tile(batches, work):
+            if found:
+                yield arrow_rows(LINKS, a=[x for x, _ in found], b=[y for _, y in found])
 
     tile = ["token", "kind", "i", "j"]
-    dealt = tiled(met, percent).join(held, "node").select(*tile, "side", "node", "component", "text")
-    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(work, "a bigint, b bigint").distinct()
+    rows = candidates(met, percent).join(held, "node").select(*tile, "side", "node", "component", "text")
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(told, "a bigint, b bigint").distinct()
 
 
 def merged(group: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -485,7 +523,8 @@ def linked_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         met = apart(met, group)
         if met.isEmpty():
             break
-    group = merged(group, cut_lineage(tile_links(met, held, frequency, width, percent)))
+    met = cut_lineage(met.join(possible(met), "node", "left_semi"))  # all its shingles have other components
+    group = merged(group, cut_lineage(tile_links(met, held, width, percent)))
     named = rows.join(group, "node", "left")
     return named.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
 
