@@ -49,6 +49,19 @@ def tokenizer_file(path: str | None = None) -> str:
         return f.read()
 
 
+class Numbered(dict):
+    """Numbers of words, given in the order of first sight; ``words`` lists them."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.words = words
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        return number
+
+
 class WordTokens:
     """Ids of the words last met. The tokenizer drops white space, so a text's ids are those of its words in turn."""
 
@@ -62,8 +75,7 @@ class WordTokens:
         self.ends = np.zeros(coder.get_vocab_size(), bool)
         self.ends[[k for w, k in coder.get_vocab().items() if w.endswith(suffix)]] = True
         self.limit = limit
-        self.words = [b""]  # the end mark: no word is empty
-        self.known: dict[bytes, int] = {b"": 0}
+        self.known = Numbered([b""])  # the end mark: no word is empty
         self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.ids = np.array([END], np.uint32)
         self.last = np.zeros(1, np.int64)
@@ -87,8 +99,7 @@ class WordTokens:
     def shrink(self):
         """Forget all but the words of the last texts."""
         kept = np.union1d([0], self.last)
-        self.words = [self.words[k] for k in kept]
-        self.known = dict(zip(self.words, range(len(kept)), strict=True))
+        self.known = Numbered([self.known.words[k] for k in kept])
         begin, self.size = self.begin[kept], self.size[kept]
         self.begin = np.cumsum(self.size) - self.size
         self.ids = self.ids[np.repeat(begin - self.begin, self.size) + np.arange(int(self.size.sum()))]
@@ -98,18 +109,17 @@ class WordTokens:
         if len(self.known) > self.limit:
             self.shrink()
         words = [[*words_of(t), b""] if t else [b""] for t in texts]
-        fresh = list({w for ws in words for w in ws if w not in self.known})
+        counts = np.array([len(w) for w in words], np.int64)
+        held = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
+        fresh = self.known.words[held:]
         if fresh:
             text = [w.decode("utf-8", "replace") for w in fresh]
             parts = [self.coded(text[k : k + 1000]) for k in range(0, len(text), 1000)]
             sizes = np.concatenate([s for _, s in parts])
             begin = len(self.ids) + np.cumsum(sizes) - sizes
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.words += fresh
             self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
             self.ids = np.concatenate([self.ids, *(i for i, _ in parts)])
-        counts = np.array([len(w) for w in words], np.int64)
-        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
         self.last = np.unique(at)
         sizes = self.size[at]
         ends = np.cumsum(sizes)
