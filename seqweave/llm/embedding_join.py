@@ -48,6 +48,13 @@ class Space:
         weight = np.array([max(values[order][a].sum(), 1e-3 / blocks) for a in self.axes])
         self.budget = 2 * (1 - cosine) * (1 + 1e-9) * weight / weight.sum()
 
+    @classmethod
+    def of(cls, state: dict) -> Space:
+        """The space with these attributes, which travel as plain data: executors need no copy of this module."""
+        space = cls.__new__(cls)
+        vars(space).update(state)
+        return space
+
     def rotated(self, unit: np.ndarray) -> np.ndarray:
         return unit @ self.rotation
 
@@ -146,10 +153,10 @@ def links(nodes: DataFrame, kind: str, cosine: float, blocks: int = BLOCKS, chun
     drawn = nodes.orderBy("node").limit(sample).select("vector").collect()
     space = Space(unit([bytes(r[0]) for r in drawn], width, kind), width, cosine, blocks)
     context = nodes.sparkSession.sparkContext
-    shared = context.broadcast(space)
+    shared = context.broadcast(vars(space))
 
     def located(batch):
-        where = shared.value
+        where = Space.of(shared.value)
         vectors = batch.column("vector").to_pylist()
         sizes = np.array([len(v) for v in vectors]) // item
         return where, sizes, where.rotated(unit(vectors, where.width, kind)) if vectors else None
@@ -200,7 +207,7 @@ def links(nodes: DataFrame, kind: str, cosine: float, blocks: int = BLOCKS, chun
     tile = [c.split()[0] for c in TILES.split(", ")[:6]]
 
     def meet(rows):
-        where, block = shared.value, rows.column("block")[0].as_py()
+        where, block = Space.of(shared.value), rows.column("block")[0].as_py()
         same = all(rows.column(f"{x}_a")[0] == rows.column(f"{x}_b")[0] for x in ("cell", "chunk"))
         mine = rows.column("mine").to_numpy()
         node, times = rows.column("node").to_numpy(), rows.column("times").to_numpy()
