@@ -113,6 +113,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             start = stop
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index of each index's component under the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: node, component (the smallest node id of it), for nodes with an edge.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import components
+from seqweave.llm.common import components, local_roots
 from seqweave.session import cut_lineage
 
 #: Blocks of a vector; vectors of a chunk, rows of a product, pairs verified at once; vectors that fit the rotation.
@@ -92,20 +92,6 @@ def packed(vectors: DataFrame) -> tuple[DataFrame, str]:
     return rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))), kind
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component under the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def tile_links(space: Space, block: int, left: np.ndarray, right: np.ndarray | None):
     """Index pairs of linked vectors of which ``block`` is the first within budget; right None: pairs inside left."""
     rows = space.rotated(left)

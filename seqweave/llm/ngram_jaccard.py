@@ -20,7 +20,7 @@ How the work is dealt:
   components that share a prefix shingle meet in tiles of bounded size, at the
   first shingle they share. Inside a tile, pairs that share as many prefix
   shingles as both prefixes promise are candidates, and each is verified. Pairs
-  are never written: a tile gives one edge for each node that it links.
+  are never written: a tile gives a spanning forest of its links, at most one edge a node.
 
 Skipping a pair inside one component loses nothing: only components are asked for.
 """
@@ -36,7 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqweave.llm.common import arrow_rows, by_text, components, mixed, shingle_sets, signed, slices, whole_row
+from seqweave.llm.common import (
+    arrow_rows,
+    by_text,
+    components,
+    local_roots,
+    mixed,
+    shingle_sets,
+    signed,
+    slices,
+    whole_row,
+)
 from seqweave.session import cut_lineage
 
 #: Counters of the frequency table (4 bytes each) and pieces it travels in.
@@ -446,7 +456,10 @@ def candidates(met: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_links(met: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: one link of each node that has links to other components in a tile, so that all these hang together."""
+    """a, b: a spanning forest of the links between different components in each tile.
+
+    Nodes that the links of a tile join, directly or over others, each get an edge to the first of their group.
+    """
 
     def told(batches):
         open_, known = zstandard.ZstdDecompressor(), {}
@@ -468,9 +481,10 @@ def tile_links(met: DataFrame, held: DataFrame, width: int, percent: int) -> Dat
                 return []
             both = overlaps(u, v)
             linked = possible & (100 * both >= percent * (np.array(na)[:, None] + np.array(nb) - both))
-            first, last = linked.argmax(1), linked.argmax(0)  # the first link of each row, and of each column
-            out = {(left[k][5], right[first[k]][5]) for k in np.flatnonzero(linked.any(1))}
-            return [*(out | {(left[last[k]][5], right[k][5]) for k in np.flatnonzero(linked.any(0))})]
+            i, j = np.nonzero(linked)
+            nodes = [r[5] for r in left] + ([] if right is left else [r[5] for r in right])
+            root = local_roots(len(nodes), i, j if right is left else j + len(left))
+            return [(nodes[k], nodes[root[k]]) for k in np.flatnonzero(root != np.arange(len(root)))]
 
         for found in each_tile(batches, work):
             if found:

@@ -362,6 +362,20 @@ def test_jaccard_families(spark, monkeypatch, run_rows, pairings):
     assert kept == sorted({c for _, _, c in got})
 
 
+def test_jaccard_chain_in_one_tile(spark, monkeypatch):
+    """Sets that link to their neighbours only; one rare word brings all of them into one tile, and no round before helps."""
+    monkeypatch.setattr(ngram_jaccard, "PAIRINGS", 0)
+    rng = np.random.default_rng(12)
+    words = [f"c{i}" for i in range(4 * 63 + 40)]
+    rows = [(int(i), " ".join(["rare", *words[4 * k : 4 * k + 40]])) for k, i in enumerate(rng.permutation(64))]
+    # texts that link with nothing make each word of the chain more frequent than the rare one
+    rows += [(1000 + k, " ".join([*words, *(f"f{k}x{i}" for i in range(900))])) for k in range(80)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.link_documents(frame, width=1).collect()}
+    assert got == {i: 0 if i < 64 else i for i, _ in rows}
+
+
 def test_word_hashes_of_equal_words_are_equal():
     texts = ["a bb\tccc a", "", " bb\n\n", "ccc x ccc"]
     hashes, counts = common.word_hashes([t.encode() for t in texts])
