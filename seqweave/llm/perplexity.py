@@ -30,8 +30,8 @@ from seqweave.session import cut_lineage
 ORDER, EDGE = 5, 10
 #: Entries of one shard; only a single pair of bytes with more of them makes a larger one (at most 2^24 for order 5).
 SHARD = 1_500_000
-#: Share of the trusted texts of a language below its limit, and room above it.
-QUANTILE, ROOM = 0.99, 1.1
+#: Share of the trusted texts of a language below its limit, when they are scored by models that have not seen them.
+QUANTILE = 0.99
 #: Cross-entropies are compared in steps of this many bits.
 STEP = 0.001
 #: Bytes of average cross-entropy that each text is given beforehand, so that a few words decide little.
@@ -236,10 +236,27 @@ def surprise(docs: DataFrame, model: Model, most: int = SHARD) -> DataFrame:
     ).drop("_n")
 
 
-def limits(scored: DataFrame, quantile: float = QUANTILE, room: float = ROOM) -> DataFrame:
-    """language, limit: ``room`` times the quantile of the trusted texts' bits a byte, in steps of ``STEP``.
+def unseen(trusted: DataFrame, order: int = ORDER, most: int = SHARD) -> DataFrame:
+    """``trusted`` with bytes and bits, each text scored by a model of the other half of the texts.
 
-    ``scored``: language, h, trusted. A language without trusted texts takes the quantile of all its own.
+    ``trusted`` has a binary column ``text``. Halves are dealt by a hash of the text, so copies of a text are in one
+    half. If one half is empty, its texts can't be kept from a model, and the model of all scores them.
+    """
+    halves = trusted.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    halves = cut_lineage(halves)
+    there = {r["half"] for r in halves.where("length(text) > 0").select("half").distinct().collect()}
+    parts = []
+    for half in (0, 1):
+        rest = halves.where(F.col("half") != half) if there == {0, 1} else halves
+        model = train(rest.select("text"), order)
+        parts.append(surprise(halves.where(F.col("half") == half).drop("half"), model, most))
+    return parts[0].unionByName(parts[1])
+
+
+def limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """language, limit: the quantile of h, in steps of ``STEP``, of the texts that count in each language.
+
+    ``scored``: language, h, trusted (whether the text counts). A language without trusted texts takes all its own.
     """
     bins = scored.where("h is not null").groupBy(
         "language", F.floor(F.col("h") / STEP).alias("bin")
@@ -249,37 +266,43 @@ def limits(scored: DataFrame, quantile: float = QUANTILE, room: float = ROOM) ->
     upto = F.sum("n").over(whole.orderBy("bin"))
     reached = bins.withColumn("upto", upto).withColumn("total", F.sum("n").over(whole))
     return reached.where(F.col("upto") >= quantile * F.col("total")).groupBy("language").agg(
-        (room * STEP * (F.min("bin") + 1)).alias("limit")
+        (STEP * (F.min("bin") + 1)).alias("limit")
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, room: float = ROOM,
-          prior: int = PRIOR, most: int = SHARD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR,
+          most: int = SHARD) -> DataFrame:
     """One row per document: doc_id, text_hash, language, bytes, bits_per_byte, perplexity, limit, kept.
 
     Trusted are documents that some row of ``labels`` gives quality 1. A text is
     kept when its bits a byte, after ``prior`` bytes of the trusted mean of its
-    language are added, stay within the limit of its language. Null and empty
+    language are added, stay within the limit of its language. Mean and limit
+    are those of trusted texts under models that have not seen them. Null and empty
     texts have no perplexity and are not kept. A null lang is a language of its
     own. Repeated rows give repeated results; other columns are not read.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    binary = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    # labels grow with the documents, so both sides are shuffled at every size
-    model = train(binary.join(good.hint("merge"), "doc_id", "left_semi").select("text"), order)
     own = docs.select("doc_id", F.col("lang").alias("language"), F.xxhash64("text").alias("text_hash"),
                       F.col("text").cast("binary").alias("text"))
+    # labels grow with the documents, so both sides are shuffled at every size
+    trusted = own.join(good.hint("merge"), "doc_id", "left_semi").select("language", "text")
+    other = unseen(trusted, order, most).select("language", "bytes", "bits", F.lit(True).alias("trusted"))
+    model = train(trusted.select("text"), order)
     scored = surprise(own, model, most).join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
     scored = cut_lineage(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-    mean = scored.where("bytes is not null").groupBy("language").agg(
+    # trusted texts count by what the other half's model says of them, all others by the whole model
+    known = cut_lineage(scored.where("not trusted").select("language", "bytes", "bits", "trusted").unionByName(other))
+    mean = known.where("bytes is not null").groupBy("language").agg(
         F.coalesce(F.sum(F.when(F.col("trusted"), F.col("bits"))) / F.sum(F.when(F.col("trusted"), F.col("bytes"))),
                    F.sum("bits") / F.sum("bytes")).alias("mean")
-    )
-    same = scored["language"].eqNullSafe
-    scored = scored.join(mean.withColumnRenamed("language", "l"), same(F.col("l")), "left").withColumn(
-        "h", (F.col("bits") + prior * F.col("mean")) / (F.col("bytes") + prior)
-    )
-    limit = limits(scored, quantile, room).withColumnRenamed("language", "l_")
+    ).withColumnRenamed("language", "l")
+
+    def with_h(rows):
+        h = (F.col("bits") + prior * F.col("mean")) / (F.col("bytes") + prior)
+        return rows.join(mean, rows["language"].eqNullSafe(F.col("l")), "left").withColumn("h", h)
+
+    scored = with_h(scored)
+    limit = limits(with_h(known), quantile).withColumnRenamed("language", "l_")
     return scored.join(limit, scored["language"].eqNullSafe(F.col("l_")), "left").select(
         "doc_id", "text_hash", "language", "bytes", (F.col("bits") / F.col("bytes")).alias("bits_per_byte"),
         F.pow(F.lit(2.0), F.col("bits") / F.col("bytes")).alias("perplexity"), F.col("limit"),

@@ -208,6 +208,25 @@ def test_quality_classifier_keeps_good_text(spark, docs):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.4
 
 
+def test_limit_is_the_quantile_of_trusted_texts(spark):
+    rows = [("en", 2 + k / 100, True) for k in range(200)] + [("en", 9.0, False)] * 50
+    limit = perplexity.limits(spark.createDataFrame(rows, "language string, h double, trusted boolean")).first().limit
+    assert limit == pytest.approx(3.97, abs=0.002)  # 198 of 200 lie below; no room is added
+
+
+def test_trusted_texts_are_scored_by_the_other_half(spark):
+    texts = ["the cat sat on the mat", "the dog sat on the log", "the cat sat on the log", "a cat", "a dog", "the mat", "the mat"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    halves = {r.text: r.half for r in frame.select("text", F.expr("pmod(xxhash64(cast(text as binary)), 2)").alias("half")).collect()}
+    assert set(halves.values()) == {0, 1}
+    binary = frame.select(F.col("text").alias("name"), F.col("text").cast("binary").alias("text"))
+    got = perplexity.unseen(binary, 4).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        p = brute.kneser_ney([t.encode() for t in texts if halves[t] != halves[r.name]], 4)
+        assert r.bits == pytest.approx(brute.bits(p, r.name.encode(), 4), rel=1e-9)
+
+
 def packed_right(got, texts, content):
     from tokenizers import Tokenizer
 
