@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from seqweave.llm import (
+    collocations,
     embedding_join,
+    exact_dedup,
     language,
+    lexical_search,
     mixing,
     ngram_jaccard,
     oracles,
@@ -68,6 +71,21 @@ def op10_ngram_jaccard_join(spark, folder):
     return ngram_jaccard.link_documents(table(spark, folder, "documents"), width=5, percent=80)
 
 
+def op11_phrase_collocations(spark, folder):
+    """Collocations of two and three words in all documents, 2000 a language."""
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+def op12_lexical_search(spark, folder):
+    """The ten best of all documents for every benchmark item."""
+    return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_exact_dedup(spark, folder):
+    """Groups of equal texts among all documents."""
+    return exact_dedup.judge(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -79,6 +97,9 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_embedding_join": op9_embedding_join,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -88,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op8_warc_revisits": oracles.revisits_sql(),
     "op9_embedding_join": oracles.vectors_sql(),
     "op10_ngram_jaccard_join": oracles.jaccard_sql(),
+    "op11_phrase_collocations": collocations.mine_sql(),
+    "op12_lexical_search": lexical_search.rank_sql(),
+    "op13_exact_dedup": exact_dedup.judge_sql(),
 }
