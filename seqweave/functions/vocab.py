@@ -69,3 +69,10 @@ EASE = (
     r"(?i)\breadily\b|\bwith ease\b|\beasily\b|\bwithout (?:trouble|difficulty|hesitation)\b|\bhas no trouble\b"
 )
 ONLY_SHARE = r"(?i)\bonly (?:in |about |around )?(\d+(?:\.\d+)?)\s?%"
+
+# Endings cut from product words, and words that say nothing about a product (fixed values).
+ENDINGS = (
+    "ases", "ase", "ysis", "oses", "osis", "ations", "ation", "isation", "ization", "ising", "izing", "ing",
+    "ers", "er", "ors", "or", "ions", "ion", "ive", "ic", "al", "ed", "es", "s",
+)
+PLAIN_WORDS = ("with", "from", "that")

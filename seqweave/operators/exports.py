@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqweave.operators.tiling import islands
+from seqweave.operators.tiling import islands, number_rows
+from seqweave.session import cut_lineage
 
 
 def run_lengths(rows: DataFrame, keys: list[str], value: str, pos: str = "pos") -> DataFrame:
@@ -93,3 +96,46 @@ def counts_with_empty(rows: DataFrame, key: str, least: int = 0, weight: Column
     largest = counted.agg(F.max(key)).first()[0]
     full = rows.sparkSession.range(max(least, (largest or 0) + 1)).withColumnRenamed("id", key)
     return full.join(counted, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def decoder_blocks(weights: DataFrame, per_block: int = 256) -> DataFrame:
+    """Decoder rows as compressed sparse rows: half, block, families, starts, clusters, values.
+
+    ``weights``: half, family, cluster, weight. A block holds the rows of ``per_block`` families next to each other by
+    name: row i of a block is entries starts[i] to starts[i + 1] of clusters and values. Blocks hold as many
+    entries as their families have clusters, of which a decoder keeps a fixed number.
+    """
+    names = number_rows(weights.select("half", "family").distinct(), ["half"], ["family"], F.substring("family", 1, 2), "_i")
+    rows = weights.join(names, ["half", "family"]).withColumn("block", F.floor(F.col("_i") / per_block))
+    listed = rows.groupBy("half", "block", "family").agg(F.array_sort(F.collect_list(F.struct("cluster", "weight"))).alias("e"))
+    held = listed.groupBy("half", "block").agg(F.array_sort(F.collect_list(F.struct("family", "e"))).alias("r"))
+    ends = F.aggregate(F.transform("r", lambda x: F.size(x["e"])), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    entries = F.flatten(F.transform("r", lambda x: x["e"]))
+    return held.select("half", "block", F.transform("r", lambda x: x["family"]).alias("families"), ends.alias("starts"),
+                       F.transform(entries, lambda e: e["cluster"]).alias("clusters"), F.transform(entries, lambda e: e["weight"]).alias("values"))
+
+
+def write_decoder(weights: DataFrame, folder: str, per_block: int = 256) -> None:
+    """Write decoder blocks below ``folder``, a folder for each half and block, and beside them which block holds a family."""
+    blocks = cut_lineage(decoder_blocks(weights, per_block))
+    blocks.write.partitionBy("half", "block").parquet(f"{folder}/rows")
+    blocks.select("half", "block", F.explode("families").alias("family")).write.parquet(f"{folder}/index")
+
+
+def decoder_rows(spark: SparkSession, folder: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decoder rows of ``wanted`` (half, family): half, family, cluster, weight; and the wanted rows that the table lacks.
+
+    Only the folders of blocks that hold a wanted family are read: their numbers, fewer than the blocks, go into the filter.
+    """
+    wanted = wanted.select("half", "family").distinct()
+    index = spark.read.parquet(f"{folder}/index")
+    held = cut_lineage(wanted.join(index, ["half", "family"]))
+    places = [(r["half"], r["block"]) for r in held.select("half", "block").distinct().collect()]
+    rows = spark.read.parquet(f"{folder}/rows")
+    mine = reduce(lambda a, b: a | b, [(F.col("half") == h) & (F.col("block") == b) for h, b in places], F.lit(False))
+    row = F.posexplode("families").alias("_i", "family")
+    cut = rows.where(mine).select("half", row, "starts", "clusters", "values").join(held.select("half", "family"), ["half", "family"])
+    start, stop = F.get("starts", F.col("_i")), F.get("starts", F.col("_i") + 1)
+    part = lambda c: F.slice(c, start + 1, stop - start)
+    entry = F.explode(F.arrays_zip(part("clusters").alias("cluster"), part("values").alias("weight"))).alias("e")
+    return cut.select("half", "family", entry).select("half", "family", "e.cluster", "e.weight"), wanted.join(index, ["half", "family"], "left_anti")

@@ -139,6 +139,18 @@ def sign_test_p(positive: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: Fixed values of the polynomial for the upper tail of the normal distribution, right to 7.5e-8.
+TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def upper_tail(z: Column) -> Column:
+    """One-sided p of a normal score, null for null."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    series = sum((F.lit(c) * F.pow(t, F.lit(i + 1)) for i, c in enumerate(TAIL)), F.lit(0.0))
+    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
 def detectable_shift(mad: Column, n: Column, tests: int = 1, alpha: float = 0.05, power: float = 0.8) -> Column:
     """Smallest shift a one-sided signed-rank test finds with the given power; Bonferroni over ``tests``."""
     normal = NormalDist()

@@ -10,6 +10,7 @@ from seqweave.operators import association as A
 from seqweave.operators import forks as K
 from seqweave.operators import predictors as P
 from seqweave.operators import sequence as S
+from seqweave.operators import swaps as W
 from seqweave.operators import tiling as T
 from seqweave.plans import corpus as C
 from seqweave.session import cut_lineage
@@ -603,3 +604,38 @@ def decay_table(spark, folder):
         tests = tests.join(agreement_cmh(traits, outcomes, part).withColumnRenamed("z", name), ["trait", "outcome"])
     band = F.when(F.substring_index("trait", "#", 1) == F.col("outcome"), "same class").otherwise("other class")
     return _round(run(tests, band, 1.0), "beyond", "in_a", "in_b", "in_both", "expected")
+
+
+@query(
+    f"""WITH {SITES},
+gr AS (SELECT fork, fork || '|' || path_3 AS grp, genome, pos, branch, prev_allele AS allele FROM sites WHERE prev_allele IS NOT NULL),
+pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp, branch ORDER BY genome, pos) - 1 AS place, count(*) OVER (PARTITION BY grp, branch) AS size FROM gr),
+pn AS MATERIALIZED (SELECT *, max(place) OVER (PARTITION BY grp, branch, genome) + 1 AS aft, min(place) OVER (PARTITION BY grp, branch, genome) AS frm FROM pl),
+bs AS (SELECT x.*, y.allele AS same FROM pn x JOIN pn y ON y.grp = x.grp AND y.branch = x.branch AND y.place = x.aft % x.size WHERE NOT (x.frm = 0 AND x.aft = x.size)),
+sz AS (SELECT grp, branch AS other, any_value(size) AS n FROM pn GROUP BY ALL),
+f1 AS (SELECT b.*, other, n, y.genome AS g1, y.allele AS a1, y.aft AS aft1 FROM bs b JOIN sz ON sz.grp = b.grp AND other <> b.branch
+  JOIN pn y ON y.grp = b.grp AND y.branch = other AND y.place = b.place % n),
+sw AS (SELECT fork, branch, other, allele, same, a1 AS crs FROM f1 WHERE g1 <> genome
+  UNION ALL SELECT f1.fork, f1.branch, other, f1.allele, same, y.allele FROM f1 JOIN pn y ON y.grp = f1.grp AND y.branch = other AND y.place = aft1 % n WHERE g1 = f1.genome AND y.genome <> f1.genome),
+al AS (SELECT DISTINCT fork, allele FROM gr), br AS (SELECT DISTINCT fork, branch FROM gr),
+qc AS (SELECT fork, allele, branch, count(*) AS n FROM gr GROUP BY ALL),
+qq AS (SELECT al.fork, al.allele, br.branch, (coalesce(n, 0) + 0.5::DOUBLE) / (sum(coalesce(n, 0)) OVER (PARTITION BY al.fork, al.allele) + 0.5::DOUBLE * count(*) OVER (PARTITION BY al.fork, al.allele)) AS q,
+  first_value(br.branch) OVER (PARTITION BY al.fork, al.allele ORDER BY coalesce(n, 0) DESC, br.branch) AS best
+  FROM al JOIN br ON br.fork = al.fork LEFT JOIN qc ON qc.fork = al.fork AND qc.allele = al.allele AND qc.branch = br.branch)
+SELECT s.fork, count(*) AS n, round(avg(o.q), 6) AS own, round(avg(m.q), 6) AS same, round(avg(c.q), 6) AS "cross", round(avg((m.best = other)::INT), 6) AS flip_same, round(avg((c.best = other)::INT), 6) AS flip_cross
+FROM sw s JOIN qq o ON o.fork = s.fork AND o.allele = s.allele AND o.branch = other JOIN qq m ON m.fork = s.fork AND m.allele = s.same AND m.branch = other
+JOIN qq c ON c.fork = s.fork AND c.allele = s.crs AND c.branch = other GROUP BY 1"""
+)
+def allele_swap(spark, folder):
+    """The allele before a fork exchanged for one of another branch, and for another one of the same branch."""
+    rows = sites(spark, folder).where("prev_allele is not null").select(
+        "fork", F.concat_ws("|", "fork", "path_3").alias("group"), "genome", "pos", "branch", F.col("prev_allele").alias("allele"))
+    partners = W.swap_partners(rows.drop("fork")).withColumn("fork", F.substring_index("group", "|", 1))
+    counts = rows.groupBy("fork", "allele", "branch").agg(F.count(F.lit(1)).alias("n"))
+    branches = rows.groupBy("fork").agg(F.sort_array(F.collect_set("branch")).alias("b"))
+    grid = rows.select("fork", "allele").distinct().join(branches, "fork").select("fork", "allele", F.explode("b").alias("branch"), F.size("b").alias("k"))
+    full = cut_lineage(grid.join(counts, ["fork", "allele", "branch"], "left").fillna(0, ["n"]))
+    total = full.groupBy("fork", "allele").agg(
+        F.sum("n").alias("t"), F.min(F.struct((-F.col("n")).alias("n"), "branch"))["branch"].alias("best"))
+    chances = full.join(total, ["fork", "allele"]).select("fork", "allele", "branch", ((F.col("n") + 0.5) / (F.col("t") + 0.5 * F.col("k"))).alias("q"), "best")
+    return _round(W.swap_effects(partners, cut_lineage(chances)), "own", "same", "cross", "flip_same", "flip_cross")

@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from seqweave.plans import (
     association_queries,
+    claim_queries,
+    control_queries,
     facts_queries,
     graph_queries,
     knockout_queries,
+    link_queries,
     region_queries,
     sequence_queries,
     table_queries,
+    tree_queries,
 )
 
 MODULES = (
     graph_queries,
     sequence_queries,
     association_queries,
+    claim_queries,
+    control_queries,
     facts_queries,
     knockout_queries,
+    link_queries,
     table_queries,
+    tree_queries,
     region_queries,
 )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqweave.operators import decoder as D
+from seqweave.operators import exports as E
 from seqweave.operators import graph as G
 from seqweave.plans import corpus as C
+from seqweave.session import shared_folder
 from seqweave.sources.tables import typed
 
 QUERIES = {}
@@ -261,3 +265,16 @@ def branch_probabilities(spark, folder):
         "prev", F.col("family").alias("branch")
     )
     return _rounded(run(calls, branches, D.decoder(calls, "half")), ["q"])
+
+
+@query(f"WITH {C.CALLS}, {DEC} SELECT half, family, cluster, round(weight, 6) AS weight FROM dec")
+def decoder_rows(spark, folder):
+    """The decoder of each half written as blocks of sparse rows, and read back for the families of its calls."""
+    calls = C.calls(spark, folder)
+    weights = D.decoder(calls, "half").select("half", "family", "cluster", "weight")
+    place = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    E.write_decoder(weights, place, per_block=16)
+    rows, missing = E.decoder_rows(spark, place, calls.select("half", "family"))
+    if not missing.isEmpty():
+        raise ValueError("the decoder lacks rows of families that its own calls hold")
+    return _rounded(rows, ["weight"])

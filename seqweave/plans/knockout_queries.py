@@ -209,34 +209,6 @@ def benjamini_hochberg(spark, folder):
     return _round(X.benjamini_hochberg(tests, "p"), "q")
 
 
-@query(
-    f"""WITH {LINKS},
-mh AS (SELECT link, quantile_cont(x, 0.5) FILTER (WHERE lineage % 2 = 0) AS half0,
-  quantile_cont(x, 0.5) FILTER (WHERE lineage % 2 = 1) AS half1, count(*) AS lineages FROM lm GROUP BY 1)
-SELECT link, lineages, round(half0, 6) AS half0, round(half1, 6) AS half1,
-  CASE WHEN lineages < 5 THEN 'nt' WHEN z > 1 AND half0 > 0 AND half1 > 0 THEN 'not specific'
-    WHEN z < -1 AND half0 < 0 AND half1 < 0 THEN 'not specific (opposite)' ELSE 'none' END AS verdict
-FROM mh JOIN zl USING (link)"""
-)
-def link_verdicts(spark, folder):
-    """The decision table with the normal score standing for the corrected p-values."""
-    means = lineage_means(spark, folder)
-    side = lambda h: F.percentile(F.when(F.pmod("lineage", F.lit(2)) == h, F.col("x")), F.lit(0.5))
-    halves = means.groupBy("link").agg(
-        side(0).alias("half0"), side(1).alias("half1"), F.count(F.lit(1)).alias("lineages")
-    )
-    flag = lambda c: F.when(c, 0.0).otherwise(1.0)
-    z = F.col("z")
-    never = F.lit(1.0)
-    rows = halves.join(X.signed_rank(means, ["link"], "x").select("link", "z"), "link").select(
-        "*", (F.col("lineages") >= 5).alias("tested"), flag(z > 1).alias("q_effect"), flag(z > 1).alias("p_sign"),
-        flag(z < -1).alias("q_opposite"), never.alias("q_specific"), never.alias("q_specific_raw"),
-        never.alias("q_specific_opp"), never.alias("q_specific_raw_opp"),
-    )
-    out = rows.select("link", "lineages", "half0", "half1", X.verdict().alias("verdict"))
-    return _round(out, "half0", "half1")
-
-
 PROFILE = RUNS + """,
 ro AS (SELECT genome, pos, in_rgp, value - 50 AS v FROM ev),
 pf AS (SELECT unit AS pass, floor((pos - "end" - 1) / 5)::BIGINT AS bin, count(*) AS n, avg(v) AS mean, avg(abs(v)) AS mean_abs,

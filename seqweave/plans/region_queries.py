@@ -91,16 +91,6 @@ def shared_products(spark, folder):
     return R.shared_products(members, links)
 
 
-@query()
-def element_clusters(spark, folder):
-    """Families whose presence agrees, by average linkage on Jaccard distance."""
-    rows = C.genes(spark, folder).select("family", "genome").distinct()
-    similar = cut_lineage(A.presence_similarity(rows)).select("a", "b", F.col("jaccard").alias("d"))
-    leaves = rows.select(F.col("family").alias("leaf")).distinct()
-    members, _ = L.average_linkage(similar, leaves, cut=0.5)
-    return members
-
-
 @query()
 def region_sets(spark, folder):
     """Communities of families over their positive associations."""

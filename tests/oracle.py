@@ -67,7 +67,7 @@ def main(names):
     from seqweave.session import build_session
 
     folder = os.environ.get("CHECK_DIR", "/root/testdata/sf0.01")
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+    spark = build_session(master=os.environ.get("CHECK_MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                 "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(folder)
