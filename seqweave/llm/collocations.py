@@ -10,6 +10,7 @@ infrequent itself, which a bit table of fixed size can tell for most; a wrongly
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,13 +25,15 @@ from seqweave.session import cut_lineage
 #: Address bits of the table of frequent fingerprints: 2^26 bits are 8 MB at every size of the corpus.
 TABLE_BITS = 26
 #: Bytes hashed at once, and counted n-grams a task gathers before it sends them on.
-BLOCK, GATHERED = 2 << 20, 2_000_000
+BLOCK, GATHERED = 1 << 19, 1_200_000
+#: Parts in which the phrases of a language are ranked before they are ranked together.
+PARTS = 64
 
 LATIN_UPPER, LATIN_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Space and tab separate words, the others pieces.
 _CLASS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else c for c in range(256))
-_BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 _PAIRS = mixed(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
@@ -38,38 +41,51 @@ COUNTED = pa.schema([("fp", pa.int64()), ("pointer", pa.int64()), ("n", pa.int64
 FOUND = pa.schema([("fp", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("phrase", pa.string()), ("pointer", pa.int64())])
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base^0 .. base^n and the inverses of these modulo 2^64."""
-    inverse = pow(int(base), -1, 1 << 64)
+@functools.lru_cache(maxsize=2)
+def _powers_held(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(base, n)
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^0 .. base^n, or more, and the inverses of these modulo 2^64; those of ordinary blocks are kept."""
+    return _powers_held(base, 2 * BLOCK) if n <= 2 * BLOCK else _powers_of(base, n)
+
+
+def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for b in (base, np.uint64(inverse)):
+    for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(n + 1, b, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
-    return out
+    return tuple(out)
 
 
 class Words:
-    """The words of some texts as one array of bytes: words with one space between, pieces end in a line feed."""
+    """The words of some texts as places in one array of bytes, in which one space separates the words of a piece."""
 
     def __init__(self, texts: list[bytes | None], langs: list[str | None]):
         parts = [(t or b"").lower().translate(_CLASS) for t in texts]
-        data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-        gap = (data == 32) | (data == 10)
-        first = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
-        last = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
-        lines = np.flatnonzero(data == 10)
-        self.doc = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), first, "right")
-        self.piece = np.searchsorted(lines, first)
-        length = last - first
-        self.first = np.cumsum(length + 1) - length - 1
-        self.last = self.first + length
-        at = np.repeat(first - self.first, length + 1) + np.arange(int((length + 1).sum()))
-        self.data = data[at]
-        self.data[self.last] = 32
+        data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
+        line = data == 10
+        gap = (data == 32) | line
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        self.first, self.last = edges[::2], edges[1::2]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        self.doc = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(self.first, ends, "right"), prepend=0))
+        self.piece = np.searchsorted(np.flatnonzero(line), self.first)
+        data = np.where(line, np.uint8(32), data)
+        if ((self.first[1:] - self.last[:-1] > 1) & (self.piece[1:] == self.piece[:-1])).any():
+            length = self.last - self.first + 1
+            moved = np.cumsum(length) - length + 1
+            at = np.repeat(self.first - moved, length) + np.arange(1, int(length.sum()) + 1)
+            data = np.concatenate([np.full(1, 32, np.uint8), data[at]])
+            self.first, self.last = moved, moved + length - 1
+            data[self.last] = 32
+        self.data = data
         known = {x: _lang_hash(x) for x in set(langs)}
         self.lang = np.array([known[x] for x in langs], np.uint64)
         self.langs = langs
+        self._sums: dict[int, np.ndarray] = {}
 
     def grams(self, n: int) -> np.ndarray:
         """Places of the words at which an n-gram within one piece starts."""
@@ -78,6 +94,18 @@ class Words:
             return np.arange(count if n == 0 else 0)
         return np.flatnonzero(self.piece[: count - n + 1] == self.piece[n - 1 :])
 
+    def _prefix(self, low: int, high: int, which: int) -> np.ndarray:
+        """Prefix sums of byte values times powers of the base, over the bytes from ``low`` (a word's first) to ``high``."""
+        part = self.data[low:high]
+        if which == 0:
+            value = _VALUES[part]
+        else:
+            value = _PAIRS[(self.data[low - 1 : high - 1].astype(np.uint16) << 8) | part]
+        value *= _powers(_BASES[which], high - low)[0][: high - low]
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        return sums
+
     def fingerprints(self, at: np.ndarray, n: int, which: int) -> np.ndarray:
         """Fingerprints of the n-grams that start at the words ``at`` (rising), told apart by language.
 
@@ -87,22 +115,22 @@ class Words:
             return mixed(self.lang[self.doc[at]] + np.uint64(which + 1))
         out = np.zeros(len(at), np.uint64)
         begin, end = self.first[at], self.last[at + n - 1]
-        done = 0
-        while done < len(at):
-            stop = max(done + 1, int(np.searchsorted(end, begin[done] + BLOCK)))
-            low, high = int(begin[done]), int(end[stop - 1])
-            part = self.data[low:high]
-            if which == 0:
-                value = _VALUES[part]
-            else:
-                before = np.concatenate([[32], part[:-1]]).astype(np.int64)
-                value = _PAIRS[before * 256 + part]
-            up, down = _powers(_BASES[which], len(part))
-            value *= up[: len(part)]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-            b, e = begin[done:stop] - low, end[done:stop] - low
-            out[done:stop] = (sums[e] - sums[b]) * down[b]
-            done = stop
+        if len(self.data) <= 2 * BLOCK:
+            if which not in self._sums:
+                self._sums[which] = self._prefix(1, len(self.data), which)
+            sums = self._sums[which]
+            down = _powers(_BASES[which], len(self.data))[1]
+            out = (sums[end - 1] - sums[begin - 1]) * down[begin - 1]
+        else:  # a very long text, in blocks of words
+            done = 0
+            while done < len(at):
+                stop = max(done + 1, int(np.searchsorted(end, begin[done] + BLOCK)))
+                low, high = int(begin[done]), int(end[stop - 1])
+                sums = self._prefix(low, high, which)
+                down = _powers(_BASES[which], high - low)[1]
+                b, e = begin[done:stop] - low, end[done:stop] - low
+                out[done:stop] = (sums[e] - sums[b]) * down[b]
+                done = stop
         return mixed(mixed(out + np.uint64(n)) ^ self.lang[self.doc[at]])
 
     def text(self, at: int, n: int) -> bytes:
@@ -159,11 +187,15 @@ def _distinct(fps: np.ndarray, pointers: np.ndarray, counts: np.ndarray, apart:
             np.concatenate([np.add.reduceat(counts, start), np.zeros(int(more.sum()), np.int64)])]
 
 
-def counts(rows: DataFrame, n: int, least: int, table=None, mask: int = (1 << 64) - 1, among: DataFrame | None = None) -> DataFrame:
+def _check(words: Words, at: np.ndarray, n: int) -> np.ndarray:
+    return (words.fingerprints(at, n, 1) >> np.uint64(32)).view(np.int64) - (1 << 31)
+
+
+def counts(rows: DataFrame, lengths: tuple[int, ...], least: int, table=None, mask: int = (1 << 64) - 1, among: DataFrame | None = None) -> DataFrame:
     """fp, low, high, n: fingerprints of n-grams that occur ``least`` times or more, with two pointers, written.
 
-    ``table`` is a broadcast bit table of the frequent shorter fingerprints. With ``among`` (a column fp) only these
-    fingerprints are counted, apart by their second one.
+    ``table`` is a broadcast bit table of the frequent fingerprints that are one word shorter. With ``among`` (a
+    column fp) only these fingerprints are counted, apart by their second one.
     """
     apart, keep = among is not None, np.uint64(mask)
 
@@ -177,12 +209,12 @@ def counts(rows: DataFrame, n: int, least: int, table=None, mask: int = (1 << 64
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (f, p, c)], schema=COUNTED)
 
         for words, keys in _batches(batches):
-            at = _frequent_at(words, n, bits, keep)
-            fps = (words.fingerprints(at, n, 0) & keep).view(np.int64)
-            check = (words.fingerprints(at, n, 1) >> np.uint64(32)).view(np.int64) - (1 << 31)
-            pointers = (check << 32) | keys[words.doc[at]]
-            held.append(_distinct(fps, pointers, np.ones(len(at), np.int64), apart))
-            size += len(held[-1][0])
+            for n in lengths:
+                at = _frequent_at(words, n, bits, keep)
+                fps = (words.fingerprints(at, n, 0) & keep).view(np.int64)
+                pointers = (_check(words, at, n) << 32) | keys[words.doc[at]]
+                held.append(_distinct(fps, pointers, np.ones(len(at), np.int64), apart))
+                size += len(held[-1][0])
             if size > GATHERED:
                 yield from flush()
                 held, size = [], 0
@@ -208,7 +240,7 @@ def bit_table(frequent: DataFrame):
     return frequent.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def texts(rows: DataFrame, frequent: DataFrame, n: int, mask: int = (1 << 64) - 1) -> DataFrame:
+def texts(rows: DataFrame, frequent: DataFrame, lengths: tuple[int, ...], mask: int = (1 << 64) - 1) -> DataFrame:
     """fp, lang, words, phrase, pointer of frequent n-grams, read from the documents at both pointers."""
     keep = np.uint64(mask)
     wanted = frequent.select("fp", F.explode(F.array_distinct(F.array("low", "high"))).alias("pointer"))
@@ -221,23 +253,33 @@ def texts(rows: DataFrame, frequent: DataFrame, n: int, mask: int = (1 << 64) -
             asked = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             fp, pointer = (asked.field(k).to_numpy() for k in ("fp", "pointer"))
-            at = words.grams(n)
-            own = (words.fingerprints(at, n, 0) & keep).view(np.int64)
-            check = (words.fingerprints(at, n, 1) >> np.uint64(32)).view(np.int64) - (1 << 31)
-            mine = np.zeros(len(at), [("d", "<i8"), ("f", "<i8"), ("c", "<i8")])
-            mine["d"], mine["f"], mine["c"] = words.doc[at], own, check
-            want = np.zeros(len(fp), mine.dtype)
-            want["d"], want["f"], want["c"] = owner, fp, pointer >> 32
-            order = np.argsort(mine, order=("d", "f", "c"))
-            place = np.searchsorted(mine[order], want)
-            hit = np.flatnonzero(place < len(order))
-            hit = hit[mine[order[place[hit]]] == want[hit]]
-            where = at[order[place[hit]]]
-            langs = [words.langs[d] for d in words.doc[where].tolist()]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(fp[hit]), pa.array(["und" if x is None else x for x in langs], pa.string()), pa.array(np.full(len(hit), n, np.int64)),
-                pa.array([words.text(i, n) for i in where.tolist()], pa.binary()).cast(pa.string()), pa.array(pointer[hit]),
-            ], schema=FOUND)
+            names = mixed(fp.view(np.uint64) ^ mixed(owner.astype(np.uint64) + np.uint64(1)))
+            order = np.argsort(names)
+            names, owner, fp, pointer = names[order], owner[order], fp[order], pointer[order]
+            for n in lengths:
+                at = words.grams(n)
+                own = words.fingerprints(at, n, 0) & keep
+                name = mixed(own ^ mixed(words.doc[at].astype(np.uint64) + np.uint64(1)))
+                place = np.minimum(np.searchsorted(names, name), len(names) - 1)
+                some = names[place] == name
+                at, own, place = at[some], own[some].view(np.int64), place[some]
+                check = _check(words, at, n)
+                # Of one name there are few: the pointers to a document that its collided fingerprints have.
+                found = {}
+                while len(at):
+                    same = (fp[place] == own) & (owner[place] == words.doc[at]) & ((pointer[place] >> 32) == check)
+                    for p, i in zip(place[same].tolist(), at[same].tolist(), strict=True):
+                        found.setdefault(p, i)
+                    place = place + 1
+                    more = place < len(names)
+                    more[more] = names[place[more]] == names[place[more] - 1]
+                    at, own, place, check = at[more], own[more], place[more], check[more]
+                hit, where = np.array(list(found), np.int64), list(found.values())
+                langs = [words.langs[d] for d in words.doc[where].tolist()] if where else []
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(fp[hit]), pa.array(["und" if x is None else x for x in langs], pa.string()), pa.array(np.full(len(hit), n, np.int64)),
+                    pa.array([words.text(i, n) for i in where], pa.binary()).cast(pa.string()), pa.array(pointer[hit]),
+                ], schema=FOUND)
 
     met = rows.join(wanted, "key").select("text", "lang", "wanted")
     return met.mapInArrow(read, "fp bigint, lang string, words bigint, phrase string, pointer bigint").distinct()
@@ -251,21 +293,25 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, fingerp
     """
     rows = _rows(docs)
     mask = ((1 << fingerprint_bits) - 1) << (64 - fingerprint_bits)
-    out, table = None, None
-    for n in range(longest + 1):
-        frequent = counts(rows, n, least, table if n > 1 else None, mask)
-        found = cut_lineage(texts(rows, frequent, n, mask))
-        one = found.groupBy("fp").agg(F.min(F.struct("lang", "phrase")).alias("a"), F.max(F.struct("lang", "phrase")).alias("b"))
-        clear = one.where("a = b").join(frequent, "fp").select("a.lang", F.lit(n).cast("bigint").alias("words"), "a.phrase", F.col("n").alias("f"))
-        collided = cut_lineage(one.where("a <> b").select("fp"))
-        if not collided.isEmpty():
-            anew = counts(rows, n, least, table if n > 1 else None, mask, collided)
-            told = texts(rows, anew, n, mask).join(anew.withColumnRenamed("n", "f"), "fp")
-            told = told.where("pointer = low").select("lang", "words", "phrase", "f")
-            clear = clear.unionByName(told)
-        out = clear if out is None else out.unionByName(clear)
-        if 0 < n < longest:
-            table = bit_table(frequent)
+    steps = [(0, 1), *((n,) for n in range(2, longest + 1))]
+    frequent, tables = [], [None]
+    for lengths in steps:
+        frequent.append(counts(rows, lengths, least, tables[-1], mask))
+        if lengths[-1] < longest:
+            tables.append(bit_table(frequent[-1]))
+    every = functools.reduce(DataFrame.unionByName, [f.withColumn("step", F.lit(i)) for i, f in enumerate(frequent)])
+    lengths = tuple(range(longest + 1))
+    found = cut_lineage(texts(rows, every, lengths, mask))
+    # A fingerprint is told apart by the lengths it was counted with; what was read there must be one phrase.
+    step = F.when(F.col("words") < 2, 0).otherwise(F.col("words") - 1).cast("int")
+    phrase = F.struct("lang", "words", "phrase")
+    one = found.groupBy("fp", step.alias("step")).agg(F.min(phrase).alias("a"), F.max(phrase).alias("b"))
+    out = one.where("a = b").join(every, ["fp", "step"]).select("a.lang", "a.words", "a.phrase", F.col("n").alias("f"))
+    collided = cut_lineage(one.where("a <> b").select("fp", "step"))
+    for i in [r[0] for r in collided.select("step").distinct().collect()]:  # as many as lengths
+        anew = counts(rows, steps[i], least, tables[i], mask, collided.where(F.col("step") == i).select("fp"))
+        told = texts(rows, anew, steps[i], mask).join(anew.withColumnRenamed("n", "f").withColumnRenamed("low", "pointer"), ["fp", "pointer"])
+        out = out.unionByName(told.select("lang", "words", "phrase", "f"))
     return out
 
 
@@ -295,8 +341,12 @@ def mine(docs: DataFrame, longest: int = 3, least: int = 10, cover: int = 50, to
     inside = many.where("words > 2").select("lang", F.explode(F.array(*inner)).alias("phrase"), F.col("a").alias("longer"))
     inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     left = best.join(inside, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {cover} * a")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    left = left.withColumn("rank", rank).where(f"rank <= {top}").withColumn("rank", F.col("rank").cast("bigint"))
+    # A language's phrases are ranked in parts first, so that one task gets the best of the parts only.
+    left = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+        left = left.withColumn("rank", rank).where(f"rank <= {top}")
+    left = left.withColumn("rank", F.col("rank").cast("bigint"))
     total = phrases.where("words = 0").select("lang", F.col("f").alias("n"))
     return left.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
