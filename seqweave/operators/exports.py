@@ -57,6 +57,19 @@ def quantise_log(p: Column, top: float = 16.0) -> Column:
     )
 
 
+def rank_knots(ranks: int, knots: int = 192) -> list[int]:
+    """Ranks from 1 to ``ranks`` at even steps of their logarithm, each once."""
+    steps = [(ranks ** (i / (knots - 1))) for i in range(knots)] if knots > 1 else [1]
+    return sorted({min(ranks, max(1, round(s))) for s in steps})
+
+
+def at_knots(ranked: DataFrame, rank: str, ranks: int, knots: int = 192) -> DataFrame:
+    """Rows of ``ranked`` whose rank is a knot, with ``knot`` (its place among them), instead of the whole lists."""
+    chosen = rank_knots(ranks, knots)
+    places = F.create_map(*[F.lit(x) for i, r in enumerate(chosen) for x in (r, i)])
+    return ranked.where(F.col(rank).isin(chosen)).withColumn("knot", F.element_at(places, F.col(rank).cast("int")))
+
+
 def dimension_ranges(vectors: DataFrame, v: str = "v") -> DataFrame:
     """dim, lo, hi over all vectors."""
     return vectors.select(F.posexplode(v).alias("dim", "x")).groupBy("dim").agg(

@@ -6,7 +6,7 @@ number, a gene or a column stands in the cited lines is decided by joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions import vocab
@@ -62,6 +62,43 @@ def prefix_groups(columns: DataFrame, prefix: Column, least: int = 3) -> DataFra
     )
 
 
+def word_groups(columns: DataFrame, gap: int = 2, least: int = 3, filled: float = 0.6, agree: float = 0.5, shortest: int = 5) -> DataFrame:
+    """Runs of columns whose products share a word: word, first, last, hits, words.
+
+    ``columns``: locus, words (array of the words of its product). Columns with the word up to ``gap`` apart make a
+    run; it needs ``least`` of them and the share ``filled`` of its stretch, and a word ``shortest`` letters. ``words`` are up to four of the
+    words of four letters or more that the share ``agree`` of the stretch's columns, and two at least, carry, most
+    frequent first. Words are counted along their own columns, so a common word makes one row a column that has it.
+    """
+    spoken = columns.select("locus", F.explode(F.array_distinct("words")).alias("word"))
+    along = Window.partitionBy("word").orderBy("locus")
+    fresh = F.coalesce((F.col("locus") - F.lag("locus").over(along) > gap).cast("int"), F.lit(1))
+    runs = spoken.where(F.length("word") >= shortest).withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(along))
+    found = runs.groupBy("word", "_run").agg(F.min("locus").alias("first"), F.max("locus").alias("last"), F.count(F.lit(1)).alias("hits"))
+    width = F.col("last") - F.col("first") + 1
+    found = found.where((F.col("hits") >= least) & (F.col("hits") >= filled * width)).drop("_run")
+    # the columns of one window
+    inside = found.join(spoken.select("locus", F.col("word").alias("said")), F.col("locus").between(F.col("first"), F.col("last")))
+    many = inside.where(F.length("said") >= 4).groupBy("word", "first", "last", "hits", "said").agg(F.count(F.lit(1)).alias("n"))
+    many = many.where((F.col("n") >= 2) & (F.col("n") >= agree * (F.col("last") - F.col("first") + 1)))
+    ranked = many.groupBy("word", "first", "last", "hits").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "said"))).alias("w"))
+    return ranked.select("word", "first", "last", "hits", F.transform(F.slice("w", 1, 4), lambda x: x["said"]).alias("words"))
+
+
+def branch_groups(branches: DataFrame, agree: float = 0.5) -> DataFrame:
+    """Branches whose families agree in words: branch, first, last, words.
+
+    ``branches``: branch, locus, words. Words of four letters or more that the share ``agree`` of a branch's
+    families, and two at least, carry; up to four, most frequent first.
+    """
+    size = branches.groupBy("branch").agg(F.count(F.lit(1)).alias("size"), F.min("locus").alias("first"), F.max("locus").alias("last"))
+    said = branches.select("branch", F.explode(F.array_distinct("words")).alias("said")).where(F.length("said") >= 4)
+    many = said.groupBy("branch", "said").agg(F.count(F.lit(1)).alias("n")).join(size, "branch")
+    many = many.where((F.col("n") >= 2) & (F.col("n") >= agree * F.col("size")))
+    ranked = many.groupBy("branch", "first", "last").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "said"))).alias("w"))
+    return ranked.select("branch", "first", "last", F.transform(F.slice("w", 1, 4), lambda x: x["said"]).alias("words"))
+
+
 def parallel_branches(columns: DataFrame, edges: DataFrame, share: float = 0.5) -> DataFrame:
     """Second families of neighbouring fork columns that follow one another in at least
     ``share`` of the smaller one's genomes: locus, second, next.

@@ -139,6 +139,22 @@ def fit_smoothing(scored: DataFrame, grid: Sequence[float]) -> DataFrame:
     )
 
 
+def fit_mixture(scored: DataFrame, grid: Sequence[float], floor: float = 1e-12) -> DataFrame:
+    """Choose the share of the branch frequency mixed into a model on one half of the genomes and score the other with it.
+
+    ``scored``: half, n, q (the model's chance of the branch taken), freq. The mixture is (1 - l) q + l freq.
+    Returns half (the one scored), l, bits per site and sites.
+    """
+    q = F.greatest((1 - F.col("l")) * F.col("q") + F.col("l") * F.col("freq"), F.lit(floor))
+    costs = (
+        scored.withColumn("l", F.explode(F.array(*[F.lit(float(x)) for x in grid])))
+        .groupBy("half", "l").agg(F.sum(F.col("n") * -F.log2(q)).alias("bits"), F.sum("n").alias("sites"))
+    )
+    best = F.min(F.struct(F.round("bits", 6).alias("b"), F.col("l").alias("l")))["l"].alias("l")
+    fitted = costs.groupBy("half").agg(best).select((1 - F.col("half")).alias("half"), "l")
+    return fitted.join(costs, ["half", "l"]).select("half", "l", (F.col("bits") / F.col("sites")).alias("bits"), "sites")
+
+
 def neighbour_predictor(sites: DataFrame, nearest: DataFrame, freq: DataFrame) -> DataFrame:
     """Shrunk vote of the nearest genomes at the fork: q = (same + freq) / (others + 1).
 

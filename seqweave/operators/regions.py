@@ -116,6 +116,23 @@ def hops(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     return reached
 
 
+def projected_hops(edges: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """Labels within ``k`` steps of each label in a graph whose nodes carry labels: source, label, step (fewest).
+
+    ``edges``: a, b (directed); ``labels``: node, label, at most one label a node. A label starts at all its nodes
+    at once, which are no neighbours of it; nodes without a label are walked through.
+    """
+    start = labels.select(F.col("label").alias("source"), "node").distinct()
+    reached = cut_lineage(start.withColumn("step", F.lit(0)))
+    front = reached
+    for step in range(1, k + 1):
+        out = front.join(edges.select(F.col("a").alias("node"), "b"), "node").select("source", F.col("b").alias("node")).distinct()
+        front = cut_lineage(out.join(reached.select("source", "node"), ["source", "node"], "left_anti").withColumn("step", F.lit(step)))
+        reached = cut_lineage(reached.unionByName(front))
+    met = reached.where(F.col("step") > 0).join(labels.select("node", "label"), "node")
+    return met.groupBy("source", "label").agg(F.min("step").alias("step"))
+
+
 def edge_support(predicted: DataFrame, reached: DataFrame) -> DataFrame:
     """How many predicted (a, b) are reached in the graph, against their expectation when
     the source is swapped for any other predicted source (target-matched) and when the

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions.columns import cmh_terms
+from seqweave.operators.tiling import grouped_quantile, value_bounds
 from seqweave.session import cut_lineage
 
 GENOMES_PER_BLOCK = 256
@@ -104,6 +105,18 @@ def agreement_cmh(traits: DataFrame, outcomes: DataFrame, binned: DataFrame) ->
     )
 
 
+def quantile_bins(distance: DataFrame, bins: int) -> DataFrame:
+    """``distance`` with ``bin``: 0 .. bins - 1, between the quantiles of d that cut all pairs into equal shares.
+
+    A distance on a border belongs to the bin above it, the largest one to the last bin. The borders are exact and,
+    as many as bins, become literals of the plan.
+    """
+    bounds = value_bounds(distance, "d")
+    edges = [grouped_quantile(distance, [], "d", i / bins, "e", bounds).first()[0] for i in range(1, bins)]
+    above = sum((F.col("d") >= F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
+    return distance.withColumn("bin", above)
+
+
 def decay_table(tests: DataFrame, band: Column, level: float = 4.0) -> DataFrame:
     """Per distance class: tests, share beyond ``level`` in all, in each half, in both, and
     the share expected if the halves were independent. ``tests``: z, z_a, z_b."""

@@ -107,22 +107,36 @@ def _rank_sum_tail(n: int) -> np.ndarray:
     return ways[::-1].cumsum()[::-1]
 
 
-@F.pandas_udf(T.DoubleType())
-def signed_rank_p(n: pd.Series, w: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
-    """One-sided p (values above zero): exact up to 50 untied values, normal beyond."""
+def rank_sum_p(method: str = "auto", least: int = 5):
+    """One-sided p of signed-rank sums (values above zero) as a function of the columns n, w, tied and z.
+
+    ``method``: "exact" counts all signs of n untied ranks (null for tied values), "normal" reads the tail of z,
+    "auto" is exact up to 50 untied values and normal otherwise. Below ``least`` values it is NaN.
+    """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"no method {method}")
+
+    @F.pandas_udf(T.DoubleType())
+    def p(n: pd.Series, w: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
+        tails = {}
+
+        def one(n_, w_, tied_, z_):
+            if not n_ or n_ < least:
+                return math.nan
+            if method == "exact" and tied_:
+                return None
+            if method == "exact" or (method == "auto" and n_ <= 50 and not tied_):
+                if n_ not in tails:
+                    tails[n_] = _rank_sum_tail(int(n_))
+                return float(tails[n_][int(math.ceil(w_))])
+            return 0.5 * math.erfc(z_ / math.sqrt(2))
+
+        return pd.Series([one(*x) for x in zip(n, w, tied, z)], dtype=float)
 
-    tails = {}
+    return p
 
-    def one(n_, w_, tied_, z_):
-        if not n_ or n_ < 5:
-            return math.nan
-        if n_ <= 50 and not tied_:
-            if n_ not in tails:
-                tails[n_] = _rank_sum_tail(int(n_))
-            return float(tails[n_][int(math.ceil(w_))])
-        return 0.5 * math.erfc(z_ / math.sqrt(2))
 
-    return pd.Series([one(*x) for x in zip(n, w, tied, z)], dtype=float)
+signed_rank_p = rank_sum_p()
 
 
 @F.pandas_udf(T.DoubleType())

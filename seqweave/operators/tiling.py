@@ -263,3 +263,13 @@ def carry_last(
 def median_position(df: DataFrame, keys: Sequence[str], pos: str, out: str) -> DataFrame:
     """Exact median of an integer position or distance per key, counted in tiles of the line."""
     return grouped_quantile(df, keys, pos, 0.5, out, chunk=F.floor(F.col(pos) / 4096))
+
+
+def nearest_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], bounds: Sequence[float] = (), chunk: Column | None = None
+) -> DataFrame:
+    """Exact quantiles that are values of the group: keys, share, value at the place nearest to share (n - 1), halves to the even place."""
+    ranked = running_count_by_value(df, keys, value, bounds, chunk)
+    asked = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    at = F.bround(F.col("share") * (F.col("total") - 1))
+    return asked.where((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).select(*keys, "share", value)

@@ -8,10 +8,13 @@ to the driver.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqweave.operators import decoder as D
+from seqweave.operators import facts as X
 from seqweave.operators import graph as G
 from seqweave.operators import locate as L
 from seqweave.operators import matching as M
@@ -100,6 +103,81 @@ class Pangenome:
         found = S.plastic_runs(self.genes.where(F.col("genome") == genome))
         return found.where(F.col("spot").isNotNull()).orderBy("start")
 
+    def prefix(self, genome: int, q: str, before: int = 400) -> tuple[DataFrame, DataFrame]:
+        """A genome's own path from the anchor of a query's window to the family, and up to ``before`` genes ahead of it.
+
+        Both: pos (of the genome), family, allele, in order; refused when the genome has the anchor not once, or
+        not the family in the window.
+        """
+        found = self.locate(q)
+        if "family" not in found:
+            raise L.BadRequest("name a gene or family, not a position")
+        mine = self.genes.where(F.col("genome") == genome)
+        places = mine.where(F.col("family") == found["anchor"]).select("pos", "length").limit(2).collect()
+        if len(places) != 1:
+            raise L.NotFound(f"genome {genome} has {found['anchor']} not once")
+        start, length = places[0]["pos"], places[0]["length"]
+        offset = F.pmod(F.col("pos") - start, F.lit(length))
+        path = mine.withColumn("_o", offset).where(F.col("_o") < min(self.width, length))
+        end = path.where(F.col("family") == found["family"]).agg(F.min("_o")).first()[0]
+        if end is None:
+            raise L.NotFound(f"genome {genome} has {q} not in the window of {found['anchor']}")
+        items = path.where(F.col("_o") <= end).orderBy("_o").select("pos", "family", "allele")
+        ahead = mine.where((F.col("pos") < start) & (F.col("pos") >= start - before)).orderBy("pos").select("pos", "family", "allele")
+        return items, ahead
+
+    def genome_call(self, genome: int, q: str, calls: DataFrame, decoder: DataFrame) -> DataFrame:
+        """What a model calls after a genome's path to a family, with what is there: read, score, rank, p_true.
+
+        ``calls``: genome, pos (of the gene called), entropy, p_true, rank_true, top; ``decoder``: cluster, family, weight.
+        """
+        items, _ = self.prefix(genome, q)
+        last = items.where(F.col("family") == self.resolve(q)).first()["pos"]  # the path ends at its first copy
+        own = calls.where((F.col("genome") == genome) & (F.col("pos") == last + 1))
+        if own.isEmpty():
+            raise L.NotFound(f"no gene is called after position {last} of genome {genome}")
+        return self._read(own, decoder)
+
+    def path_call(self, path: list[str], calls: DataFrame, decoder: DataFrame, k: int = 30) -> DataFrame:
+        """The ``k`` families a model expects after a path: read, score, rank, averaged over the calls made after it.
+
+        ``calls`` as for ``genome_call``; a path is families in order, as genomes have it. At most 400 of them.
+        """
+        if not path:
+            raise L.BadRequest("the path is empty")
+        if len(path) > 400:
+            raise L.BadRequest("a path has at most 400 families")
+        steps = None
+        for i, family in enumerate(reversed(path)):
+            at = self.genes.where(F.col("family") == family).select("genome", (F.col("pos") + i + 1).alias("pos"))
+            steps = at if steps is None else steps.join(at, ["genome", "pos"], "left_semi")
+        met = calls.join(steps, ["genome", "pos"], "left_semi")
+        if met.isEmpty():
+            raise L.NotFound("no genome has a call after this path")
+        return self._read(met, decoder).where(F.col("rank") <= k)
+
+    def _read(self, calls: DataFrame, decoder: DataFrame) -> DataFrame:
+        n = calls.agg(F.count(F.lit(1))).first()[0]
+        spread = D.call_rows(calls).groupBy("cluster").agg((F.sum("p") / n).alias("p"))
+        read = spread.join(decoder, "cluster").groupBy(F.col("family").alias("read")).agg(F.sum(F.col("p") * F.col("weight")).alias("score"))
+        truth = calls.agg(F.avg("p_true").alias("p_true"), F.avg("entropy").alias("entropy"))
+        order = Window.orderBy(F.desc(F.round("score", 9)), "read")  # one row a family that the calls' clusters read as
+        # one row
+        return read.withColumn("rank", F.row_number().over(order)).join(F.broadcast(truth)).select("read", "score", "rank", "p_true", "entropy")
+
+    def reading(self, lines: DataFrame, body: str) -> tuple[DataFrame, DataFrame]:
+        """A reading of a window held against its facts: what may stay (kept, body) and the faults (nth, fault, what)."""
+        spark = lines.sparkSession
+        cut = cut_lineage(X.sentences(spark.createDataFrame([(0, body)], "text_id long, body string")))
+        said = lambda df, fault, what: df.select("text_id", F.col("nth").cast("bigint").alias("nth"), F.lit(fault).alias("fault"), F.col(what).cast("string").alias("what"))
+        faults = [
+            said(X.unsupported_numbers(cut, lines), "number", "value"), said(X.unsupported_names(cut, lines), "name", "name"),
+            said(X.unsupported_columns(cut, lines), "column", "locus"), said(X.wording_faults(cut), "wording", "fault"),
+            said(X.false_extremes(cut, lines), "extreme", "locus"),
+        ]
+        every = cut_lineage(reduce(lambda a, b: a.unionByName(b), faults))
+        return X.kept_sentences(cut, every, 400), every
+
     def influence(self, passes: DataFrame, readouts: DataFrame, reach: int = 1000, bin_width: int = 25) -> tuple[DataFrame, DataFrame]:
         """Binned effect after each deletion and how far it is felt."""
         profile = cut_lineage(M.downstream_profile(passes, readouts, reach, bin_width, "in_rgp"))

@@ -8,16 +8,19 @@ from seqweave.plans import (
     control_queries,
     facts_queries,
     graph_queries,
+    hit_queries,
     knockout_queries,
     link_queries,
     region_queries,
     sequence_queries,
     table_queries,
     tree_queries,
+    variant_queries,
 )
 
 MODULES = (
     graph_queries,
+    hit_queries,
     sequence_queries,
     association_queries,
     claim_queries,
@@ -27,6 +30,7 @@ MODULES = (
     link_queries,
     table_queries,
     tree_queries,
+    variant_queries,
     region_queries,
 )
 

@@ -212,3 +212,42 @@ def kept_sentences(spark, folder):
 @query("SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(translate(text, '“”‘’–‑ ', '\"\"''''-- '), '\\s+', ' ', 'g'), ' +([.,;:!?%])', '\\1', 'g'))) AS tidy FROM conversations")
 def tidy_texts(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", F.md5(X.tidy(F.col("text"))).alias("tidy"))
+
+
+WORDED = COLS + """,
+wd AS (SELECT locus, run, list_distinct([split_part(top, '#', 1), kind, 'class' || (ascii(right(top, 1)) % 3)]) AS words,
+  list_distinct([split_part(second, '#', 1), 'class' || (ascii(right(second, 1)) % 3)]) AS others FROM cr),
+sp AS (SELECT locus, unnest(words) AS word FROM wd)"""
+
+
+def _words(family, *more):
+    name, digit = F.substring_index(family, "#", 1), (F.ascii(F.right(F.col(family), F.lit(1))) % 3).cast("string")
+    return F.array_distinct(F.array(name, *more, F.concat(F.lit("class"), digit)))
+
+
+@query(
+    f"""WITH {C.EV}, {WORDED},
+nw AS (SELECT *, CASE WHEN locus - lag(locus) OVER o > 2 THEN 1 ELSE 0 END AS n FROM sp WHERE length(word) >= 5 WINDOW o AS (PARTITION BY word ORDER BY locus)),
+rn AS (SELECT *, sum(n) OVER (PARTITION BY word ORDER BY locus) AS run FROM nw),
+fd AS (SELECT word, min(locus) AS first, max(locus) AS last, count(*) AS hits FROM rn GROUP BY word, run HAVING count(*) >= 3 AND count(*) >= 0.6 * (max(locus) - min(locus) + 1)),
+mn AS (SELECT f.word, first, last, hits, s.word AS said, count(*) AS n FROM fd f JOIN sp s ON s.locus BETWEEN first AND last AND length(s.word) >= 4
+  GROUP BY ALL HAVING count(*) >= 2 AND count(*) >= 0.5 * (last - first + 1))
+SELECT word, first, last, hits, array_to_string(list(said ORDER BY n DESC, said)[1:4], ',') AS words FROM mn GROUP BY ALL"""
+)
+def word_groups(spark, folder):
+    """Stretches of columns whose families share a word."""
+    rows = columns(spark, folder).select("locus", _words("top", F.col("kind")).alias("words"))
+    return X.word_groups(cut_lineage(rows)).withColumn("words", F.array_join("words", ","))
+
+
+@query(
+    f"""WITH {C.EV}, {WORDED}, b AS (SELECT run AS branch, locus, unnest(others) AS said FROM wd),
+z AS (SELECT run AS branch, count(*) AS size, min(locus) AS first, max(locus) AS last FROM wd GROUP BY 1),
+m AS (SELECT b.branch, said, count(*) AS n, any_value(first) AS first, any_value(last) AS last FROM b JOIN z USING (branch) WHERE length(said) >= 4
+  GROUP BY 1, 2 HAVING count(*) >= 2 AND count(*) >= 0.3 * any_value(size))
+SELECT branch::BIGINT AS branch, first, last, array_to_string(list(said ORDER BY n DESC, said)[1:4], ',') AS words FROM m GROUP BY 1, 2, 3"""
+)
+def branch_groups(spark, folder):
+    """Words on which the second families of a run of columns agree."""
+    rows = columns(spark, folder).select(F.col("run").alias("branch"), "locus", _words("second").alias("words"))
+    return X.branch_groups(cut_lineage(rows), 0.3).withColumn("words", F.array_join("words", ","))

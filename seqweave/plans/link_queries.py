@@ -208,7 +208,7 @@ def link_verdicts(spark, folder):
 
 
 @query(
-    f"""WITH {RUNS}, rp AS (SELECT u.unit AS pass, e.start - u."end" AS dist, round(u.delta * ev.value / 100, 6) AS delta
+    f"""WITH {RUNS}, rp AS (SELECT u.unit AS pass, e.start - u."end" AS dist, u.delta * ev.value / 100 AS delta
   FROM un u JOIN el e ON e.genome = u.genome AND e.start > u."end" AND e.start <= u."end" + 60 JOIN ev ON ev.genome = u.genome AND ev.pos = e.start),
 mt AS (SELECT a.pass, a.dist, a.delta, b.delta AS v, abs(b.dist - a.dist) <= 0.35 * a.dist AS near FROM rp a JOIN rp b
   ON b.pass = a.pass AND b.dist <> a.dist AND abs(b.dist - a.dist) <= 0.6 * a.dist),
@@ -227,6 +227,6 @@ def specificity(spark, folder):
     met = wanted.join(entries.withColumn("_bin", F.floor(F.col("entry") / 64)), ["genome", "_bin"]).where(F.col("entry").between(F.col("end") + 1, F.col("end") + 60))
     values = C.genes(spark, folder).select("genome", F.col("pos").alias("entry"), "value")
     reads = met.join(values, ["genome", "entry"]).select(
-        F.col("unit").alias("pass"), (F.col("entry") - F.col("end")).alias("dist"), F.round(F.col("delta") * F.col("value") / 100, 6).alias("delta"))
+        F.col("unit").alias("pass"), (F.col("entry") - F.col("end")).alias("dist"), (F.col("delta") * F.col("value") / 100).alias("delta"))
     out = L.specificity(cut_lineage(reads), 60)
     return out.withColumn("excess", F.round(F.col("excess") + 1e-9, 6)).withColumn("z", F.round("z", 5))

@@ -49,6 +49,15 @@ def close(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` wrote; frames built on it can't be read afterwards."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.split("/")[-2:-1] == [shared_folder(spark).rsplit("/", 1)[-1]]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and continue from it.
 

@@ -314,3 +314,84 @@ def sequential(batches, limits):
                 out[number] = (outcome, wait)
             state[client] = times, day, today
     return out
+
+
+def test_block_pairs_over_blocks_and_chunks(spark, monkeypatch):
+    from seqweave.operators import association, hits
+
+    monkeypatch.setattr(hits, "ROWS_PER_CHUNK", 200)
+    rng = random.Random(5)
+    held = [(g, f"f{f:03d}", g % 3) for g in range(24) for f in range(700) if rng.random() < 0.06]
+    df = spark.createDataFrame(held, "genome long, family string, stratum long")
+    margins = association.strata_margins(df)
+    items = hits.numbered(df.select(F.col("family").alias("item")), F.substring("item", 1, 3))
+    want = {(r.a, r.b): r for r in association.cmh_matrix(df, margins).collect()}
+    got = {(r.a, r.b): r for r in hits.cmh_hits(df, margins, items, 2.0).collect()}
+    assert set(got) == {k for k, r in want.items() if abs(r.z) >= 2.0 and r["var"] > 0} and got
+    assert all(got[k].z == pytest.approx(want[k].z) and got[k].both == want[k].both for k in got)
+    counted = hits.cmh_histogram(df, margins, items, least_var=0.0).collect()
+    assert sum(r.pairs for r in counted) == sum(r["var"] > 0 for r in want.values())
+    sets = {}
+    for g, f, _ in held:
+        sets.setdefault(f, set()).add(g)
+    near = {(r.a, r.b): r.jaccard for r in hits.similar_pairs(df, items, 0.6).collect()}
+    pairs = {(a, b): 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert near == {k: pytest.approx(d) for k, d in pairs.items() if d <= 0.6}
+
+
+def test_mixture_and_nearest_quantiles(spark):
+    from seqweave.operators import predictors, relatedness, tiling
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 2), 1 + int(i % 3), float(q), float(f)) for i, (q, f) in enumerate(rng.uniform(0.01, 1, (60, 2)))] + [(0, 1, 0.0, 0.5)]
+    got = {r.half: r for r in predictors.fit_mixture(spark.createDataFrame(rows, "half long, n long, q double, freq double"), [0, 0.1, 0.4]).collect()}
+    bits = lambda half, share: sum(n * -math.log2(max((1 - share) * q + share * f, 1e-12)) for h, n, q, f in rows if h == half)
+    for half in (0, 1):
+        share = min((0.0, 0.1, 0.4), key=lambda x: (round(bits(1 - half, x), 6), x))
+        sites = sum(n for h, n, _, _ in rows if h == half)
+        assert got[half].l == share and got[half].sites == sites and got[half].bits == pytest.approx(bits(half, share) / sites)
+
+    values = [(k, int(v)) for k in "ab" for v in rng.integers(0, 9, 11 if k == "a" else 6)]
+    shares = [0.0, 0.25, 0.45, 0.5, 1.0]
+    near = {(r.k, r.share): r.v for r in tiling.nearest_quantiles(spark.createDataFrame(values, "k string, v long"), ["k"], "v", shares).collect()}
+    for k in "ab":
+        own = np.sort([v for name, v in values if name == k])
+        assert [near[k, s] for s in shares] == [own[round(s * (len(own) - 1))] for s in shares]
+
+    distance = [(i, j, float(d)) for i, j, d in zip(range(40), range(1, 41), rng.integers(0, 12, 40) / 12, strict=True)]
+    bins = relatedness.quantile_bins(spark.createDataFrame(distance, "g1 long, g2 long, d double"), 5).collect()
+    edges = np.quantile([d for _, _, d in distance], np.linspace(0, 1, 6))
+    assert all(r.bin == np.clip(np.searchsorted(edges, r.d, "right") - 1, 0, 4) for r in bins)
+
+
+def test_projected_hops(spark):
+    from seqweave.operators import regions
+
+    edges = spark.createDataFrame([("a1", "x"), ("x", "b1"), ("a2", "a1"), ("b1", "c1"), ("a1", "c1")], "a string, b string")
+    labels = spark.createDataFrame([("a1", "A"), ("a2", "A"), ("b1", "B"), ("c1", "C")], "node string, label string")
+    assert sorted(tuple(r) for r in regions.projected_hops(edges, labels, 2).collect()) == [("A", "B", 2), ("A", "C", 1), ("B", "C", 1)]
+
+
+def test_rank_sum_methods(spark):
+    rows = [(6, 18.0, False, 1.5), (6, 18.0, True, 1.5), (4, 10.0, False, 1.8), (60, 1200.0, False, 2.1)]
+    df = spark.createDataFrame(rows, "n long, w double, tied boolean, z double")
+    got = {m: [r[0] for r in df.select(stats.rank_sum_p(m)("n", "w", "tied", "z")).collect()] for m in ("auto", "exact", "normal")}
+    exact = sum(sum(i + 1 for i in range(6) if mask >> i & 1) >= 18 for mask in range(64)) / 64
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    nothing = lambda v: v is None or math.isnan(v)
+    assert got["auto"][0] == got["exact"][0] == pytest.approx(exact) and got["normal"][0] == pytest.approx(tail(1.5))
+    assert got["auto"][1] == pytest.approx(tail(1.5)) and nothing(got["exact"][1]) and all(nothing(got[m][2]) for m in got)
+    assert got["auto"][3] == pytest.approx(tail(2.1)) and got["exact"][3] == pytest.approx(tail(2.1), abs=0.002)
+    with pytest.raises(ValueError):
+        stats.rank_sum_p("guess")
+
+
+def test_forks_by_sites(spark):
+    from seqweave.operators import forks
+
+    rows = [(g, p, f, r) for g in range(4) for p, (f, r) in enumerate([("a", False), ("b" if g % 2 else "c", g < 2), ("a", False), ("d", True)])]
+    genes = spark.createDataFrame(rows, "genome long, pos long, family string, in_rgp boolean")
+    read = lambda **k: sorted((r.fork, r.branch, r.n, r.sites, r.plastic) for r in forks.forks_by_sites(genes, 8, **k).collect())
+    assert read() == [("a", "b", 2, 8, 0.75), ("a", "c", 2, 8, 0.75), ("a", "d", 4, 8, 0.75)]
+    assert read(min_n=3) == [] and read(min_sites=9) == [] and read(min_plastic=0.8) == []
+    assert read(first_copy=True) == [("a", "b", 2, 4, 0.5), ("a", "c", 2, 4, 0.5)]
