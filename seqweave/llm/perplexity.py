@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.llm.common import arrow_rows, slices
-from seqweave.session import cut_lineage
+from seqweave.session import cut_lineage, drop
 
 #: Order of the model, and the byte that stands before and after each text.
 ORDER, EDGE = 5, 10
@@ -37,7 +37,10 @@ STEP = 0.001
 #: Bytes of average cross-entropy that each text is given beforehand, so that a few words decide little.
 PRIOR = 100
 
-COUNTS = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+COUNTS = pa.schema([("key", pa.int64()), ("half", pa.int64()), ("c", pa.int64())])
+
+#: Address bits of the table that tells which documents may be labelled: 2^23 bits are 1 MB at every size.
+PLACES = 23
 
 
 def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,25 +60,31 @@ def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngram_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, c: how often each packed n-gram occurs in the texts (binary column ``text``)."""
+    """key and how often each packed n-gram occurs in the texts (binary column ``text``): in all (c0), and with a column
+    ``half`` (0 or 1) also in those of half 1 (c1) and of half 0 (c2), all counted in one pass."""
+    halved = "half" in trusted.columns
 
     def work(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in slices(batches, "text", 4 << 20):
-            found = [t for t in batch.column("text").to_pylist() if t]
-            if not found:
-                continue
-            new, c = np.unique(windows(found, order)[0], return_counts=True)
-            merged = np.concatenate([keys, new])
-            keys, at = np.unique(merged, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
+            for half in (0, 1) if halved else (0,):
+                told = batch.column("half").to_pylist() if halved else [0] * batch.num_rows
+                found = [t for t, h in zip(batch.column("text").to_pylist(), told, strict=True) if t and h == half]
+                if not found:
+                    continue
+                new, c = np.unique(windows(found, order)[0], return_counts=True)
+                merged = np.concatenate([keys, new << 1 | half])
+                keys, at = np.unique(merged, return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
             if len(keys) > 2_000_000:
-                yield arrow_rows(COUNTS, key=keys, c=counts)
+                yield arrow_rows(COUNTS, key=keys >> 1, half=keys & 1, c=counts)
                 keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(keys):
-            yield arrow_rows(COUNTS, key=keys, c=counts)
+            yield arrow_rows(COUNTS, key=keys >> 1, half=keys & 1, c=counts)
 
-    return trusted.select("text").mapInArrow(work, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    rows = trusted.select("text", *["half"] * halved).mapInArrow(work, "key bigint, half bigint, c bigint").groupBy("key")
+    of = lambda h: F.sum(F.when(F.col("half") == h, F.col("c")).otherwise(0))
+    return rows.agg(F.sum("c").alias("c0"), *([of(1).alias("c1"), of(0).alias("c2")] if halved else []))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -91,65 +100,90 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 class Model:
-    """Tables of a trained model.
+    """Tables of one trained model, or of three that share their entries: of all texts, of those of half 1, of half 0.
 
-    ``entries``: kind (order of an n-gram, or minus the order whose context it is), key, value (probability or
-    back-off weight); ``two``: the probabilities of all byte pairs.
+    ``entries``: kind (order of an n-gram, or minus the order whose context it is), key, v0 (probability or back-off
+    weight), and v1, v2 of the halves, null where one lacks the entry; ``two``: for each the probabilities of all
+    byte pairs. ``scorer``: which of them scores the texts of half 0 and of half 1.
     """
 
-    def __init__(self, entries: DataFrame, two: np.ndarray, order: int):
-        self.entries, self.two, self.order = entries, two, order
+    def __init__(self, entries: DataFrame, two: list[np.ndarray], order: int, scorer: tuple[int, int]):
+        self.entries, self.two, self.order, self.scorer = entries, two, order, scorer
+        self.shared: list = []
+
+    def forget(self):
+        """Drop what scoring has sent to the tasks, once its results are written."""
+        for b in self.shared:
+            b.unpersist()
+        self.shared.clear()
+        drop(self.entries)
 
 
 def train(trusted: DataFrame, order: int = ORDER) -> Model:
-    """Model of the texts in the binary column ``text``; without any text every byte is equally likely."""
+    """Model of the texts in the binary column ``text``; without any text every byte is equally likely.
+
+    With a column ``half`` the models of both halves come from the same tables: every row carries its counts and
+    values for all three, so each order is one chain of jobs.
+    """
     spark = trusted.sparkSession
+    which = range(3 if "half" in trusted.columns else 1)
     tables = {order: cut_lineage(ngram_counts(trusted, order))}
     for n in range(order - 1, 0, -1):
         mask = (1 << (8 * n)) - 1
         tables[n] = tables[n + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(
-            F.count("*").alias("c")
-        )
+            *[F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}") for m in which])
         if n > 2:
             tables[n] = cut_lineage(tables[n])
-    parts = {}
-    one = two = weights = None
+    parts, used = {}, list(tables.values())
+    one, two, weights, totals = [], [], None, []
     for n in range(1, order + 1):
-        many = [F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in range(1, 5)]
-        low = discounts(*tables[n].agg(*many).first())
-        taken = F.when(F.col("c") == 1, low[0]).when(F.col("c") == 2, low[1]).otherwise(low[2])
+        many = [F.count_if(F.col(f"c{m}") == k) for m in which for k in range(1, 5)]
+        told = tables[n].agg(*many).first()
+        low = [discounts(*told[4 * m : 4 * m + 4]) for m in which]
+        c = [F.col(f"c{m}") for m in which]
+        taken = [F.when(c[m] == 0, 0.0).when(c[m] == 1, low[m][0]).when(c[m] == 2, low[m][1]).otherwise(low[m][2]) for m in which]
         left = F.shiftright("key", 8)
+        some = lambda m, x: F.when(F.sum(c[m]) > 0, x)
         contexts = tables[n].groupBy(left.alias("context")).agg(
-            F.sum("c").alias("total"), (F.sum(taken) / F.sum("c")).alias("weight")
-        )
+            *[x for m in which for x in (F.sum(c[m]).alias(f"total{m}"), some(m, F.sum(taken[m]) / F.sum(c[m])).alias(f"weight{m}"))])
         if n <= 2:  # at most 65,536 rows
             own = tables[n].join(contexts, left == F.col("context"))
-            own = own.select("key", ((F.col("c") - taken) / F.col("total")).alias("own")).toPandas()
-            weight = np.ones(256 if n == 2 else 1)
+            own = own.select("key", *[F.when(c[m] > 0, (c[m] - taken[m]) / F.col(f"total{m}")).otherwise(0.0).alias(f"own{m}") for m in which]).toPandas()
             got = contexts.toPandas()
-            weight[got["context"].to_numpy(int)] = got["weight"]
-            base = np.full(256, 1 / 256) if n == 1 else np.tile(one, 256)
-            full = np.repeat(weight, 256) * base
-            full[own["key"].to_numpy(int)] += own["own"].to_numpy()
-            one, two = (full, two) if n == 1 else (one, full)
-            if n == 2:
+            full = []
+            for m in which:
+                weight = np.ones(256 if n == 2 else 1)
+                told_m = got[f"weight{m}"].to_numpy(float)
+                weight[got["context"].to_numpy(int)] = np.where(np.isnan(told_m), 1.0, told_m)
+                base = np.full(256, 1 / 256) if n == 1 else np.tile(one[m], 256)
+                full.append(np.repeat(weight, 256) * base)
+                full[m][own["key"].to_numpy(int)] += own[f"own{m}"].to_numpy(float)
+            if n == 1:
+                one, totals = full, [int(got[f"total{m}"].sum()) for m in which]
+            else:
+                two = full
                 weights = spark.createDataFrame(
-                    pd.DataFrame({"key": np.arange(65536), "value": two}), "key bigint, value double"
-                )
+                    pd.DataFrame({"key": np.arange(65536), **{f"v{m}": two[m] for m in which}}), "key bigint, " + ", ".join(f"v{m} double" for m in which))
             continue
-        below = (parts[n - 1] if n > 3 else weights).select(F.col("key").alias("tail"), F.col("value").alias("lower"))
+        below = (parts[n - 1] if n > 3 else weights).select(F.col("key").alias("tail"), *[F.col(f"v{m}").alias(f"lower{m}") for m in which])
         mask = (1 << (8 * (n - 1))) - 1
+        value = lambda m: F.when(c[m] > 0, (c[m] - taken[m]) / F.col(f"total{m}") + F.col(f"weight{m}") * F.col(f"lower{m}"))
         parts[n] = cut_lineage(
             tables[n].join(contexts, left == F.col("context"))
             .join(below, F.col("key").bitwiseAND(F.lit(mask)) == F.col("tail"))
-            .select("key", ((F.col("c") - taken) / F.col("total") + F.col("weight") * F.col("lower")).alias("value"))
+            .select("key", *[value(m).alias(f"v{m}") for m in which])
         )
-        parts[-n] = contexts.select(F.col("context").alias("key"), F.col("weight").alias("value"))
+        used.append(parts[n])
+        parts[-n] = contexts.select(F.col("context").alias("key"), *[F.col(f"weight{m}").alias(f"v{m}") for m in which])
     entries = reduce(DataFrame.unionByName, [
-        parts[k].select(F.lit(k).alias("kind"), "key", "value") for n in range(3, order + 1) for k in (n, -n)
+        parts[k].select(F.lit(k).alias("kind"), "key", *[f"v{m}" for m in which]) for n in range(3, order + 1) for k in (n, -n)
     ])
     pair = F.when(F.col("kind") > 0, F.shiftright("key", 8)).otherwise(F.col("key")).bitwiseAND(F.lit(0xFFFF))
-    return Model(cut_lineage(entries.withColumn("pair", pair.cast("int"))), two, order)
+    entries = cut_lineage(entries.withColumn("pair", pair.cast("int")))
+    for table in used:
+        drop(table)
+    both = len(totals) == 3 and totals[1] > 0 and totals[2] > 0
+    return Model(entries, two, order, (1, 2) if both else (0, 0))
 
 
 def shards(model: Model, most: int = SHARD):
@@ -163,94 +197,135 @@ def shards(model: Model, most: int = SHARD):
         if used and used + held[pair] > most:
             number, used = number + 1, 0
         shard[pair], used = number, used + held[pair]
+    names = [c for c in model.entries.columns if c.startswith("v")]
     for k in range(number + 1):
         pairs = np.flatnonzero(shard == k)
         rows = model.entries.where(F.col("pair").between(int(pairs[0]), int(pairs[-1]))).drop("pair").toArrow()
-        kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "key", "value"))
-        yield shard == k, {int(n): (key[kind == n], value[kind == n]) for n in np.unique(kind)}
+        kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy()
+        values = np.stack([rows.column(c).to_numpy().astype(float) for c in names])  # null is NaN
+        yield shard == k, {int(n): (key[kind == n], values[:, kind == n]) for n in np.unique(kind)}
 
 
 class Lookup:
     """Probabilities of packed n-grams from one shard's tables."""
 
-    def __init__(self, two: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, two: list[np.ndarray], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.two = two
         self.tables = {n: (pd.Index(k), v) for n, (k, v) in tables.items()}
 
-    def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, kind: int, keys: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         if kind not in self.tables:
             return np.zeros(len(keys), bool), np.zeros(len(keys))
         index, values = self.tables[kind]
         at = index.get_indexer(keys)
-        return at >= 0, values[at]
+        found = values[m][at]
+        return (at >= 0) & ~np.isnan(found), found
 
-    def probability(self, keys: np.ndarray, n: int) -> np.ndarray:
+    def probability(self, keys: np.ndarray, n: int, m: int = 0) -> np.ndarray:
         keys = keys & ((1 << (8 * n)) - 1)
         if n == 2:
-            return self.two[keys]
-        known, out = self.find(n, keys)
+            return self.two[m][keys]
+        known, out = self.find(n, keys, m)
         rest = keys[~known]
         if len(rest):
-            seen, weight = self.find(-n, rest >> 8)
-            out[~known] = np.where(seen, weight, 1.0) * self.probability(rest, n - 1)
+            seen, weight = self.find(-n, rest >> 8, m)
+            out[~known] = np.where(seen, weight, 1.0) * self.probability(rest, n - 1, m)
         return out
 
 
 def surprise(docs: DataFrame, model: Model, most: int = SHARD) -> DataFrame:
-    """``docs`` columns but the binary ``text``, with bytes (edge included, null for empty text) and bits of surprise."""
+    """``docs`` columns but the binary ``text``, with bytes (edge included, null for empty text) and bits of surprise.
+
+    With a column ``half`` there is also ``other``: the bits of texts whose half is not null under the model of the other half.
+    """
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    halved = "half" in names
     context, parts = docs.sparkSession.sparkContext, []
     for pairs, tables in shards(model, most):
         shared = context.broadcast((pairs, model.two, tables))
+        model.shared.append(shared)
 
-        def work(batches, shared=shared, order=model.order):
+        def work(batches, shared=shared, order=model.order, scorer=model.scorer):
             mine, two, tables = shared.value
             lookup = Lookup(two, tables)
             whole = bool(mine.all())
+
+            def scored(texts, m):
+                keys, begins = windows(texts, order)
+                if whole:
+                    each = -np.log2(lookup.probability(keys, order, m))
+                else:
+                    each, here = np.zeros(len(keys)), mine[(keys >> 8) & 0xFFFF]
+                    each[here] = -np.log2(lookup.probability(keys[here], order, m))
+                return np.add.reduceat(each, begins)
+
             for batch in slices(batches, "text", 2 << 20):
                 given = batch.column("text").to_pylist()
-                bits = np.zeros(len(given))
+                half = batch.column("half").to_pylist() if halved else [None] * len(given)
+                bits, other = np.zeros(len(given)), np.zeros(len(given))
                 full = np.array([i for i, t in enumerate(given) if t], int)
                 if len(full):
-                    keys, begins = windows([given[i] for i in full], order)
-                    if whole:
-                        each = -np.log2(lookup.probability(keys, order))
-                    else:
-                        each, here = np.zeros(len(keys)), mine[(keys >> 8) & 0xFFFF]
-                        each[here] = -np.log2(lookup.probability(keys[here], order))
-                    bits[full] = np.add.reduceat(each, begins)
+                    bits[full] = scored([given[i] for i in full], 0)
+                for h in (0, 1):
+                    some = np.array([i for i in full if half[i] == h], int)
+                    if len(some):
+                        other[some] = scored([given[i] for i in some], scorer[h]) if scorer[h] else bits[some]
                 sizes = [len(t) + 1 if t else None for t in given]
-                columns = [batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(bits)],
-                                                 names=[*names, "bytes", "bits"])
+                columns = [*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(bits)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(other)] * halved, names=[*names, "bytes", "bits", *["other"] * halved])
 
-        parts.append(docs.select(*names, "text").mapInArrow(work, f"{kinds}, bytes bigint, bits double"))
+        parts.append(docs.select(*names, "text").mapInArrow(work, f"{kinds}, bytes bigint, bits double" + ", other double" * halved))
     if len(parts) == 1:
         return parts[0]
     every = reduce(DataFrame.unionByName, parts)
-    summed = every.groupBy(*names, "bytes").agg(F.sum("bits").alias("bits"), F.count("*").alias("_n"))
+    sums = ["bits", *["other"] * halved]
+    summed = every.groupBy(*names, "bytes").agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("_n"))
     again = F.expr(f"sequence(1L, _n div {len(parts)})")
-    return summed.withColumn("bits", F.col("bits") / (F.col("_n") / len(parts))).withColumn(
-        "_n", F.explode(again)
-    ).drop("_n")
+    for c in sums:
+        summed = summed.withColumn(c, F.col(c) / (F.col("_n") / len(parts)))
+    return summed.withColumn("_n", F.explode(again)).drop("_n")
+
+
+def half_of(text):
+    """Half of a text, by its hash, so that copies of a text are in one half."""
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
 def unseen(trusted: DataFrame, order: int = ORDER, most: int = SHARD) -> DataFrame:
     """``trusted`` with bytes and bits, each text scored by a model of the other half of the texts.
 
-    ``trusted`` has a binary column ``text``. Halves are dealt by a hash of the text, so copies of a text are in one
-    half. If one half is empty, its texts can't be kept from a model, and the model of all scores them.
+    ``trusted`` has a binary column ``text``. If one half is empty, its texts can't be kept from a model, and the
+    model of all scores them.
     """
-    halves = trusted.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    halves = cut_lineage(halves)
-    there = {r["half"] for r in halves.where("length(text) > 0").select("half").distinct().collect()}
-    parts = []
-    for half in (0, 1):
-        rest = halves.where(F.col("half") != half) if there == {0, 1} else halves
-        model = train(rest.select("text"), order)
-        parts.append(surprise(halves.where(F.col("half") == half).drop("half"), model, most))
-    return parts[0].unionByName(parts[1])
+    halves = trusted.withColumn("half", half_of("text"))
+    scored = surprise(halves, train(halves.select("text", "half"), order), most)
+    return scored.drop("half", "bits").withColumnRenamed("other", "bits")
+
+
+def _place(doc):
+    return F.pmod(F.xxhash64(doc), F.lit(1 << PLACES))
+
+
+def labelled_places(good: DataFrame):
+    """A broadcast table of 2^PLACES bits, set for the documents of ``good``: a superset of them by hash."""
+    bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    told = good.select(_place("doc_id").alias("p")).groupBy(F.shiftright("p", 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (PLACES - 6), np.int64)
+    table[told.column("cell").to_numpy()] = told.column("bits").to_numpy()
+    return good.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def maybe_labelled(rows: DataFrame, table) -> DataFrame:
+    """Rows (with ``place``) whose bit is set, found where they lie; of the others none is labelled."""
+
+    def work(batches):
+        bits = np.frombuffer(table.value, np.uint64)
+        for batch in batches:
+            p = batch.column("place").to_numpy().astype(np.uint64)
+            yield batch.filter(pa.array((bits[(p >> np.uint64(6)).astype(int)] >> (p & np.uint64(63))) & np.uint64(1) == 1))
+
+    return rows.mapInArrow(work, rows.schema)
 
 
 def limits(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -282,16 +357,19 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
     own. Repeated rows give repeated results; other columns are not read.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    own = docs.select("doc_id", F.col("lang").alias("language"), F.xxhash64("text").alias("text_hash"),
+    own = docs.select("doc_id", F.col("lang").alias("language"), F.xxhash64("text").alias("text_hash"), _place("doc_id").alias("place"),
                       F.col("text").cast("binary").alias("text"))
-    # labels grow with the documents, so both sides are shuffled at every size
-    trusted = own.join(good.hint("merge"), "doc_id", "left_semi").select("language", "text")
-    other = unseen(trusted, order, most).select("language", "bytes", "bits", F.lit(True).alias("trusted"))
-    model = train(trusted.select("text"), order)
-    scored = surprise(own, model, most).join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    places = labelled_places(good)
+    # labels grow with the documents, so both sides are shuffled at every size; but only texts that may be labelled
+    trusted = maybe_labelled(own.select("doc_id", "place", "text"), places).join(good.hint("merge"), "doc_id", "left_semi")
+    model = train(trusted.select("text", half_of("text").alias("half")), order)
+    rows = own.withColumn("half", half_of("text")).drop("place")
+    scored = surprise(rows, model, most).drop("half").join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
     scored = cut_lineage(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
+    model.forget()
+    places.unpersist()
     # trusted texts count by what the other half's model says of them, all others by the whole model
-    known = cut_lineage(scored.where("not trusted").select("language", "bytes", "bits", "trusted").unionByName(other))
+    known = scored.select("language", "bytes", F.when(F.col("trusted"), F.col("other")).otherwise(F.col("bits")).alias("bits"), "trusted")
     mean = known.where("bytes is not null").groupBy("language").agg(
         F.coalesce(F.sum(F.when(F.col("trusted"), F.col("bits"))) / F.sum(F.when(F.col("trusted"), F.col("bytes"))),
                    F.sum("bits") / F.sum("bytes")).alias("mean")
