@@ -75,7 +75,8 @@ sf1 AS (SELECT fork, branch, count(*) AS n, count(DISTINCT genome) AS genomes,
 def fork_rules(spark, folder):
     """All the fork rules over one adjacency count."""
     rows = C.order_genes(spark, folder).drop("family").withColumnRenamed("name", "family")
-    stats = {first: K.successor_stats(rows, first) for first in (False, True)}
+    rows = cut_lineage(rows)
+    stats = {first: cut_lineage(K.successor_stats(rows, first)) for first in (False, True)}
     out = [
         K.fork_branches(stats[first], top, n, share, genomes, total).withColumn("rule", F.lit(label))
         for label, first, top, n, share, genomes, total in RULES

@@ -1,7 +1,8 @@
 """Calibrated tests of links, specificity and the decision table.
 
-A unit is a plastic run deleted, read at the gene ten places behind it and at the starts of other runs near there. Its
-effect at a row is the mean value of its genes, scaled by the value of the gene read.
+A unit is a plastic run deleted. Its link leads to the next gene of its own class 8 to 40 places behind it, where it is
+read, as it is at the starts of other runs near there. Its effect is the mean value of its genes, higher where the gene
+read is of its class (lower for the class ``view``); raw effects also grow a little with the value of the gene read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from seqweave.sources.tables import typed
 QUERIES = {}
 ORACLES = {}
 
-DRAWS, LEVEL = 200, 0.4
+DRAWS, LEVEL = 200, 0.3
+#: Places behind a deletion between which its target is looked for, and what a gene of its class adds there.
+NEAR, FAR, OWN = 8, 40, 12.0
 
 
 def query(sql: str | None = None):
@@ -37,7 +40,12 @@ def query(sql: str | None = None):
 def _units(spark, folder):
     found = cut_lineage(elements(spark, folder).withColumn("unit", F.col("genome") * POSITIONS + F.col("start")))
     link = F.concat_ws("#", "link", F.least("size", F.lit(3)).cast("string"))
-    units = found.withColumns({"dist": F.lit(10), "row": F.col("end") + 10, "link": link})
+    units = found.withColumns({"name": F.col("link"), "link": link})
+    rows = C.genes(spark, folder).select("genome", "name", "pos").withColumn("_bin", F.floor(F.col("pos") / FAR))
+    bins = F.explode(F.sequence(F.floor((F.col("end") + NEAR) / FAR), F.floor((F.col("end") + FAR) / FAR)))
+    met = units.select("genome", "name", "unit", "end").withColumn("_bin", bins).join(rows, ["genome", "name", "_bin"])
+    met = met.where(F.col("pos").between(F.col("end") + NEAR, F.col("end") + FAR)).groupBy("unit").agg(F.min("pos").alias("row"))
+    units = cut_lineage(units.join(met, "unit").withColumn("dist", F.col("row") - F.col("end")))
     pool = found.select(
         "genome", F.col("unit").alias("control"), F.col("start").alias("c_start"),
         F.col("end").alias("c_end"), F.col("size").alias("c_size"), F.col("delta").alias("c_delta"),
@@ -51,15 +59,17 @@ def tested(spark, folder):
     off = L.off_targets(units, found.select("genome", F.col("start").alias("entry")))
     reads = units.select("genome", "unit", F.col("row").alias("at"), F.lit(True).alias("own")).unionByName(
         off.select("genome", "unit", F.col("entry").alias("at"), F.lit(False).alias("own")))
-    values = C.genes(spark, folder).select("genome", F.col("pos").alias("at"), F.col("value").alias("v"))
-    reads = reads.join(values, ["genome", "at"]).join(units.select("unit", "start", "end", "size", "delta"), "unit")
+    values = C.genes(spark, folder).select("genome", F.col("pos").alias("at"), F.col("value").alias("v"), F.col("name").alias("there"))
+    reads = reads.join(values, ["genome", "at"]).join(units.select("unit", "start", "end", "size", "delta", "name"), "unit")
+    more = F.when(F.col("there") != F.col("name"), 0.0).when(F.col("name") == "view", -OWN).otherwise(OWN)
+    reads = reads.withColumn("delta", F.col("delta") + more)
     reads = cut_lineage(reads.select(
         "genome", F.struct("unit", "at").alias("unit"), "own", "v", "start", "end", "size", "delta", F.col("at").alias("row"),
         (F.col("at") - F.col("end")).alias("dist")))
     scores, stand = L.stand_ins(reads, pool, log_factor=4.0)
-    told = reads.select("unit", "own", "v", "delta")
-    scores = scores.join(told, "unit").select("unit.unit", "own", "z", (F.col("delta") * F.col("v") / 100).alias("raw"))
-    stand = stand.join(told, "unit").select("unit.unit", "control", "own", "z", (F.col("excess") * F.col("v") / 100).alias("raw"))
+    told, scale = reads.select("unit", "own", "v", "delta"), 1 + F.col("v") / 2000
+    scores = scores.join(told, "unit").select("unit.unit", "own", "z", (F.col("delta") * scale).alias("raw"))
+    stand = stand.join(told, "unit").select("unit.unit", "control", "own", "z", (F.col("excess") * scale).alias("raw"))
     both = lambda df, keys: L.beside(df, keys, "z").join(
         L.beside(df, keys, "raw").select(*keys, F.col("on").alias("r_on"), F.col("off").alias("r_off")), keys
     ).where(F.col("on").isNotNull()).select(
@@ -77,12 +87,16 @@ def one_test(rows, name, draws=DRAWS):
     return L.calibrated(rows.select("link", "lineage", "unit", F.col(name).alias("x"), stand.alias("stand")), draws)
 
 
-TESTED = RUNS.replace("arg_min(name, pos) AS link", "arg_min(name, pos) || '#' || least(count(*), 3) AS link") + """,
+TESTED = RUNS.replace("arg_min(name, pos) AS link", "arg_min(name, pos) AS nm, arg_min(name, pos) || '#' || least(count(*), 3) AS link").replace(
+    """un AS (SELECT *, genome * 4294967296 + start AS unit, 10 AS dist, "end" + 10 AS "row" FROM el)""",
+    f"""u0 AS (SELECT el.genome, start, "end", size, delta, nm, link, genome * 4294967296 + start AS unit FROM el),
+ur AS (SELECT unit, min(pos) AS "row" FROM u0 JOIN ev ON ev.genome = u0.genome AND ev.name = nm AND pos BETWEEN "end" + {NEAR} AND "end" + {FAR} GROUP BY 1),
+un AS (SELECT u0.*, "row", "row" - "end" AS dist FROM u0 JOIN ur USING (unit))""") + """,
 of0 AS (SELECT u.genome, u.unit, e.start AS entry, row_number() OVER (PARTITION BY u.unit ORDER BY abs(e.start - u."row"), e.start) AS r
-  FROM un u JOIN el e ON e.genome = u.genome AND e.start BETWEEN u."end" + 6.5 AND u."end" + 13.5
+  FROM un u JOIN el e ON e.genome = u.genome AND e.start BETWEEN u."end" + (1 - 0.35::DOUBLE) * u.dist AND u."end" + (1 + 0.35::DOUBLE) * u.dist
   AND e.start <> u."row" AND NOT e.start BETWEEN u.start AND u."end"),
 rd0 AS (SELECT genome, unit, "row" AS rx, true AS own FROM un UNION ALL SELECT genome, unit, entry, false FROM of0 WHERE r <= 12),
-rd AS MATERIALIZED (SELECT r.genome, r.unit, r.rx, r.own, u.start, u."end", u.size, u.delta, r.rx - u."end" AS dist, ev.value AS v
+rd AS MATERIALIZED (SELECT r.genome, r.unit, r.rx, r.own, u.start, u."end", u.size, u.delta + CASE WHEN ev.name <> nm THEN 0 WHEN nm = 'view' THEN -12 ELSE 12 END AS delta, r.rx - u."end" AS dist, ev.value AS v
   FROM rd0 r JOIN un u ON u.unit = r.unit JOIN ev ON ev.genome = r.genome AND ev.pos = r.rx),
 m1 AS MATERIALIZED (SELECT unit, rx, r.genome, control, c_start, c_end, c_size, c_delta,
   c_size >= 0.5 * size AND c_size <= 2 * size AND abs(rx - c_end - dist) <= 0.35 * dist AS t1,
@@ -93,7 +107,7 @@ n1 AS (SELECT unit, rx, CASE WHEN count(*) FILTER (WHERE t1) >= 3 THEN 1 WHEN co
 c1 AS MATERIALIZED (SELECT m1.* FROM m1 JOIN n1 USING (unit, rx) WHERE CASE tier WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END),
 d1 AS (SELECT unit, rx, quantile_cont(c_delta, 0.5) AS med FROM c1 GROUP BY ALL HAVING count(*) >= 3),
 s1 AS (SELECT c1.unit, c1.rx, any_value(med) AS med, quantile_cont(abs(c_delta - med), 0.5) AS mad FROM c1 JOIN d1 USING (unit, rx) GROUP BY ALL),
-zs AS (SELECT rd.unit, own, v, delta, (delta - med) / greatest(1.4826 * mad, 1e-6) AS z, delta * v / 100 AS raw FROM s1 JOIN rd USING (unit, rx)),
+zs AS (SELECT rd.unit, own, v, delta, (delta - med) / greatest(1.4826 * mad, 1e-6) AS z, delta * (1 + v / 2000) AS raw FROM s1 JOIN rd USING (unit, rx)),
 m2 AS MATERIALIZED (SELECT s.unit, s.rx, s.control AS c0, s.c_delta AS delta, p.c_delta,
   p.c_size >= 0.5 * s.c_size AND p.c_size <= 2 * s.c_size AND abs(rx - p.c_end - (rx - s.c_end)) <= 0.35 * (rx - s.c_end) AS t1,
   p.c_size >= (1.0::DOUBLE / 3) * s.c_size AND p.c_size <= 3 * s.c_size AND abs(rx - p.c_end - (rx - s.c_end)) <= 0.6 * (rx - s.c_end) AS t2
@@ -102,7 +116,7 @@ g2 AS (SELECT *, count(*) FILTER (WHERE t1) OVER (PARTITION BY unit, rx, c0) >=
 c2 AS MATERIALIZED (SELECT * FROM g2 WHERE CASE WHEN narrow THEN t1 ELSE t2 END),
 d2 AS (SELECT unit, rx, c0, quantile_cont(c_delta, 0.5) AS med FROM c2 GROUP BY ALL HAVING count(*) >= 3),
 s2 AS (SELECT c2.unit, c2.rx, c0, any_value(delta) AS delta, any_value(med) AS med, quantile_cont(abs(c_delta - med), 0.5) AS mad FROM c2 JOIN d2 USING (unit, rx, c0) GROUP BY ALL),
-ps AS (SELECT rd.unit, c0, own, (s2.delta - med) / greatest(1.4826 * mad, 1e-6) AS z, (s2.delta - med) * v / 100 AS raw FROM s2 JOIN rd USING (unit, rx)),
+ps AS (SELECT rd.unit, c0, own, (s2.delta - med) / greatest(1.4826 * mad, 1e-6) AS z, (s2.delta - med) * (1 + v / 2000) AS raw FROM s2 JOIN rd USING (unit, rx)),
 mine AS (SELECT unit, round(avg(z) FILTER (WHERE own) / 0.0001)::BIGINT AS effect,
   round((avg(z) FILTER (WHERE own) - avg(z) FILTER (WHERE NOT own)) / 0.0001)::BIGINT AS spec,
   round((avg(raw) FILTER (WHERE own) - avg(raw) FILTER (WHERE NOT own)) / 0.0001)::BIGINT AS raw FROM zs GROUP BY unit),
@@ -220,10 +234,10 @@ SELECT pass, dist, round(delta - med + 1e-9, 6) AS excess, round((delta - med) /
 )
 def specificity(spark, folder):
     """Each run entered within 60 genes behind a deletion against the others entered at a comparable distance."""
-    found, units, _ = _units(spark, folder)
+    found = _units(spark, folder)[0]
     entries = found.select("genome", F.col("start").alias("entry"))
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / 64), F.floor(high / 64)))
-    wanted = units.select("genome", "unit", "end", "delta").withColumn("_bin", bins(F.col("end") + 1, F.col("end") + 60))
+    wanted = found.select("genome", "unit", "end", "delta").withColumn("_bin", bins(F.col("end") + 1, F.col("end") + 60))
     met = wanted.join(entries.withColumn("_bin", F.floor(F.col("entry") / 64)), ["genome", "_bin"]).where(F.col("entry").between(F.col("end") + 1, F.col("end") + 60))
     values = C.genes(spark, folder).select("genome", F.col("pos").alias("entry"), "value")
     reads = met.join(values, ["genome", "entry"]).select(
