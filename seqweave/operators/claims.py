@@ -19,6 +19,8 @@ RANGE = r"columns (\d+) to (\d+) show (?:a |an )?(share|named|RGP) (from )?(\d+(
 BOUND = r"(?:column (\d+)|`([^`]+)`),? carried by (\d+(?:\.\d+)?)%"
 COMPARE = r"column (\d+) has (a higher|a lower|the same) (share|named|RGP|bits) (?:than|as) column (\d+)"
 TREND = r"(share|named|RGP|bits) (rising|falling) from column (\d+) to column (\d+)"
+EXTREME = r"(most hesitant|fewest named|most carried|least carried) at column (\d+)"
+PLACED = r"`([^`]+)` at column (\d+)"
 PARTITION = r"(all|\d+) (persistent|shell|cloud)(?: families)? in columns (\d+) to (\d+)"
 
 
@@ -123,3 +125,25 @@ def partition_claims(cut: DataFrame, families: DataFrame) -> DataFrame:
     number = F.col("said").try_cast("bigint")
     ok = F.when(F.col("said") == "all", (F.col("n") > 0) & (F.col("n") == F.col("matching"))).otherwise(F.col("matching") >= number)
     return out.select("text_id", "nth", "at", "said", "partition", "first", "last", "n", "matching", F.coalesce(ok, F.lit(False)).alias("holds"))
+
+
+#: What each wording of an extreme speaks of, and whether it is the highest value.
+EXTREMES = {"most hesitant": ("bits", True), "fewest named": ("named", False), "most carried": ("share", True), "least carried": ("share", False)}
+
+
+def extreme_claims(cut: DataFrame, facts: DataFrame) -> DataFrame:
+    """"most hesitant at column 7": text_id, nth, at, said, locus, holds: whether no column has a more extreme value of that role."""
+    said = _typed(_found(cut, EXTREME, ["said", "locus"]), ["locus"]).drop("cites")
+    ends = facts.groupBy("role").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    role = F.create_map(*[F.lit(x) for w, (r, _) in EXTREMES.items() for x in (w, r)])
+    high = F.col("said").isin([w for w, (_, up) in EXTREMES.items() if up])
+    met = said.withColumn("role", F.element_at(role, F.col("said"))).join(facts.select("role", "locus", "value"), ["role", "locus"], "left").join(ends, "role", "left")
+    ok = F.coalesce(F.col("value") == F.when(high, F.col("most")).otherwise(F.col("least")), F.lit(False))
+    return met.select("text_id", "nth", "at", "said", "locus", ok.alias("holds"))
+
+
+def placed_genes(cut: DataFrame, genes: DataFrame) -> DataFrame:
+    """"`x#1` at column 7": text_id, nth, at, gene, locus, holds: whether the gene is one of that column (``genes``: gene, locus)."""
+    said = _typed(_found(cut, PLACED, ["gene", "locus"]), ["locus"]).drop("cites")
+    known = genes.select("gene", "locus").distinct().withColumn("_ok", F.lit(True))
+    return said.join(known, ["gene", "locus"], "left").select("text_id", "nth", "at", "gene", "locus", F.coalesce("_ok", F.lit(False)).alias("holds"))

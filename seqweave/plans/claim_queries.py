@@ -55,11 +55,14 @@ sen AS (SELECT k AS text_id, 0::BIGINT AS nth, 'columns ' || k || ' to ' || k2 |
   UNION ALL SELECT k, 2, 'column ' || k || ' has ' || CASE k % 3 WHEN 0 THEN 'a higher' WHEN 1 THEN 'a lower' ELSE 'the same' END || CASE WHEN k % 2 = 0 THEN ' share' ELSE ' bits' END
     || CASE k % 3 WHEN 2 THEN ' as' ELSE ' than' END || ' column ' || k2 || ', named ' || CASE WHEN k % 2 = 0 THEN 'rising' ELSE 'falling' END || ' from column ' || k || ' to column ' || k2 FROM w2
   UNION ALL SELECT k, 3, CASE k % 3 WHEN 0 THEN 'all' WHEN 1 THEN '1' ELSE '2' END || CASE WHEN k % 2 = 0 THEN ' shell' ELSE ' cloud' END
-    || CASE k % 3 WHEN 0 THEN '' ELSE ' families' END || ' in columns ' || k || ' to ' || k2 FROM w2)"""
+    || CASE k % 3 WHEN 0 THEN '' ELSE ' families' END || ' in columns ' || k || ' to ' || k2 FROM w2
+  UNION ALL SELECT k, 4, CASE k % 4 WHEN 0 THEN 'most hesitant' WHEN 1 THEN 'fewest named' WHEN 2 THEN 'most carried' ELSE 'least carried' END || ' at column ' || k
+    || ', least carried at column ' || k2 FROM w2
+  UNION ALL SELECT k, 5, '`' || top || '` at column ' || CASE WHEN k % 3 = 0 THEN k2 ELSE k END FROM w2)"""
 
 
 def sentences(facts_, genes):
-    """text_id, nth, text, cites: four sentences a column."""
+    """text_id, nth, text, cites: six sentences a column."""
     value = lambda role: F.max(F.when(F.col("role") == role, F.col("value"))).cast("bigint")
     rows = facts_.groupBy("locus").agg(value("share").alias("sh")).join(genes, "locus")
     # The columns of one window, in their order.
@@ -78,6 +81,9 @@ def sentences(facts_, genes):
                  word(3, " than", " than", " as"), F.lit(" column "), text("k2"), F.lit(", named "), word(2, "rising", "falling"),
                  F.lit(" from column "), text("k"), F.lit(" to column "), text("k2")),
         F.concat(word(3, "all", "1", "2"), word(2, " shell", " cloud"), word(3, "", " families", " families"), F.lit(" in columns "), text("k"), F.lit(" to "), text("k2")),
+        F.concat(word(4, "most hesitant", "fewest named", "most carried", "least carried"), F.lit(" at column "), text("k"),
+                 F.lit(", least carried at column "), text("k2")),
+        F.concat(F.lit("`"), F.col("top"), F.lit("` at column "), F.when(k % 3 == 0, text("k2")).otherwise(text("k"))),
     ]
     out = rows.select(k.alias("text_id"), F.posexplode(F.array(*said)).alias("nth", "text"))
     return cut_lineage(out.select("text_id", F.col("nth").cast("bigint").alias("nth"), "text", F.array().cast("array<string>").alias("cites")))
@@ -147,6 +153,27 @@ def partition_claims(spark, folder):
     return K.partition_claims(said, families(spark, folder))
 
 
+@query(
+    f"""WITH {C.CALLS}, {FACTS}, m AS (SELECT text_id, nth, unnest(range(0, len(w))) AS "at", unnest(w) AS said, unnest(l)::BIGINT AS locus FROM (
+    SELECT text_id, nth, regexp_extract_all(text, '{K.EXTREME}', 1) AS w, regexp_extract_all(text, '{K.EXTREME}', 2) AS l FROM sen)),
+r AS (SELECT *, CASE said WHEN 'most hesitant' THEN 'bits' WHEN 'fewest named' THEN 'named' ELSE 'share' END AS role FROM m)
+SELECT text_id, nth, "at", said, r.locus, coalesce((SELECT max(v) FROM fa WHERE fa.role = r.role AND fa.locus = r.locus) =
+  CASE WHEN said LIKE 'most%' THEN (SELECT max(v) FROM fa WHERE fa.role = r.role) ELSE (SELECT min(v) FROM fa WHERE fa.role = r.role) END, false) AS holds FROM r"""
+)
+def extreme_claims(spark, folder):
+    said, known, _ = _all(spark, folder)
+    return K.extreme_claims(said, known)
+
+
+@query(
+    f"""WITH {C.CALLS}, {FACTS}, c AS ({_match(K.PLACED, ["gene", "l"])})
+SELECT text_id, nth, 0::BIGINT AS "at", gene, l::BIGINT AS locus, EXISTS (SELECT 1 FROM lines WHERE top = gene AND lines.locus = l::BIGINT) AS holds FROM c"""
+)
+def placed_genes(spark, folder):
+    said, _, genes = _all(spark, folder)
+    return K.placed_genes(said, genes)
+
+
 def _stemmed(text: str) -> str:
     words = f"regexp_extract_all({text}, '[A-Za-z][A-Za-z''-]{{3,}}')"
     return f"list_distinct(list_transform({words}, lambda w: regexp_replace(lower(w), '{I.STEM}', '\\1')))"

@@ -166,7 +166,22 @@ def locate_family(spark, folder):
     return W.best_anchor(_offsets(spark, folder), reach=15, lead=5)
 
 
-@query()
+def _greedy_sql(steps: int = 3) -> str:
+    """Places one after the other: each is a best row of what the earlier ones leave."""
+    parts, left = [], """l0 AS (SELECT DISTINCT genome FROM of WHERE genome NOT IN (SELECT genome FROM of WHERE rank = (SELECT rank FROM st) AND "offset" <= 19)),
+p0 AS (SELECT 1 AS rank)"""
+    for i in range(1, steps + 1):
+        parts.append(f"""p{i} AS (SELECT rank, count(*) AS carriers, quantile_cont("offset", 0.5)::DOUBLE AS "column" FROM of
+  WHERE "offset" <= 15 AND genome IN (SELECT genome FROM l{i - 1}) AND EXISTS (SELECT 1 FROM p{i - 1}) GROUP BY 1
+  HAVING count(*) >= greatest(2, 0.02 * (SELECT count(DISTINCT genome) FROM of)) ORDER BY carriers DESC, rank LIMIT 1),
+l{i} AS (SELECT genome FROM l{i - 1} WHERE genome NOT IN (SELECT genome FROM of WHERE rank IN (SELECT rank FROM p{i}) AND "offset" <= 19))""")
+    return left + ", " + ", ".join(parts) + " " + " UNION ALL ".join(f'SELECT rank, carriers, "column" FROM p{i}' for i in range(1, steps + 1))
+
+
+@query(
+    f"""WITH {OFFSETS}, s AS (SELECT rank, count(*) AS carriers, quantile_cont("offset", 0.5)::DOUBLE AS "column" FROM of WHERE "offset" <= 15 GROUP BY 1),
+st AS (SELECT rank FROM s ORDER BY carriers DESC, abs("column" - 5), rank LIMIT 1), {_greedy_sql()}"""
+)
 def other_places(spark, folder):
     """The best anchor and the other places of a family, greedily."""
     offsets = cut_lineage(_offsets(spark, folder))

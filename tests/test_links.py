@@ -395,3 +395,22 @@ def test_forks_by_sites(spark):
     assert read() == [("a", "b", 2, 8, 0.75), ("a", "c", 2, 8, 0.75), ("a", "d", 4, 8, 0.75)]
     assert read(min_n=3) == [] and read(min_sites=9) == [] and read(min_plastic=0.8) == []
     assert read(first_copy=True) == [("a", "b", 2, 4, 0.5), ("a", "c", 2, 4, 0.5)]
+
+
+def test_extremes_places_and_word_groups(spark):
+    from seqweave.operators import facts as X
+
+    said = spark.createDataFrame([(1, 0, "most hesitant at column 3, fewest named at column 4 and least carried at column 9; `x#1` at column 3, `x#1` at column 5", [])],
+                                 "text_id int, nth int, text string, cites array<string>")
+    facts = spark.createDataFrame([("bits", 3, 1.5), ("bits", 4, 1.4), ("named", 3, 50.0), ("named", 4, 50.0), ("share", 3, 1.0)], "role string, locus long, value double")
+    facts = facts.withColumn("value", F.col("value").cast(claims.EXACT))
+    assert [(r.said, r.holds) for r in claims.extreme_claims(said, facts).orderBy("at").collect()] == [
+        ("most hesitant", True), ("fewest named", True), ("least carried", False)]
+    genes = spark.createDataFrame([("x#1", 3)], "gene string, locus long")
+    assert [(r.locus, r.holds) for r in claims.placed_genes(said, genes).orderBy("at").collect()] == [(3, True), (5, False)]
+
+    columns = spark.createDataFrame([(1, ["flagellar", "hook"]), (2, ["flagellar", "hook", "hook"]), (4, ["flagellar", "motor"]), (9, ["flagellar"]), (10, ["kinase"])],
+                                    "locus long, words array<string>")
+    assert [tuple(r) for r in X.word_groups(columns).collect()] == [("flagellar", 1, 4, 3, ["flagellar", "hook"])]
+    branches = spark.createDataFrame([("b1", 1, ["sugar", "abc"]), ("b1", 2, ["sugar"]), ("b1", 3, ["other"]), ("b2", 5, ["alone"])], "branch string, locus long, words array<string>")
+    assert [tuple(r) for r in X.branch_groups(branches).collect()] == [("b1", 1, 3, ["sugar"])]
