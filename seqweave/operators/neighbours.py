@@ -8,33 +8,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.operators.graph import top_k
+from seqweave.session import cut_lineage
 
 #: Queries whose similarities to a block of the bank are held at once.
 SLICE = 512
 
 
+#: Parts in which a long list is cut before its best rows are merged.
+PARTS = 64
+
+
+def _nearest(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` rows of each key with the smallest (d, other): the best of each part of its list, then of these."""
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64("other"), F.lit(PARTS)))
+    for by in ([*keys, "_part"], keys):
+        order = Window.partitionBy(*by).orderBy("d", "other")
+        parted = parted.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+    return parted.drop("_part")
+
+
 def nearest_in_group(members: DataFrame, group: str, distance: DataFrame, k: int, reach: int = 4) -> DataFrame:
     """The ``k`` nearest other genomes of the same group: group, genome, other.
 
     ``members``: group, genome; ``distance``: g1, g2, d, each pair once. Every
     genome first looks at its ``reach * k`` nearest genomes overall; only those
     that do not meet ``k`` members there look at their whole list, so the result
-    is exact while most genomes read a short list.
+    is exact while most genomes read a short list. Lists are cut into parts whose
+    best rows are merged, so no task sorts a whole list.
     """
     both = distance.select(F.col("g1").alias("genome"), F.col("g2").alias("other"), "d").unionByName(
         distance.select(F.col("g2").alias("genome"), F.col("g1").alias("other"), "d")
     )
-    order = Window.partitionBy("genome").orderBy("d", "other")
-    ranked = both.withColumn("place", F.row_number().over(order))
     others = members.select(group, F.col("genome").alias("other"))
 
     def look(wanted, candidates):
-        found = wanted.join(candidates, "genome").join(others, [group, "other"])
-        return top_k(found.select(group, "genome", "other", "place"), [group, "genome"], [F.col("place")], k, "_k")
+        return _nearest(wanted.join(candidates, "genome").join(others, [group, "other"]).select(group, "genome", "other", "d"), [group, "genome"], k)
 
-    first = look(members, ranked.where(F.col("place") <= reach * k))
+    first = cut_lineage(look(members, _nearest(both, ["genome"], reach * k).drop("_k")))
     full = first.where(F.col("_k") == k).select(group, "genome")
-    rest = look(members.join(full, [group, "genome"], "left_anti"), ranked)
+    rest = look(members.join(full, [group, "genome"], "left_anti"), both)
     done = first.join(full, [group, "genome"], "left_semi")
     return done.unionByName(rest).select(group, "genome", "other")
 
