@@ -153,8 +153,8 @@ def test_pages(spark):
     got = sorted(url_filter.judge(pages).collect(), key=key)
     assert len(got) == len(rows)
     assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got} == {
-        (1, "", "", None, "allow"), (None, "a.net", "/x", "net/", "block"), (2, "a.net", "", None, "block"), (3, "", "", None, "allow"),
-        (4, "", "", None, "allow"), (5, "b.org", "/fr/", "org/fr/", "allow")} or {r.verdict for r in got if r.page_id == 2} <= {"allow", "block"}
+        (1, "", "", None, "allow"), (None, "a.net", "/x", "net/", "block"), (2, "a.net", "", None, "allow"), (3, "", "", None, "allow"),
+        (4, "", "", None, "allow"), (5, "b.org", "/fr/", "org/fr/", "allow")}
     assert url_filter.judge(pages.limit(0)).collect() == []
     read = warc.round_trip(pages).collect()
     assert sorted((r.page_id or 0, r.payload_bytes) for r in read) == sorted((i or 0, len((h or "").encode())) for i, _, h in rows)

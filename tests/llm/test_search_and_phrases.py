@@ -204,3 +204,33 @@ def test_blocks_are_skipped_by_exact_bounds(spark):
     for n, top in zip(held["docs"], held["tops"], strict=True):
         assert max(held["impacts"][at : at + n]) == top
         at += n
+
+
+# --- language paths ---------------------------------------------------------------------------------------------------
+
+
+def test_language_path_of_half_and_half_texts():
+    from seqweave.llm import language
+
+    rng = np.random.default_rng(0)
+    texts, penalty = [], 8.0
+    first = np.tile([0.0, -2.0, -1.0], (7, 1))
+    first[0, 2] = -0.9
+    texts.append(np.vstack([first, np.tile([-2.0, 0.0, -1.0], (7, 1))]))
+    for _ in range(400):
+        n = rng.integers(10, 31)
+        a, b = rng.choice(3, 2, replace=False)
+        s = rng.normal(size=(n, 3)) * 0.4
+        s[: n // 2, a] += rng.uniform(0, 1.5)
+        s[n // 2 :, b] += rng.uniform(0, 1.5)
+        s[:, 3 - a - b] += rng.uniform(0, 1.0)
+        texts.append(s)
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    labels = language.path(np.vstack(texts), begins, sizes, penalty)
+    for s, b, n in zip(texts, begins.tolist(), sizes.tolist(), strict=True):
+        value = s[0].copy()
+        for row in s[1:]:
+            value = np.maximum(value, value.max() - penalty) + row
+        path = labels[b : b + n]
+        assert s[np.arange(n), path].sum() - penalty * (path[1:] != path[:-1]).sum() == pytest.approx(value.max())
