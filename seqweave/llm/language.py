@@ -164,9 +164,11 @@ def train(docs: DataFrame) -> Model:
 def path(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Label of every word: the path of highest score in each text, changes of label costing ``penalty``.
 
-    A text keeps one label when no other label gains more than one penalty over
-    any stretch of words: k changes away then never pay. Only the others go
-    step by step, all texts of the batch at once. Ties stay with the label held.
+    A text keeps its best single label when no other label gains more than one
+    penalty over any stretch of words, and no two more than one together over a
+    beginning and an end. A path of k changes has such a beginning, such an end
+    and k - 1 stretches between, so it can't pay. Only the others go step by step,
+    all texts of the batch at once. Ties stay with the label held.
     """
     labels = np.zeros(len(scores), np.int64)
     if not len(scores) or scores.shape[1] < 2:
@@ -178,9 +180,13 @@ def path(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, penalty: flo
     gain = scores - np.take_along_axis(scores, labels[:, None], 1)
     room = 4.0 * (abs(gain).max() + 1.0) * (sizes.max() + 1)  # lowers each text below all before it
     so_far = np.cumsum(gain, 0)
-    so_far -= (so_far[begins] - gain[begins])[text] + room * text[:, None]
+    so_far -= (so_far[begins] - gain[begins])[text]
+    whole = so_far[begins + sizes - 1]
+    start = np.maximum.reduceat(so_far.max(1), begins)
+    end = np.maximum.reduceat((whole[text] - so_far + gain).max(1), begins)
+    so_far -= room * text[:, None]
     best = np.maximum.reduceat((so_far - np.minimum.accumulate(so_far - gain, 0)).max(1), begins)
-    mixed = np.flatnonzero(best > penalty)
+    mixed = np.flatnonzero((best > penalty) | (np.maximum(start, 0) + np.maximum(end, 0) > penalty))
     if not len(mixed):
         return labels
     mixed = mixed[np.argsort(-sizes[mixed], kind="stable")]
