@@ -251,3 +251,22 @@ def branch_groups(spark, folder):
     """Words on which the second families of a run of columns agree."""
     rows = columns(spark, folder).select(F.col("run").alias("branch"), "locus", _words("second").alias("words"))
     return X.branch_groups(cut_lineage(rows), 0.3).withColumn("words", F.array_join("words", ","))
+
+
+@query(
+    f"""WITH {C.CALLS}, {LINES}, n AS (SELECT locus, line_id, coalesce(lead(line_id) OVER (ORDER BY locus), line_id) AS following FROM lines),
+s AS (SELECT locus AS text_id, 0::BIGINT AS nth, 'It opens' AS text, CASE WHEN locus % 2 = 0 THEN following ELSE line_id END AS cites FROM n
+  UNION ALL SELECT locus, 1, CASE WHEN locus % 4 = 0 THEN 'And on' ELSE 'Then on' END, CASE WHEN locus % 2 = 0 THEN line_id ELSE following END FROM n),
+c AS (SELECT *, regexp_extract(cites, '\\.c(\\d+)$', 1)::BIGINT AS col FROM s)
+SELECT b.text_id, b.nth FROM c a JOIN c b ON b.text_id = a.text_id AND b.nth = a.nth + 1 WHERE regexp_matches(b.text, '(?i)\\b(then|after)\\b') AND b.col < a.col"""
+)
+def order_faults(spark, folder):
+    """Sentences that claim to go on but cite columns before those of the sentence before."""
+    # the columns of one window, in their order
+    known = lines(spark, folder).select("locus", "line_id", F.expr("coalesce(lead(line_id) over (order by locus), line_id) as following"))
+    k = F.col("locus")
+    said = lambda nth, text, cite: F.struct(F.lit(nth).alias("nth"), text.alias("text"), F.array(cite).alias("cites"))
+    first = said(0, F.lit("It opens"), F.when(k % 2 == 0, F.col("following")).otherwise(F.col("line_id")))
+    second = said(1, F.when(k % 4 == 0, "And on").otherwise("Then on"), F.when(k % 2 == 0, F.col("line_id")).otherwise(F.col("following")))
+    cut = known.select(k.alias("text_id"), F.explode(F.array(first, second)).alias("s")).select("text_id", "s.nth", "s.text", "s.cites")
+    return X.backward_order(cut)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqweave.functions import columns as fc
+from seqweave.functions import vocab
 from seqweave.operators import decoder as D
 from seqweave.operators import exports as E
 from seqweave.operators import graph as G
@@ -124,6 +125,22 @@ def classify_parts(spark, folder):
     return table(spark, folder, "part").select("p_partkey", M.classify(text, CLASSES).alias("class"))
 
 
+@query(
+    f"""WITH p AS (SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN p_name || ' family protein' WHEN 'SMALL' THEN 'phage ' || p_name WHEN 'STANDARD' THEN ' '
+  WHEN 'MEDIUM' THEN 'putative protein' ELSE p_name END AS product FROM part)
+SELECT p_partkey, product <> '' AND NOT regexp_matches(trim(product), '{vocab.GENERIC_PRODUCT}') AS specific,
+  regexp_matches(product, '{vocab.MOBILE_PRODUCT}') AS mobile FROM p"""
+)
+def product_flags(spark, folder):
+    """Whether a product says something, and whether it is of a mobile element; products made from the parts' types."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    product = (
+        F.when(kind == "PROMO", F.concat(name, F.lit(" family protein"))).when(kind == "SMALL", F.concat(F.lit("phage "), name))
+        .when(kind == "STANDARD", " ").when(kind == "MEDIUM", "putative protein").otherwise(name)
+    )
+    return table(spark, folder, "part").select("p_partkey", M.is_specific(product).alias("specific"), M.is_mobile(product).alias("mobile"))
+
+
 @query(
     """WITH s AS (SELECT p_partkey AS id, CASE WHEN lower(p_name) = 'red ring' OR lower(p_brand) = 'red ring' THEN 0
   WHEN starts_with(lower(p_name), 'red ring') THEN 1 WHEN contains(lower(p_name), 'red ring') THEN 2 ELSE 9 END AS score FROM part)
