@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import unicodedata
 import zlib
 
@@ -39,6 +40,16 @@ WINDOW, GRAIN, END = 2048, 8, 1
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: Where a word may be cut without changing its ids: before these marks, behind a letter or digit of ASCII. The pattern cuts there
+#: itself, and so do the tokenizer's lower case and NFC not care; with both, far fewer different words are met.
+CUT = re.compile(rb"(?<=[0-9a-z])(?=[.,;:!?])")
+
+
+def folded(text: bytes) -> bytes:
+    """A text with the same ids and fewer different words; one that may hold a special token stays as it is."""
+    return text if b"<|" in text else CUT.sub(b" ", text.lower())
+
+
 def tokenizer_file(path: str | None = None) -> str:
     """Content of a tokenizer's file, read on the driver and sent along (a fixed few MB)."""
     if path is None:
@@ -65,7 +76,7 @@ class Numbered(dict):
 class WordTokens:
     """Ids of the words last met. The tokenizer drops white space, so a text's ids are those of its words in turn."""
 
-    def __init__(self, content: str, limit: int = 300_000):
+    def __init__(self, content: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
@@ -108,7 +119,7 @@ class WordTokens:
         """Ids of all texts, each with the end mark, in one array, and each text's number of ids."""
         if len(self.known) > self.limit:
             self.shrink()
-        words = [[*words_of(t), b""] if t else [b""] for t in texts]
+        words = [[*words_of(folded(t)), b""] if t else [b""] for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         held = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
@@ -129,6 +140,21 @@ class WordTokens:
         return self.ids[where].astype("<u4"), total
 
 
+_HELD: dict[int, WordTokens] = {}
+
+
+def held_tokens(content: str) -> WordTokens:
+    """The tokenizer of this worker with the words it has met, for all tasks that Spark gives it one after the other.
+
+    What it remembers is bounded, and ids don't depend on it, so a new worker only starts anew.
+    """
+    key = hash(content)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = WordTokens(content)
+    return _HELD[key]
+
+
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids).data)
 
@@ -141,7 +167,7 @@ def pieces(docs: DataFrame, content: str, window: int, grain: int) -> DataFrame:
     """Whole windows and remainders of all documents, numbered per task and length class (class 0: whole windows)."""
 
     def work(batches):
-        tokens, block, ranks = WordTokens(content), TaskContext.get().partitionId(), {}
+        tokens, block, ranks = held_tokens(content), TaskContext.get().partitionId(), {}
         for batch in slices(batches, "text", 2 << 20):
             ids, sizes = tokens.of(batch.column("text").to_pylist())
             out, base = [], 0
@@ -342,7 +368,7 @@ def _again(docs: DataFrame, cut: DataFrame, content: str) -> DataFrame:
     met = cut.join(texts, "text_hash").select("doc_id", "start", "size", "doc_tokens", "sequence_id", "offset", "text")
 
     def work(batches):
-        tokens = WordTokens(content)
+        tokens = held_tokens(content)
         for batch in slices(batches, "text", 2 << 20):
             ids, sizes = tokens.of(batch.column("text").to_pylist())
             base = np.cumsum(sizes) - sizes + batch.column("start").to_numpy()
