@@ -54,8 +54,8 @@ def influence_null(profile: DataFrame, controls: DataFrame, most: int = 8, enoug
     chosen = cut_lineage(controls.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= most).select("unit", "control"))
     own = profile.select(F.col("pass").alias("unit"), "bin", F.col("mean_abs").alias("own"))
     theirs = profile.select(F.col("pass").alias("control"), "bin", F.col("mean_abs").alias("v"))
-    listed = chosen.join(theirs, "control").groupBy("unit", "bin").agg(F.array_sort(F.collect_list(F.struct("control", "v"))).alias("c"))
-    rows = own.join(chosen.select("unit").distinct(), "unit", "left_semi").join(listed, ["unit", "bin"], "left")
+    listed = chosen.join(theirs.hint("merge"), "control").groupBy("unit", "bin").agg(F.array_sort(F.collect_list(F.struct("control", "v"))).alias("c"))
+    rows = own.join(chosen.select("unit").distinct().hint("merge"), "unit", "left_semi").join(listed.hint("merge"), ["unit", "bin"], "left")
 
     def score(batches):
         for batch in batches:
@@ -86,7 +86,7 @@ def influence_null(profile: DataFrame, controls: DataFrame, most: int = 8, enoug
     names = ("radius", "contiguous", "beyond", "broad")
     real = bins.where("who is null").drop("who")
     null = bins.where("who is not null").select("unit", *[F.col(n).alias(f"_{n}") for n in names])
-    met = real.join(null, "unit", "left")
+    met = real.join(null.hint("merge"), "unit", "left")
     share = lambda n: (1 + F.count_if(F.col(f"_{n}") >= F.col(n))) / (1 + F.count(f"_{n}"))
     return met.groupBy("unit", *names).agg(F.count("_radius").alias("controls"), *[share(n).alias(f"p_{n}") for n in names])
 

@@ -47,7 +47,7 @@ def off_targets(units: DataFrame, entries: DataFrame, tolerance: float = NARROW[
 def _scored(units: DataFrame, controls: DataFrame, enough: int) -> DataFrame:
     """unit, n_ctrl, z and excess (over the controls' median) of units with ``enough`` controls, whose number a distance window bounds."""
     gathered = controls.groupBy("unit").agg(F.collect_list("c_delta").alias("c")).where(F.size("c") >= enough)
-    rows = units.select("unit", "delta").join(gathered, "unit").withColumn("median", array_median(F.col("c")))
+    rows = units.select("unit", "delta").join(gathered.hint("merge"), "unit").withColumn("median", array_median(F.col("c")))
     mad = array_median(F.transform("c", lambda x: F.abs(x - F.col("median"))))
     return rows.select(
         "unit", F.size("c").alias("n_ctrl"), robust_z(F.col("delta"), F.col("median"), mad).alias("z"),
@@ -64,7 +64,7 @@ def stand_ins(reads: DataFrame, pool: DataFrame, enough: int = 3, log_factor: fl
     """
     controls = cut_lineage(matched_controls(reads, pool, enough, log_factor))
     stand = (
-        controls.select("unit", "control").join(reads.select("unit", "genome", "row"), "unit").join(pool, ["genome", "control"])
+        controls.select("unit", "control").join(reads.select("unit", "genome", "row").hint("merge"), "unit").join(pool.hint("merge"), ["genome", "control"])
         .select(
             F.struct("unit", "control").alias("unit"), "genome", "row", F.col("c_start").alias("start"), F.col("c_end").alias("end"),
             F.col("c_size").alias("size"), (F.col("row") - F.col("c_end")).alias("dist"), F.col("c_delta").alias("delta"),

@@ -29,7 +29,9 @@ def matched_controls(
     c_delta, tier.
 
     Units look controls up by (genome, size octave, position bin), covering the
-    widest tier, so only controls near in both meet a unit.
+    widest tier, so only controls near in both meet a unit. The joins are merges:
+    the compressed size of a written table says little of what a broadcast of it
+    would take on the driver.
     """
     lo, hi, tol = WIDE
     reach = max(1 + tol, log_factor or 0)
@@ -54,7 +56,7 @@ def matched_controls(
         return F.abs(d - F.col("dist")) <= tol * F.col("dist")
 
     met = (
-        wanted.join(offered, ["genome", "_oct", "_bin"])
+        wanted.join(offered.hint("merge"), ["genome", "_oct", "_bin"])
         .where(apart & (F.col("c_end") < F.col("row")))
         .withColumn("t1", tier(*NARROW[:2], around(NARROW[2])))
         .withColumn("t2", tier(lo, hi, around(tol)))
@@ -70,7 +72,7 @@ def matched_controls(
         F.when(F.col("n1") >= enough, 1).when((F.col("n2") >= enough) | F.lit(not log_factor), 2).otherwise(3).alias("tier"),
     )
     keep = F.when(F.col("tier") == 1, F.col("t1")).when(F.col("tier") == 2, F.col("t2")).otherwise(F.col("t3"))
-    return met.join(chosen, "unit").where(keep).select("unit", "control", "c_delta", "tier")
+    return met.join(chosen.hint("merge"), "unit").where(keep).select("unit", "control", "c_delta", "tier")
 
 
 def unit_scores(units: DataFrame, controls: DataFrame, enough: int = 3) -> DataFrame:
@@ -81,7 +83,7 @@ def unit_scores(units: DataFrame, controls: DataFrame, enough: int = 3) -> DataF
     number is bounded by that window and they are gathered as one array.
     """
     gathered = controls.groupBy("unit").agg(F.collect_list("c_delta").alias("c"))
-    scored = units.select("unit", "delta").join(gathered, "unit").withColumn("median", array_median(F.col("c")))
+    scored = units.select("unit", "delta").join(gathered.hint("merge"), "unit").withColumn("median", array_median(F.col("c")))
     mad = array_median(F.transform("c", lambda x: F.abs(x - F.col("median"))))
     place = lambda x: F.when(x < F.col("delta"), 1.0).when(x == F.col("delta"), 0.5).otherwise(0.0)
     n = F.size("c").cast("bigint")
@@ -95,8 +97,8 @@ def stand_in_scores(units: DataFrame, controls: DataFrame, pool: DataFrame, enou
     unit, control, z. The spread of these is the unit's own null."""
     stand = (
         controls.select("unit", "control")
-        .join(units.select("unit", "genome", "row"), "unit")
-        .join(pool, ["genome", "control"])
+        .join(units.select("unit", "genome", "row").hint("merge"), "unit")
+        .join(pool.hint("merge"), ["genome", "control"])
         .select(
             F.struct("unit", "control").alias("unit"),
             "genome",

@@ -51,7 +51,7 @@ def influence_null(spark, folder):
     """Radius and breadth of every deletion, and the share of its controls felt as far beyond the other controls."""
     units, pool = _units(spark, folder)
     matched = M.matched_controls(units, pool, log_factor=4.0).select("unit", "control")
-    ends = units.select("unit", "end").join(matched, "unit").join(pool.select("control", "c_end"), "control")
+    ends = units.select("unit", "end").join(matched.hint("merge"), "unit").join(pool.select("control", "c_end").hint("merge"), "control")
     controls = cut_lineage(ends.select("unit", "control", F.abs(F.col("c_end") - F.col("end")).alias("gap")))
     out = O.influence_null(cut_lineage(_profile(spark, folder)), controls)
     for c in ("broad", "p_radius", "p_contiguous", "p_beyond", "p_broad"):

@@ -142,7 +142,7 @@ def calibrated_units(spark, folder):
     scored = M.unit_scores(units, controls).select("unit", F.col("z").alias("real")).where(F.col("real").isNotNull())
     null = M.stand_in_scores(units, controls, pool)
     high = F.count_if(F.round("z", 9) >= F.round("real", 9))
-    return null.join(scored, "unit").groupBy("unit").agg(
+    return null.join(scored.hint("merge"), "unit").groupBy("unit").agg(
         F.count(F.lit(1)).alias("stand_ins"),
         F.round((1 + high) / (1 + F.count(F.lit(1))), 6).alias("p_cal"),
     )
@@ -162,7 +162,7 @@ def lineage_means(spark, folder):
     units, scores = _scored(spark, folder)
     return cut_lineage(
         scores.where(F.col("z").isNotNull())
-        .join(units.select("unit", "link", "genome"), "unit")
+        .join(units.select("unit", "link", "genome").hint("merge"), "unit")
         .groupBy("link", F.pmod("genome", F.lit(24)).alias("lineage"))
         .agg(F.round(F.avg("z"), 9).alias("x"))
     )
