@@ -203,25 +203,6 @@ def presence_similarity(presence: DataFrame) -> DataFrame:
     )
 
 
-def allele_distance(loci: DataFrame) -> DataFrame:
-    """Share of loci with different alleles among those typed in both genomes: g1, g2, typed, d.
-
-    ``loci``: genome, locus, allele; one allele per genome and locus. A locus
-    without an allele is not typed.
-    """
-    loci = loci.where(F.col("locus").isNotNull() & F.col("allele").isNotNull())
-    typed = pair_products(loci, "genome", "locus").withColumnRenamed("shared", "typed")
-    name, allele = F.col("locus").cast("string"), F.col("allele").cast("string")
-    exact = loci.withColumn("_la", F.concat(F.length(name).cast("string"), F.lit(":"), name, allele))
-    same = pair_products(exact, "genome", "_la").withColumnRenamed("shared", "same")
-    return typed.join(same, ["a", "b"], "left").select(
-        F.col("a").alias("g1"),
-        F.col("b").alias("g2"),
-        "typed",
-        (1 - F.coalesce("same", F.lit(0.0)) / F.col("typed")).alias("d"),
-    )
-
-
 def banded_table(stats: DataFrame, band: Column, threshold: Column, expected: Column) -> DataFrame:
     """Per band: pairs, pairs beyond the null threshold, their share and its ratio to the null."""
     beyond = F.avg((F.abs(F.col("z")) > threshold).cast("double"))

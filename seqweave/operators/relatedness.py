@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions.columns import cmh_terms
+from seqweave.operators.distance import agreement_sums
 from seqweave.operators.tiling import grouped_quantile, value_bounds
 from seqweave.session import cut_lineage
 
@@ -91,10 +92,22 @@ def agreement_cmh(traits: DataFrame, outcomes: DataFrame, binned: DataFrame) ->
         )
 
     rows = pairs.unionByName(spread(traits, "trait")).unionByName(spread(outcomes, "outcome"))
-    sums = rows.groupBy("bi", "bj").applyInPandas(
+    return _signed_z(rows.groupBy("bi", "bj").applyInPandas(
         _tile, "bin bigint, trait string, outcome string, a double, r double, c double, n double"
-    ).groupBy("bin", "trait", "outcome").agg(*[F.sum(x).alias(x) for x in "arcn"])
-    sums = cut_lineage(sums)
+    ))
+
+
+def agreement_by_distance(traits: DataFrame, outcomes: DataFrame, loci: DataFrame, edges: list[float]) -> DataFrame:
+    """``agreement_cmh`` over all pairs of genomes with a locus typed in both, in classes of their allele distance.
+
+    ``loci``: genome, locus, allele; a distance on one of ``edges`` belongs to the class above. The classes are found
+    in the tasks that form the pairs, so no pair is shuffled or written.
+    """
+    return _signed_z(agreement_sums(traits, outcomes, loci, edges))
+
+
+def _signed_z(tiles: DataFrame) -> DataFrame:
+    sums = cut_lineage(tiles.groupBy("bin", "trait", "outcome").agg(*[F.sum(x).alias(x) for x in "arcn"]))
     margins = sums.where(F.col("trait").isNull() & (F.col("n") > 1)).select("bin", "outcome", "c", "n")
     cells = sums.where(F.col("trait").isNotNull()).select("bin", "trait", "outcome", "a", "r")
     over, var = cmh_terms(F.col("a"), F.col("r"), F.col("c"), F.col("n"))
@@ -105,14 +118,14 @@ def agreement_cmh(traits: DataFrame, outcomes: DataFrame, binned: DataFrame) ->
     )
 
 
-def quantile_bins(distance: DataFrame, bins: int) -> DataFrame:
-    """``distance`` with ``bin``: 0 .. bins - 1, between the quantiles of d that cut all pairs into equal shares.
+def quantile_bins(distance: DataFrame, bins: int, weight: str | None = None) -> DataFrame:
+    """``distance`` (a row for one pair, or for ``weight`` pairs) with ``bin``: 0 .. bins - 1, between the quantiles of d that cut all pairs into equal shares.
 
     A distance on a border belongs to the bin above it, the largest one to the last bin. The borders are exact and,
     as many as bins, become literals of the plan.
     """
     bounds = value_bounds(distance, "d")
-    edges = [grouped_quantile(distance, [], "d", i / bins, "e", bounds).first()[0] for i in range(1, bins)]
+    edges = [grouped_quantile(distance, [], "d", i / bins, "e", bounds, weight=weight).first()[0] for i in range(1, bins)]
     above = sum((F.col("d") >= F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
     return distance.withColumn("bin", above)
 

@@ -14,7 +14,7 @@ from seqweave.operators import regions as R
 from seqweave.operators import relatedness as B
 from seqweave.operators import stats as X
 from seqweave.operators import tiling as T
-from seqweave.operators.association import allele_distance
+from seqweave.operators.distance import distance_counts
 from seqweave.plans import corpus as C
 from seqweave.plans.association_queries import LOCI, SITES, _lo, loci, sites
 from seqweave.plans.knockout_queries import LINKS, RUNS, elements, lineage_means
@@ -57,8 +57,8 @@ SELECT (d >= e[1])::BIGINT + (d >= e[2])::BIGINT + (d >= e[3])::BIGINT AS bin, c
 )
 def distance_classes(spark, folder):
     """Pairs of genomes in four classes of distance that hold equal shares of them."""
-    bins = B.quantile_bins(cut_lineage(allele_distance(loci(C.genes(spark, folder)))), 4)
-    return bins.groupBy("bin").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min("d"), 6).alias("low"), F.round(F.max("d"), 6).alias("high"))
+    bins = B.quantile_bins(cut_lineage(distance_counts(loci(C.genes(spark, folder)))), 4, weight="n")
+    return bins.groupBy("bin").agg(F.sum("n").alias("pairs"), F.round(F.min("d"), 6).alias("low"), F.round(F.max("d"), 6).alias("high"))
 
 
 TARGETS = [(k + 0.5) / 8 for k in range(8)]

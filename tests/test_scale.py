@@ -20,3 +20,80 @@ def test_controls_are_matched_without_broadcasts(spark):
     assert controls.count() > 0
     for found in (controls, M.unit_scores(units, controls)):
         assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+
+
+def _loci(spark, seed=4, genomes=40):
+    import random
+
+    rnd = random.Random(seed)
+    rows = [(g, f"l{i}", rnd.randrange(4)) for g in range(genomes) for i in range(9) if rnd.random() < 0.4]
+    return rows, spark.createDataFrame(rows, "genome bigint, locus string, allele bigint")
+
+
+def _distances(rows):
+    import itertools
+
+    held = {}
+    for g, name, allele in rows:
+        held.setdefault(g, {})[name] = allele
+    out = {}
+    for a, b in itertools.combinations(sorted(held), 2):
+        both = held[a].keys() & held[b].keys()
+        if both:
+            out[a, b] = (len(both), 1 - sum(held[a][n] == held[b][n] for n in both) / len(both))
+    return out
+
+
+def test_distances_leave_their_tasks_folded(spark, monkeypatch):
+    from seqweave.operators import distance as D
+    from seqweave.operators import relatedness as R
+
+    rows, loci = _loci(spark)
+    want = _distances(rows)
+    for name, size in (("GENOMES_PER_BLOCK", 8), ("SLICE", 3), ("BANK_GENOMES", 11)):
+        monkeypatch.setattr(D, name, size)
+    assert {(r.g1, r.g2): (r.typed, r.d) for r in D.allele_distance(loci).collect()} == want
+    counts = D.distance_counts(loci)
+    assert counts.groupBy().sum("n").first()[0] == len(want)
+    assert counts.count() == len({d for _, d in want.values()})
+    pairs = spark.createDataFrame([(a, b, d) for (a, b), (_, d) in want.items()], "g1 bigint, g2 bigint, d double")
+    shares = lambda df, n: {tuple(r) for r in df.groupBy("bin").agg({n: "sum"} if n == "n" else {"bin": "count"}).collect()}
+    assert shares(R.quantile_bins(counts, 4, weight="n"), "n") == shares(R.quantile_bins(pairs, 4), "bin")
+
+
+def test_agreement_by_distance_is_that_of_the_pairs(spark, monkeypatch):
+    import random
+
+    from seqweave.operators import distance as D
+    from seqweave.operators import relatedness as R
+
+    rows, loci = _loci(spark, 5)
+    rnd = random.Random(6)
+    long = lambda names, values: spark.createDataFrame(
+        [(g, n, rnd.choice(values)) for g in range(40) for n in names if rnd.random() < 0.7], "genome bigint, name string, value string").cache()
+    traits, outcomes = long("pqr", "ab"), long("mn", "xyz")
+    binned = [(a, b, (d >= 0.5) + (d >= 0.75)) for (a, b), (_, d) in _distances(rows).items()]
+    plain = R.agreement_cmh(traits, outcomes, spark.createDataFrame(binned, "g1 bigint, g2 bigint, bin int"))
+    monkeypatch.setattr(D, "GENOMES_PER_BLOCK", 7)
+    got = R.agreement_by_distance(traits, outcomes, loci, [0.5, 0.75])
+    table = lambda df: {(r.trait, r.outcome): r.z for r in df.collect()}
+    assert table(got) == table(plain) and len(table(got)) == 6
+
+
+def test_nearest_by_alleles_merges_parts(spark, monkeypatch):
+    from seqweave.operators import distance as D
+
+    rows, loci = _loci(spark, 8)
+    dist = _distances(rows)
+    members = [(f, g) for f, every in (("x", 1), ("y", 3)) for g in range(40) if g % every == 0]
+    for name, size in (("GENOMES_PER_BLOCK", 12), ("SLICE", 4), ("BANK_GENOMES", 6)):
+        monkeypatch.setattr(D, name, size)
+    got = {}
+    for r in D.nearest_by_alleles(spark.createDataFrame(members, "fork string, genome bigint"), "fork", loci, 4).collect():
+        got.setdefault((r.fork, r.genome), set()).add(r.other)
+    want = {}
+    for f, g in members:
+        near = sorted((dist[min(g, o), max(g, o)][1], o) for ff, o in members if ff == f and (min(g, o), max(g, o)) in dist)[:4]
+        if near:
+            want[f, g] = {o for _, o in near}
+    assert got == want
