@@ -4,7 +4,7 @@ Rows (item, feature, values) are cut into blocks of items and chunks of features
 Spark ships each block pair of a chunk to one task, which multiplies two small
 matrices and returns only summed pairs. Pairs are never emitted per shared
 feature, and no task holds more than two blocks of one chunk, however many rows a
-group or a feature has.
+group or a feature has. A block paired with itself is shipped once.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ITEMS_PER_BLOCK = 1024
-ROWS_PER_CHUNK = 500_000
+#: Rows of one block that a task holds, about.
+ROWS_PER_CHUNK = 150_000
 
 
 def _product(values: Sequence[str], by: Sequence[str], symmetric: bool, slice_width: int = 4096):
     values, by = list(values), list(by)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["_side"] == 0], group[group["_side"] == 1]
+        same_block = symmetric and group["_bi"].iloc[0] == group["_bj"].iloc[0]
+        left, right = (group, group) if same_block else (group[group["_side"] == 0], group[group["_side"] == 1])
         items_a, code_a = np.unique(left["item"].to_numpy(), return_inverse=True)
         items_b, code_b = np.unique(right["item"].to_numpy(), return_inverse=True)
         shared, inverse = np.unique(
@@ -45,10 +47,8 @@ def _product(values: Sequence[str], by: Sequence[str], symmetric: bool, slice_wi
         keep = np.zeros((len(items_a), len(items_b)), bool)
         for s in sums:
             keep |= s != 0
-        if symmetric:
-            same_block = group["_bi"].iloc[0] == group["_bj"].iloc[0]
-            if same_block:
-                keep &= items_a[:, None] < items_b[None, :]
+        if same_block:
+            keep &= items_a[:, None] < items_b[None, :]
         i, j = np.nonzero(keep)
         a, b = items_a[i], items_b[j]
         if symmetric:
@@ -89,7 +89,7 @@ def pair_products(
     b = a if symmetric else shaped(right)
     size = a.agg(F.approx_count_distinct("item").alias("i"), F.count(F.lit(1)).alias("n")).first()
     blocks = max(1, -(-int(size["i"] or 0) // ITEMS_PER_BLOCK))
-    chunks = max(1, -(-int(size["n"] or 0) // ROWS_PER_CHUNK))
+    chunks = max(1, -(-int(size["n"] or 0) // (ROWS_PER_CHUNK * blocks)))
     block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
     all_blocks = F.array(*[F.lit(i) for i in range(blocks)])
 
@@ -98,7 +98,7 @@ def pair_products(
         tagged = df.withColumn(mine, block).withColumn("_side", F.lit(side))
         tagged = tagged.withColumn(other, F.explode(all_blocks))
         if symmetric:
-            tagged = tagged.where(F.col("_bi") <= F.col("_bj"))
+            tagged = tagged.where(F.col("_bi") <= F.col("_bj") if side == 0 else F.col("_bi") < F.col("_bj"))
         return tagged
 
     rows = spread(a, 0).unionByName(spread(b, 1)).withColumn(

@@ -97,3 +97,18 @@ def test_nearest_by_alleles_merges_parts(spark, monkeypatch):
         if near:
             want[f, g] = {o for _, o in near}
     assert got == want
+
+
+def test_a_block_with_itself_is_shipped_once(spark, monkeypatch):
+    import pandas as pd
+
+    from seqweave.operators import pairs as P
+
+    def told(values, by, symmetric):
+        return lambda group: pd.DataFrame({"a": [int(group["_chunk"].iloc[0])], "b": [0], "shared": [float(len(group))]})
+
+    rows = [(i, f) for i in range(5) for f in range(400)]
+    monkeypatch.setattr(P, "_product", told)
+    monkeypatch.setattr(P, "ROWS_PER_CHUNK", 500)
+    sizes = [r.shared for r in P.pair_products(spark.createDataFrame(rows, "item bigint, feature bigint"), "item", "feature").collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 2 * 500
