@@ -20,7 +20,7 @@ def average_ranks(values: DataFrame, units: int) -> DataFrame:
     rank = absent + F.col("below") + (F.col("n") + 1) / 2
     zero = (absent + 1) / 2
     above = ranked.select("item", "value", F.when(absent > 0, rank - zero).otherwise(rank).alias("rank"))
-    return values.join(above, ["item", "value"])
+    return values.join(above.hint("merge"), ["item", "value"])
 
 
 def rank_correlation(values: DataFrame, units: int) -> DataFrame:

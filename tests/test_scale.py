@@ -112,3 +112,11 @@ def test_a_block_with_itself_is_shipped_once(spark, monkeypatch):
     monkeypatch.setattr(P, "ROWS_PER_CHUNK", 500)
     sizes = [r.shared for r in P.pair_products(spark.createDataFrame(rows, "item bigint, feature bigint"), "item", "feature").collect()]
     assert sum(sizes) == len(rows) and max(sizes) < 2 * 500
+
+
+def test_ranks_are_joined_without_a_broadcast(spark):
+    from seqweave.operators import correlation as K
+
+    values = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 1.0), ("b", 1, 1.0)], "item string, unit bigint, value double")
+    top = plan(K.average_ranks(values, 3)).split("Join", 1)[0]
+    assert "SortMerge" in top and "Broadcast" not in top
