@@ -101,15 +101,18 @@ def agreement_by_distance(traits: DataFrame, outcomes: DataFrame, loci: DataFram
     """``agreement_cmh`` over all pairs of genomes with a locus typed in both, in classes of their allele distance.
 
     ``loci``: genome, locus, allele; a distance on one of ``edges`` belongs to the class above. The classes are found
-    in the tasks that form the pairs, so no pair is shuffled or written.
+    in the tasks that form the pairs, so no pair is shuffled or written. Traits of genomes without pairs agree nowhere.
     """
-    return _signed_z(agreement_sums(traits, outcomes, loci, edges))
+    return _signed_z(agreement_sums(traits, outcomes, loci, edges), traits.select(F.col("name").alias("trait")).distinct())
 
 
-def _signed_z(tiles: DataFrame) -> DataFrame:
+def _signed_z(tiles: DataFrame, names: DataFrame | None = None) -> DataFrame:
     sums = cut_lineage(tiles.groupBy("bin", "trait", "outcome").agg(*[F.sum(x).alias(x) for x in "arcn"]))
     margins = sums.where(F.col("trait").isNull() & (F.col("n") > 1)).select("bin", "outcome", "c", "n")
     cells = sums.where(F.col("trait").isNotNull()).select("bin", "trait", "outcome", "a", "r")
+    if names is not None:
+        every = margins.select("bin", "outcome").crossJoin(names)
+        cells = every.join(cells, ["bin", "trait", "outcome"], "left").fillna(0.0, ["a", "r"])
     over, var = cmh_terms(F.col("a"), F.col("r"), F.col("c"), F.col("n"))
     return (
         cells.join(margins, ["bin", "outcome"])

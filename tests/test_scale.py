@@ -120,3 +120,14 @@ def test_ranks_are_joined_without_a_broadcast(spark):
     values = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 1.0), ("b", 1, 1.0)], "item string, unit bigint, value double")
     top = plan(K.average_ranks(values, 3)).split("Join", 1)[0]
     assert "SortMerge" in top and "Broadcast" not in top
+
+
+def test_traits_without_pairs_keep_their_row(spark):
+    from seqweave.operators import relatedness as R
+
+    loci = spark.createDataFrame([(g, "l", g % 2) for g in range(6)], "genome bigint, locus string, allele bigint")
+    long = lambda rows: spark.createDataFrame(rows, "genome bigint, name string, value string")
+    traits = long([(g, "p", str(g % 2)) for g in range(6)] + [(99, "q", "1")])
+    outcomes = long([(g, "m", str(g % 3)) for g in range(6)])
+    got = {r.trait: r.z for r in R.agreement_by_distance(traits, outcomes, loci, [0.5]).collect()}
+    assert got.keys() == {"p", "q"} and got["q"] == 0
