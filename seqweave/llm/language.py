@@ -11,9 +11,11 @@ highest total score, each change of language costing ``PENALTY``.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from seqweave.session import cut_lineage
 
 #: Hashed trigrams of a language, in pieces; most languages that a model may have.
 BUCKETS, PIECES, LANGUAGES = 1 << 16, 16, 256
+#: Bytes of text that a task labels at once, different words whose counts it holds, and words it takes apart at once.
+TAKEN, HELD, WORDS = 1 << 20, 300_000, 32_768
 #: Added to each count; lowest score of a word; price of a change of language.
 ALPHA, FLOOR, PENALTY = 0.1, -4.0, 8.0
 #: Share of a language's letters that a script needs for the language to be a candidate of its words.
@@ -86,6 +90,9 @@ class Model:
 
     def scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (0 at best, ``FLOOR`` at worst) of the words for each language, and their numbers of letters."""
+        if len(words) > WORDS:
+            parts = [self.scores(words[at : at + WORDS]) for at in range(0, len(words), WORDS)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         where, bucket, sizes, script = features(letters_of(words))
         out = np.zeros((len(words), len(self.languages)))
         for k in range(len(self.languages)):
@@ -109,24 +116,33 @@ def train(docs: DataFrame) -> Model:
         scripts: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
 
-        def settle(lang):
-            seen = words.pop(lang)
-            where, bucket, sizes, script = features(letters_of(list(seen)))
-            times = np.fromiter(seen.values(), np.int64, len(seen))
-            table = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            table += np.bincount(bucket, times[where], minlength=BUCKETS).astype(np.int64)
-            table = scripts.setdefault(lang, np.zeros(BUCKETS // PIECES, np.int64))
-            known = script >= 0
-            table += np.bincount(script[known], (times * sizes)[known], minlength=len(table)).astype(np.int64)
-
-        for batch in slices(batches, "text"):
+        def settle():
+            for lang, seen in words.items():
+                each = iter(seen.items())
+                while some := list(islice(each, WORDS)):
+                    where, bucket, sizes, script = features(letters_of([w for w, _ in some]))
+                    times = np.array([n for _, n in some], np.int64)
+                    table = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    table += np.bincount(bucket, times[where], minlength=BUCKETS).astype(np.int64)
+                    table = scripts.setdefault(lang, np.zeros(BUCKETS // PIECES, np.int64))
+                    known = script >= 0
+                    table += np.bincount(script[known], (times * sizes)[known], minlength=len(table)).astype(np.int64)
+                if not seen:  # a language whose texts have no words is known all the same
+                    counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    scripts.setdefault(lang, np.zeros(BUCKETS // PIECES, np.int64))
+            words.clear()
+
+        held = 0
+        for batch in slices(batches, "text", TAKEN):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = words.setdefault(lang, Counter())
+                held -= len(seen)
                 seen.update(words_of(text))
-                if len(seen) > 200_000:
-                    settle(lang)
-        for lang in list(words):
-            settle(lang)
+                held += len(seen)
+                if held > HELD:
+                    settle()
+                    held = 0
+        settle()
         for lang, table in counts.items():
             parts = [*np.split(table, PIECES), scripts[lang]]
             yield pa.RecordBatch.from_pydict({
@@ -215,6 +231,7 @@ def path(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, penalty: flo
 def predict(docs: DataFrame, model: Model, spans: bool = False, penalty: float = PENALTY) -> DataFrame:
     """``docs`` columns but the binary ``text``, with lang_pred, score and (on request) spans.
 
+    Without a column ``text`` it is read from the struct ``row``, so that it travels once and comes back in its row.
     lang_pred is the language of most letters on the path, ties to the smaller name, and score its share of the
     letters; ``und`` with score 0 for null text and text without letters. spans: first and last word and language.
     """
@@ -222,12 +239,21 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, penalty: float =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.candidates))
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
+    apart = "text" in docs.columns
+
+    def with_text(batches):
+        for batch in batches:
+            if apart:
+                yield batch
+            else:
+                text = pc.struct_field(batch.column("row"), "text").cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
 
     def work(batches):
         mine = Model(*shared.value)
         known: dict[bytes, int] = {}
         table, letters = np.zeros((0, len(mine.languages))), np.zeros(0, np.int64)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(with_text(batches), "text", TAKEN):
             texts = [words_of(t) if t else [] for t in batch.column("text").to_pylist()]
             if len(known) > 400_000:
                 known, table, letters = {}, table[:0], letters[:0]
@@ -266,7 +292,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, penalty: float =
 
     form = f"{kinds}{', ' if kinds else ''}lang_pred string, score double"
     form += ", spans array<struct<first: bigint, last: bigint, lang: string>>" if spans else ""
-    return docs.select(*names, "text").mapInArrow(work, form)
+    return docs.select(*names, *["text"] * apart).mapInArrow(work, form)
 
 
 def held_out(doc_id):
@@ -293,6 +319,5 @@ def kept_rows(docs: DataFrame, least: float = 0.5, penalty: float = PENALTY) ->
     """Rows of ``docs`` with a language that holds at least ``least`` of the letters, columns as they are."""
     text = F.col("text").cast("binary")
     model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(text.alias("text"), "lang"))
-    kept = docs.select(whole_row(docs), text.alias("text"))
-    told = predict(kept, model, penalty=penalty)
+    told = predict(docs.select(whole_row(docs)), model, penalty=penalty)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

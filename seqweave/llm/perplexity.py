@@ -37,6 +37,9 @@ STEP = 0.001
 #: Bytes of average cross-entropy that each text is given beforehand, so that a few words decide little.
 PRIOR = 100
 
+#: Bytes of text that a task counts or scores at once; each byte takes some 60 bytes of arrays for a while.
+TAKEN = 1 << 20
+
 COUNTS = pa.schema([("key", pa.int64()), ("half", pa.int64()), ("c", pa.int64())])
 
 #: Address bits of the table that tells which documents may be labelled: 2^23 bits are 1 MB at every size.
@@ -66,7 +69,7 @@ def ngram_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 
     def work(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", TAKEN):
             for half in (0, 1) if halved else (0,):
                 told = batch.column("half").to_pylist() if halved else [0] * batch.num_rows
                 found = [t for t, h in zip(batch.column("text").to_pylist(), told, strict=True) if t and h == half]
@@ -260,7 +263,7 @@ def surprise(docs: DataFrame, model: Model, most: int = SHARD) -> DataFrame:
                     each[here] = -np.log2(lookup.probability(keys[here], order, m))
                 return np.add.reduceat(each, begins)
 
-            for batch in slices(batches, "text", 2 << 20):
+            for batch in slices(batches, "text", TAKEN):
                 given = batch.column("text").to_pylist()
                 half = batch.column("half").to_pylist() if halved else [None] * len(given)
                 bits, other = np.zeros(len(given)), np.zeros(len(given))
