@@ -57,26 +57,30 @@ def decode(calls: DataFrame, half_decoder: DataFrame) -> DataFrame:
     genome, pos, half, best (family of the highest summed probability), hit and
     p_true (what the reading gives the family actually there; 0 = unread).
 
-    Calls with the same list are read once: the list is the join key back, so a
-    frequent context costs one row, not one per gene.
+    Calls with the same list are read once: two 64-bit hashes of the list are the
+    join key back, so a frequent context costs one row, not one per gene, and no
+    row of a cluster or a family carries the list.
     """
-    distinct = calls.select("half", "top").distinct()
+    key = ["half", "_a", "_b"]
+    keyed = calls.withColumns({"_a": F.xxhash64("top"), "_b": F.xxhash64(F.lit(1), "top")})
     other = half_decoder.select(
         (1 - F.col("half")).alias("half"), "cluster", F.col("family").alias("read"), "weight"
     )
     scores = (
-        call_rows(distinct, "half", "top")
+        call_rows(keyed.select(*key, "top").distinct(), *key)
         .join(other, ["half", "cluster"])
-        .groupBy("half", "top", "read")
+        .groupBy(*key, "read")
         .agg(F.sum(F.col("p") * F.col("weight")).alias("score"))
     )
     # a list reads as at most the families of its few clusters, so they fit one row
-    read = scores.groupBy("half", "top").agg(
+    read = scores.groupBy(*key).agg(
         F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("read").alias("f")))["f"].alias("best"),
         F.map_from_entries(F.collect_list(F.struct("read", "score"))).alias("_reads"),
     )
+    rest = [c for c in calls.columns if c not in ("half", "top")]
     return (
-        calls.join(read, ["half", "top"], "left")
+        keyed.join(read, key, "left")
+        .select("half", "top", *rest, "best", "_reads")
         .withColumn("p_read", F.element_at("_reads", F.col("family")))
         .drop("_reads")
         .withColumn("hit", F.coalesce(F.col("best") == F.col("family"), F.lit(False)))
