@@ -75,13 +75,15 @@ def stand_ins(reads: DataFrame, pool: DataFrame, enough: int = 3, log_factor: fl
     return _scored(reads, controls, enough), own.select("unit.unit", "unit.control", "z", "excess")
 
 
-def beside(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
+def beside(scores: DataFrame, keys: list[str], value: str, **more: str) -> DataFrame:
     """keys, ``on`` (value at the unit's own row) and ``off`` (mean at the other rows, null without one).
 
-    ``scores``: keys, own (whether the read is at the unit's own row) and value.
+    ``scores``: keys, own (whether the read is at the unit's own row) and value. ``more``: further values by what
+    stands before the names of their two columns, taken in the same pass.
     """
-    pick = lambda own: F.avg(F.when(F.col("own") == F.lit(own), F.col(value)))
-    return scores.groupBy(*keys).agg(pick(True).alias("on"), pick(False).alias("off"))
+    pick = lambda own, v: F.avg(F.when(F.col("own") == F.lit(own), F.col(v)))
+    values = {"": value, **more}
+    return scores.groupBy(*keys).agg(*[pick(own, v).alias(p + name) for p, v in values.items() for own, name in ((True, "on"), (False, "off"))])
 
 
 def steps(value: Column) -> Column:

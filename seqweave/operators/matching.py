@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.operators.sequence import containing_interval
@@ -66,13 +66,10 @@ def matched_controls(
         met = met.withColumn("t3", tier(lo, hi, near))
     else:
         met = met.withColumn("t3", F.col("t2"))
-    counts = met.groupBy("unit").agg(F.count_if("t1").alias("n1"), F.count_if("t2").alias("n2"))
-    chosen = counts.select(
-        "unit",
-        F.when(F.col("n1") >= enough, 1).when((F.col("n2") >= enough) | F.lit(not log_factor), 2).otherwise(3).alias("tier"),
-    )
+    held = lambda t: F.count(F.when(F.col(t), 1)).over(Window.partitionBy("unit"))  # a unit's window bounds its rows
+    tiers = F.when(held("t1") >= enough, 1).when((held("t2") >= enough) | F.lit(not log_factor), 2).otherwise(3)
     keep = F.when(F.col("tier") == 1, F.col("t1")).when(F.col("tier") == 2, F.col("t2")).otherwise(F.col("t3"))
-    return met.join(chosen.hint("merge"), "unit").where(keep).select("unit", "control", "c_delta", "tier")
+    return met.withColumn("tier", tiers).where(keep).select("unit", "control", "c_delta", "tier")
 
 
 def unit_scores(units: DataFrame, controls: DataFrame, enough: int = 3) -> DataFrame:

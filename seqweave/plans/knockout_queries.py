@@ -62,10 +62,10 @@ sc AS (SELECT ct.unit, any_value(n) AS n_ctrl,
   FROM ct JOIN md USING (unit) GROUP BY 1)"""
 
 
-def elements(spark, folder):
+def elements(spark, folder, genes=None):
     """genome, start, end, size, delta and the class of the first gene, one row per plastic run."""
     rows = T.islands(
-        C.genes(spark, folder),
+        C.genes(spark, folder) if genes is None else genes,
         ["genome"],
         lambda w: ~(F.col("in_rgp") & F.coalesce(F.lag("in_rgp").over(w), F.lit(False))),
         "run",

@@ -37,11 +37,16 @@ def query(sql: str | None = None):
 # --- units, their reads and what each test takes from them ----------------------------------------------------------
 
 
-def _units(spark, folder):
-    found = cut_lineage(elements(spark, folder).withColumn("unit", F.col("genome") * POSITIONS + F.col("start")))
+def _genes(spark, folder):
+    """The genes as these queries read them, numbered and written once."""
+    return cut_lineage(C.genes(spark, folder).select("genome", "pos", "name", "value", "in_rgp"))
+
+
+def _units(spark, folder, genes):
+    found = cut_lineage(elements(spark, folder, genes).withColumn("unit", F.col("genome") * POSITIONS + F.col("start")))
     link = F.concat_ws("#", "link", F.least("size", F.lit(3)).cast("string"))
     units = found.withColumns({"name": F.col("link"), "link": link})
-    rows = C.genes(spark, folder).select("genome", "name", "pos").withColumn("_bin", F.floor(F.col("pos") / FAR))
+    rows = genes.select("genome", "name", "pos").withColumn("_bin", F.floor(F.col("pos") / FAR))
     bins = F.explode(F.sequence(F.floor((F.col("end") + NEAR) / FAR), F.floor((F.col("end") + FAR) / FAR)))
     met = units.select("genome", "name", "unit", "end").withColumn("_bin", bins).join(rows, ["genome", "name", "_bin"])
     met = met.where(F.col("pos").between(F.col("end") + NEAR, F.col("end") + FAR)).groupBy("unit").agg(F.min("pos").alias("row"))
@@ -55,11 +60,12 @@ def _units(spark, folder):
 
 def tested(spark, folder):
     """link, lineage, unit and for the tests effect, spec and raw the unit's value and its stand-ins' values."""
-    found, units, pool = _units(spark, folder)
+    genes = _genes(spark, folder)
+    found, units, pool = _units(spark, folder, genes)
     off = L.off_targets(units, found.select("genome", F.col("start").alias("entry")))
     reads = units.select("genome", "unit", F.col("row").alias("at"), F.lit(True).alias("own")).unionByName(
         off.select("genome", "unit", F.col("entry").alias("at"), F.lit(False).alias("own")))
-    values = C.genes(spark, folder).select("genome", F.col("pos").alias("at"), F.col("value").alias("v"), F.col("name").alias("there"))
+    values = genes.select("genome", F.col("pos").alias("at"), F.col("value").alias("v"), F.col("name").alias("there"))
     reads = reads.join(values, ["genome", "at"]).join(units.select("unit", "start", "end", "size", "delta", "name"), "unit")
     more = F.when(F.col("there") != F.col("name"), 0.0).when(F.col("name") == "view", -OWN).otherwise(OWN)
     reads = reads.withColumn("delta", F.col("delta") + more)
@@ -70,9 +76,7 @@ def tested(spark, folder):
     told, scale = reads.select("unit", "own", "v", "delta"), 1 + F.col("v") / 2000
     scores = scores.join(told, "unit").select("unit.unit", "own", "z", (F.col("delta") * scale).alias("raw"))
     stand = stand.join(told, "unit").select("unit.unit", "control", "own", "z", (F.col("excess") * scale).alias("raw"))
-    both = lambda df, keys: L.beside(df, keys, "z").join(
-        L.beside(df, keys, "raw").select(*keys, F.col("on").alias("r_on"), F.col("off").alias("r_off")), keys
-    ).where(F.col("on").isNotNull()).select(
+    both = lambda df, keys: L.beside(df, keys, "z", r_="raw").where(F.col("on").isNotNull()).select(
         *keys, L.steps(F.col("on")).alias("effect"), L.steps(F.col("on") - F.col("off")).alias("spec"),
         L.steps(F.col("r_on") - F.col("r_off")).alias("raw"))
     mine = both(scores, ["unit"])
@@ -234,12 +238,13 @@ SELECT pass, dist, round(delta - med + 1e-9, 6) AS excess, round((delta - med) /
 )
 def specificity(spark, folder):
     """Each run entered within 60 genes behind a deletion against the others entered at a comparable distance."""
-    found = _units(spark, folder)[0]
+    genes = _genes(spark, folder)
+    found = _units(spark, folder, genes)[0]
     entries = found.select("genome", F.col("start").alias("entry"))
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / 64), F.floor(high / 64)))
     wanted = found.select("genome", "unit", "end", "delta").withColumn("_bin", bins(F.col("end") + 1, F.col("end") + 60))
     met = wanted.join(entries.withColumn("_bin", F.floor(F.col("entry") / 64)), ["genome", "_bin"]).where(F.col("entry").between(F.col("end") + 1, F.col("end") + 60))
-    values = C.genes(spark, folder).select("genome", F.col("pos").alias("entry"), "value")
+    values = genes.select("genome", F.col("pos").alias("entry"), "value")
     reads = met.join(values, ["genome", "entry"]).select(
         F.col("unit").alias("pass"), (F.col("entry") - F.col("end")).alias("dist"), (F.col("delta") * F.col("value") / 100).alias("delta"))
     out = L.specificity(cut_lineage(reads), 60)
