@@ -25,6 +25,13 @@ def whole_row(df: DataFrame):
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
 
 
+def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the text of their struct ``row`` as a binary column ``text``, so that it travels once."""
+    for batch in batches:
+        text = pc.struct_field(batch.column("row"), "text").cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words of UTF-8 text; ``bytes.split`` separates at exactly the six ASCII white-space characters."""
     return text.split()

@@ -15,11 +15,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import slices, whole_row, words_of
+from seqweave.llm.common import slices, whole_row, with_text, words_of
 from seqweave.session import cut_lineage
 
 #: Hashed trigrams of a language, in pieces; most languages that a model may have.
@@ -241,19 +240,11 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, penalty: float =
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
     apart = "text" in docs.columns
 
-    def with_text(batches):
-        for batch in batches:
-            if apart:
-                yield batch
-            else:
-                text = pc.struct_field(batch.column("row"), "text").cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
-
     def work(batches):
         mine = Model(*shared.value)
         known: dict[bytes, int] = {}
         table, letters = np.zeros((0, len(mine.languages))), np.zeros(0, np.int64)
-        for batch in slices(with_text(batches), "text", TAKEN):
+        for batch in slices(batches if apart else with_text(batches), "text", TAKEN):
             texts = [words_of(t) if t else [] for t in batch.column("text").to_pylist()]
             if len(known) > 400_000:
                 known, table, letters = {}, table[:0], letters[:0]

@@ -46,6 +46,7 @@ from seqweave.llm.common import (
     signed,
     slices,
     whole_row,
+    with_text,
 )
 from seqweave.session import cut_lineage
 
@@ -61,6 +62,9 @@ RUN = 20_000
 PAIRINGS, ORDERS = 2, 2
 #: Nodes and shingles that a side of a tile holds, about; shingles of a slice of its product.
 SIDE, WEIGHT, SLICE = 512, 400_000, 2048
+#: Bytes of text that a task cuts into shingles at once (each takes some 40 bytes of arrays for a while), of compressed
+#: texts whose pairs it verifies at once, and rows of a tile that it turns into Python's own at once.
+TAKEN, PRESSED, ROWS = 1 << 20, 1 << 18, 512
 
 NODES = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int32()),
                    ("piece", pa.int32()), ("counts", pa.binary())])
@@ -88,7 +92,7 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
     def work(batches):
         table, seen = np.zeros(BUCKETS, np.int64), set()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TAKEN):
             values, sizes = shingle_sets(batch.column("text").to_pylist(), width)
             nodes, checks = nodes_of(values, sizes)
             fresh = np.array([n not in seen and not seen.add(n) for n in nodes.tolist()], bool)
@@ -163,7 +167,7 @@ def postings(docs: DataFrame, frequency: np.ndarray, width: int, percent: int) -
 
     def work(batches):
         seen, counts = set(), shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TAKEN):
             values, sizes = shingle_sets(batch.column(0).to_pylist(), width)
             nodes = nodes_of(values, sizes)[0].tolist()
             tokens, ways, needs, owners, lengths, totals = [], [], [], [], [], []
@@ -287,7 +291,7 @@ def texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def work(batches):
         seen, press = set(), zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TAKEN):
             given = batch.column(0).to_pylist()
             values, sizes = shingle_sets(given, width)
             nodes, out = [], []
@@ -306,7 +310,7 @@ def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Dat
 
     def work(batches):
         open_ = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "ta", 1 << 20):
+        for batch in slices(batches, "ta", PRESSED):
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             given = dict(zip(a, ta, strict=True)) | dict(zip(b, tb, strict=True))
             values, sizes = shingle_sets([open_.decompress(t) for t in given.values()], width)
@@ -408,11 +412,12 @@ def each_tile(batches, work):
         return work(left, right) if left and right and len(rows) > 1 else []
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:4] != tile:
-                yield told()
-                rows, tile = [], row[:4]
-            rows.append(row)
+        for start in range(0, batch.num_rows, ROWS):
+            for row in zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns), strict=True):
+                if row[:4] != tile:
+                    yield told()
+                    rows, tile = [], row[:4]
+                rows.append(row)
     yield told()
 
 
@@ -571,12 +576,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     kept = rows.where("component is not null").groupBy("component").agg(F.min(place).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node"))
-    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("bigint").alias("id"),
-                        F.col("text").cast("binary").alias("text"))
+    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("bigint").alias("id"))
     form = T.StructType([keyed.schema["row"], keyed.schema["id"], T.StructField("node", T.LongType())])
 
     def work(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(with_text(batches), "text", TAKEN):
             values, sizes = shingle_sets(batch.column("text").to_pylist(), width)
             nodes = pa.array(nodes_of(values, sizes)[0], mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), nodes], names=["row", "id", "node"])

@@ -201,12 +201,19 @@ def shards(model: Model, most: int = SHARD):
             number, used = number + 1, 0
         shard[pair], used = number, used + held[pair]
     names = [c for c in model.entries.columns if c.startswith("v")]
+
+    def tables(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy()
+        out = {int(n): (key[kind == n], np.empty((len(names), int((kind == n).sum())))) for n in np.unique(kind)}
+        for m, c in enumerate(names):  # one column at a time; null is NaN
+            column = rows.column(c).to_numpy()
+            for n, (_, values) in out.items():
+                values[m] = column[kind == n]
+        return out
+
     for k in range(number + 1):
         pairs = np.flatnonzero(shard == k)
-        rows = model.entries.where(F.col("pair").between(int(pairs[0]), int(pairs[-1]))).drop("pair").toArrow()
-        kind, key = rows.column("kind").to_numpy(), rows.column("key").to_numpy()
-        values = np.stack([rows.column(c).to_numpy().astype(float) for c in names])  # null is NaN
-        yield shard == k, {int(n): (key[kind == n], values[:, kind == n]) for n in np.unique(kind)}
+        yield shard == k, tables(model.entries.where(F.col("pair").between(int(pairs[0]), int(pairs[-1]))).drop("pair").toArrow())
 
 
 class Lookup:
@@ -247,6 +254,7 @@ def surprise(docs: DataFrame, model: Model, most: int = SHARD) -> DataFrame:
     context, parts = docs.sparkSession.sparkContext, []
     for pairs, tables in shards(model, most):
         shared = context.broadcast((pairs, model.two, tables))
+        del tables
         model.shared.append(shared)
 
         def work(batches, shared=shared, order=model.order, scorer=model.scorer):

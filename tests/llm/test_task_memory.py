@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqweave.llm import language, perplexity
+from seqweave.llm import language, ngram_jaccard, perplexity
 from seqweave.llm.common import whole_row
 
 
@@ -87,3 +87,33 @@ def test_labels_are_the_same_from_a_row(spark):
     names = ["doc_id", "lang_pred", "score"]
     assert sorted(apart.select(names).collect()) == sorted(within.select("row.doc_id", *names[1:]).collect())
     assert sorted(str(r) for r in within.select("row.*").collect()) == sorted(str(r) for r in rows.collect())
+
+
+class Column:
+    def __getattr__(self, _):
+        return lambda *a, **k: Column()
+
+
+def test_cutting_into_shingles_holds_little(monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "F", Column())
+
+    def first(_):
+        raise InterruptedError
+
+    monkeypatch.setattr(ngram_jaccard, "cut_lineage", first)
+    docs = Task(doc_id="bigint", text="binary")
+    with pytest.raises(InterruptedError):
+        ngram_jaccard.classes(docs, 5)
+    assert peak_mb(docs.work, batch(1500, doc_id=1)) < 120
+    docs = Task(text="binary")
+    ngram_jaccard.postings(docs, np.ones(ngram_jaccard.BUCKETS, np.int64), 5, 80)
+    assert peak_mb(docs.work, batch(1500).select(["text"])) < 120
+
+
+def test_one_of_each_keeps_rows_as_they_are(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(2, text, "a"), (1, text.upper(), "b"), (1, text.upper(), "b"), (3, None, "c"), (4, " ", None), (5, "other words", "d")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    kept = ngram_jaccard.one_of_each(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect())) == [(1, text.upper(), "b"), (3, None, "c"), (4, " ", None), (5, "other words", "d")]
