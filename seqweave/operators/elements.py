@@ -107,9 +107,11 @@ def flank_families(
     carriers = presence.where("present").select(*KEY)
     aimed = blocks.join(carriers, KEY).join(at_spot.select(*KEY, "lo"), KEY, "left").join(center, "region")
     best = cut_lineage(_nearest_block(aimed, F.coalesce(F.col("lo").cast("double"), F.col("center"))))
-    left = best.join(around.select("genome", F.col("pos").alias("start"), "left"), ["genome", "start"])
-    right = best.join(around.select("genome", F.col("pos").alias("end"), "right"), ["genome", "end"])
-    return mode_by(left, "region", "left", "left").join(mode_by(right, "region", "right", "right"), "region", "full")
+    tips = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("pos")) for s, c in (("left", "start"), ("right", "end"))])
+    tips = best.select(*KEY, F.explode(tips).alias("t")).select(*KEY, "t.*")
+    met = cut_lineage(tips.join(around, ["genome", "pos"]).select("region", "side", "left", "right"))  # neighbours are read once
+    side = lambda s: mode_by(met.where(F.col("side") == s), "region", s, s)
+    return side("left").join(side("right"), "region", "full")
 
 
 def insertion_rules(

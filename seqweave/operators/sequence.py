@@ -196,20 +196,33 @@ def circular_blocks(members: DataFrame, keys: list[str], gap: int = 30, size: in
         before=gap,
         size=size,
     ).where(F.col("_turn") == 0)
-    numbered = running_sum(
-        seen.withColumn("_start", (F.col("_near") == 0).cast("int")), keys, F.col("_start"), "_block", size=size
+    # positions are read once: each tile folds its own into parts of blocks, only those are numbered
+    tiled = seen.withColumn("_tile", F.floor(F.col("pos") / size)).withColumn("_start", F.col("_near") == 0)
+    inside = Window.partitionBy(*keys, "_tile").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    parts = cut_lineage(
+        tiled.withColumn("_local", F.sum(F.col("_start").cast("bigint")).over(inside))
+        .groupBy(*keys, "_tile", "_local")
+        .agg(
+            F.min(F.when(F.col("_start"), F.col("pos"))).alias("_head"),
+            F.min("pos").alias("_low"),
+            F.max("pos").alias("_high"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+    )
+    totals = parts.groupBy(*keys, "_tile").agg(F.count("_head").alias("_t"))
+    per_key = Window.partitionBy(*keys)
+    before = per_key.orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_tile", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"), F.sum("_t").over(per_key).alias("_cuts")
     )
-    cuts = numbered.groupBy(*keys).agg(F.sum("_start").alias("_cuts"))
-    rows = numbered.join(cuts, keys).withColumn("_wrapped", F.col("_block") == 0).withColumn(
-        "block", F.when(F.col("_wrapped"), F.col("_cuts")).otherwise(F.col("_block"))
+    block = F.col("_local") + F.col("_offset")
+    rows = parts.join(offsets, [*keys, "_tile"]).withColumn("_wrapped", block == 0).withColumn(
+        "block", F.when(F.col("_wrapped"), F.col("_cuts")).otherwise(block)
     )
-    whole = F.col("_cuts") == 0
-    head = F.min(F.when(whole | (F.col("_start") == 1), F.col("pos")))
-    tail_wrapped = F.max(F.when(F.col("_wrapped"), F.col("pos")))
     return rows.groupBy(*keys, "block").agg(
-        head.alias("start"),
-        F.coalesce(tail_wrapped, F.max("pos")).alias("end"),
-        F.count(F.lit(1)).alias("genes"),
+        F.min(F.when(F.col("_cuts") == 0, F.col("_low")).otherwise(F.col("_head"))).alias("start"),
+        F.coalesce(F.max(F.when(F.col("_wrapped"), F.col("_high"))), F.max("_high")).alias("end"),
+        F.sum("_n").alias("genes"),
     )
 
 

@@ -286,7 +286,7 @@ elem AS (SELECT a.region, a.genome, lo AS ins, 'spot' AS how, start, "end", gene
 def _elements(spark, folder):
     from seqweave.operators import elements as E
 
-    rows = C.genes(spark, folder)
+    rows = cut_lineage(C.genes(spark, folder).select("genome", "pos", "length", "family", "name", "allele", "spot"))
     flags = S.backbone(rows, 0.3).select("family", F.lit(True).alias("bb"))
     rows = cut_lineage(
         rows.join(flags, "family", "left").select(

@@ -183,3 +183,13 @@ def test_links_number_their_genes_once(spark, monkeypatch):
     monkeypatch.setattr(link_queries.C, "genes", lambda *a: made.append(1) or genes(*a))
     assert link_queries.tested(spark, "/root/testdata/sf0.01").count() > 0
     assert len(made) == 1
+
+
+def test_blocks_look_at_their_positions_once(spark):
+    from seqweave.operators.sequence import circular_blocks
+
+    rows = [(g, p, 100) for g in range(3) for p in (2, 3, 40, 41, 90, 99)]
+    blocks = circular_blocks(spark.createDataFrame(rows, "genome long, pos long, length long"), ["genome"], 15, size=8)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("RangeFrame") <= 1
+    got = sorted((r.genome, r.start, r.end, r.genes) for r in blocks.collect())
+    assert got == [x for g in range(3) for x in ((g, 40, 41, 2), (g, 90, 3, 4))]
