@@ -29,8 +29,8 @@ from seqweave.session import cut_lineage
 
 #: Documents of a cell, bytes of text sorted at once, and cells looked at in one step.
 CELL, SORTED, STEP = 32, 2 << 20, 16
-#: Cells that are sent to a task's search at once.
-CELLS = 64
+#: Cells that Parquet's reader holds and a task's search is sent at once.
+CELLS = 16
 #: Postings scored at once.
 POSTINGS = 500_000
 #: Queries of a group and bytes of their texts (one query at least): what a job sends to its tasks.
@@ -261,14 +261,19 @@ def _searched(blocks: DataFrame, group: Group, n_docs: int, k: int) -> DataFrame
 
 @contextlib.contextmanager
 def _batches_of(spark, rows: int):
-    """Within this, Arrow batches hold at most ``rows`` rows; a row of the index is some 200 kB."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Within this, batches of Parquet's reader and of Arrow hold at most ``rows`` rows; a row of the index is some 200 kB.
+
+    The reader's own 4,096 rows would be a task's whole share of the index.
+    """
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def search(blocks: DataFrame, items: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
